@@ -100,9 +100,9 @@ def cohesion_issues(nodes: DataFrame) -> DataFrame:
     ])
 
 
-def redundant_groups(nodes: DataFrame) -> DataFrame:
+def redundant_groups(nodes: DataFrame, role: str = "pure-function") -> DataFrame:
     """Pure functions that share one transform set with another: (file, transform_key, fn, group_size)."""
-    pure = nodes.filter((F.col("role") == "pure-function") & (F.size("transforms") > 0)).select(
+    pure = nodes.filter((F.col("role") == role) & (F.size("transforms") > 0)).select(
         "file", F.array_join(F.array_sort("transforms"), ":").alias("transform_key"), "fn")
     sizes = pure.groupBy("file", "transform_key").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size >= 2")
     return pure.join(sizes, ["file", "transform_key"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillgraph.functions.numbers import count_where
+from quillgraph.functions.rows import settle
 
 # Winner among matching roles, first listed wins.
 ROLE_PRIORITY = (
@@ -76,7 +77,7 @@ def assign_roles(functions: DataFrame) -> DataFrame:
     """Adds ``role``: the first matching rule in priority order, else utility."""
     rules = role_rules()
     ladder = [F.when(rules[name], F.lit(name)) for name in ROLE_PRIORITY if name in rules]
-    return functions.withColumn("role", F.coalesce(*ladder, F.lit("utility")))
+    return settle(functions.withColumn("role", F.coalesce(*ladder, F.lit("utility"))), "role")
 
 
 def decorating_files(with_roles: DataFrame, classified: DataFrame) -> DataFrame:

@@ -204,10 +204,10 @@ pl AS (SELECT file, list(pattern ORDER BY o) AS patterns FROM patterns GROUP BY
 tr AS (SELECT file, string_agg(role, ', ' ORDER BY rank) AS top_roles FROM rc WHERE rank <= 3 GROUP BY 1),
 lc AS (SELECT file, max(len(chain)) AS longest_chain, min_by(array_to_string(chain, ' > '), from_fn || to_fn) AS first_chain FROM chains GROUP BY 1),
 ae AS (SELECT file, list(DISTINCT e) AS all_effects FROM (SELECT file, unnest(effects) AS e FROM nodes) GROUP BY 1),
-at AS (SELECT file, list(DISTINCT t ORDER BY t) AS all_transforms FROM (SELECT file, unnest(transforms) AS t FROM nodes) GROUP BY 1),
+atx AS (SELECT file, list(DISTINCT t ORDER BY t) AS all_transforms FROM (SELECT file, unnest(transforms) AS t FROM nodes) GROUP BY 1),
 pr AS (SELECT f.*, coalesce(pl.patterns, []) AS patterns, tr.top_roles, coalesce(lc.longest_chain, 0) AS longest_chain, lc.first_chain,
   fe.effect AS dominant_effect, s.repo, n_classes, n_inheriting, n_imports, n_exports, coalesce(all_effects, []) AS all_effects, coalesce(all_transforms, []) AS all_transforms
-  FROM final f JOIN structure s USING (file) LEFT JOIN pl USING (file) LEFT JOIN tr USING (file) LEFT JOIN lc USING (file) LEFT JOIN ae USING (file) LEFT JOIN at USING (file)
+  FROM final f JOIN structure s USING (file) LEFT JOIN pl USING (file) LEFT JOIN tr USING (file) LEFT JOIN lc USING (file) LEFT JOIN ae USING (file) LEFT JOIN atx USING (file)
   LEFT JOIN fe ON fe.file = f.file AND fe.rank = 1),
 st AS (SELECT *, concat_ws(' + ', CASE WHEN n_inheriting > 0 THEN 'objects with inheritance' WHEN n_classes > 0 THEN 'objects' END,
   CASE WHEN list_contains(patterns, 'Pipeline') AND list_contains(patterns, 'Middleware Chain') THEN 'staged middleware'
@@ -302,15 +302,21 @@ def q6(spark, sf):
     return Q.redundant_groups(roled(spark, sf))
 
 
-@query("q6_redundant_groups_by_repo", ROLED + """,
-k AS (SELECT repo AS file, fn, array_to_string(list_sort(transforms), ':') AS transform_key FROM roled WHERE role = 'pure-function' AND len(transforms) > 0),
+@query("q6_redundant_groups_by_corpus", ROLED + """,
+k AS (SELECT 'corpus' AS file, file || '#' || fn AS fn, array_to_string(list_sort(transforms), ':') AS transform_key FROM roled WHERE role = 'pure-function' AND len(transforms) > 0),
 c AS (SELECT *, count(*) OVER (PARTITION BY file, transform_key) AS group_size FROM k)
 SELECT * FROM c WHERE group_size >= 2""")
-def q6_repo(spark, sf):
-    return Q.redundant_groups(roled(spark, sf).withColumn("file", F.col("repo")))
+def q6_corpus(spark, sf):
+    whole = roled(spark, sf).withColumn("fn", F.concat("file", F.lit("#"), "fn")).withColumn("file", F.lit("corpus"))
+    return Q.redundant_groups(whole)
 
 
-SIMPLE_SCORES = LINKED + COH_SQL
+@query("q6_redundant_groups_io", ROLED + """,
+k AS (SELECT file, fn, array_to_string(list_sort(transforms), ':') AS transform_key FROM roled WHERE role = 'io-handler' AND len(transforms) > 0),
+c AS (SELECT *, count(*) OVER (PARTITION BY file, transform_key) AS group_size FROM k)
+SELECT * FROM c WHERE group_size >= 2""")
+def q6_io(spark, sf):
+    return Q.redundant_groups(roled(spark, sf), "io-handler")
 
 
 @query("q2_complexity_score", NODES + """,
