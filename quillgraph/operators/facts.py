@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from quillgraph.functions.numbers import count_where, flag
 from quillgraph.functions.text import contains_any
 from quillgraph.functions.vocabulary import SOURCE_PATTERN
+from quillgraph.session import cut_lineage
 
 TOKEN_PATTERN = r"[ \t\r\f\x0B]*(?:\n|" + SOURCE_PATTERN + ")"
 IDENTIFIER = r"^[A-Za-z_$][A-Za-z0-9_$]*$|^Math\."
@@ -116,8 +117,10 @@ def tokens(files: DataFrame, text: str = "text") -> DataFrame:
         F.when(F.col("tok").isin(*CLOSING), F.lag("idx").over(brackets)).alias("open_idx"),
         F.sum(flag(F.col("tok") == ",")).over(commas).alias("arg_no"))
     by_idx = W.partitionBy("file").orderBy("idx")
-    return matched.withColumn("param_of", F.when(F.col("p1").isin("(", ","), F.lag("encl").over(by_idx))).withColumn(
+    full = matched.withColumn("param_of", F.when(F.col("p1").isin("(", ","), F.lag("encl").over(by_idx))).withColumn(
         "param_no", F.lag("arg_no").over(by_idx)).drop("_depth")
+    # Every fact below reads this table, most of them several times.
+    return cut_lineage(full)
 
 
 def parse_errors(toks: DataFrame) -> DataFrame:
@@ -136,7 +139,7 @@ def _at(toks: DataFrame, idx: str, prefix: str, *cols: str) -> DataFrame:
     return toks.select("file", F.col("idx").alias(idx), *[F.col(c).alias(f"{prefix}{c}") for c in cols])
 
 
-def _headers(toks: DataFrame) -> DataFrame:
+def function_headers(toks: DataFrame) -> DataFrame:
     """Where functions start: keyword functions, arrows, class methods, object shorthand methods."""
     star = F.col("n1") == "*"
     name = F.when(star, F.col("n2")).otherwise(F.col("n1"))
@@ -186,9 +189,9 @@ def normalise_param(tok: Column, following: Column) -> Column:
         .when(tok == "{", "{…}").when(tok == "[", "[…]").when(is_name(tok), tok).otherwise("?"))
 
 
-def functions(toks: DataFrame) -> DataFrame:
+def functions(toks: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """One row per function: name, kind, params, lines, flags and the index range of its body."""
-    heads = _headers(toks)
+    heads = function_headers(toks) if heads is None else heads
     close = _at(toks.filter("tok = '('"), "open_idx", "_", "match_idx")
     spans = heads.join(close, ["file", "open_idx"], "left").withColumn(
         "body_idx", F.when(F.col("kind") == "arrow", F.col("idx") + 1).otherwise(F.col("_match_idx") + 1))
@@ -264,14 +267,14 @@ def function_facts(files: DataFrame, text: str = "text") -> DataFrame:
     functions around it and not with all of its file.
     """
     toks = tokens(files, text)
-    heads = _headers(toks)
-    fns = functions(toks)
+    heads = cut_lineage(function_headers(toks))
+    fns = cut_lineage(functions(toks, heads))
     sites = calls(toks, heads).withColumnRenamed("callee", "_callee")
     t = F.col("tok")
     names = is_name(t) & ~F.coalesce(F.col("p1") == ".", F.lit(False)) & ~((F.col("n1") == ":") & F.col("p1").isin("{", ","))
     declared = F.coalesce(F.col("p1").isin("let", "const", "var"), F.lit(False))
     facts = _nesting(toks, heads).join(sites, ["file", "idx"], "left").select(
-        "file", "idx", "nest", "tok", "_callee",
+        "file", "idx", "nest", "_step", "tok", "_callee",
         flag(t.isin(*DECISIONS) & ~((t == "?") & (F.col("n1") == ".")) & ~((t == "default") & (F.col("n1") != ":"))).alias("_decision"),
         flag(t.isin(*NESTING_WORDS) | ((t == "function") & F.col("p1").isin(*EXPRESSION_BEFORE))).alias("_nests"),
         F.when(names, t).alias("_read"),
@@ -281,9 +284,9 @@ def function_facts(files: DataFrame, text: str = "text") -> DataFrame:
     spans = fns.select("file", "seq", "body_idx", "end_idx", F.explode(F.sequence(
         F.floor(F.col("body_idx") / BUCKET), F.floor(F.col("end_idx") / BUCKET))).alias("_bucket"))
     within = spans.join(facts, ["file", "_bucket"]).filter("idx BETWEEN body_idx AND end_idx")
-    own_level = _nesting(toks, heads).select("file", F.col("idx").alias("body_idx"), (F.col("nest") + F.when(t == "{", F.col("_step")).otherwise(0)).alias("_base"))
+    own_level = F.max(F.when(F.col("idx") == F.col("body_idx"), F.col("nest") + F.when(t == "{", F.col("_step")).otherwise(0)))
     found = within.groupBy("file", "seq").agg(
-        (F.sum("_decision") + 1).alias("complexity"), F.max(F.when(F.col("_nests") == 1, F.col("nest") + 1)).alias("_deepest"),
+        (F.sum("_decision") + 1).alias("complexity"), own_level.alias("_base"), F.max(F.when(F.col("_nests") == 1, F.col("nest") + 1)).alias("_deepest"),
         F.array_sort(F.collect_set("_callee")).alias("calls"), F.array_sort(F.collect_set("_read")).alias("reads"),
         F.array_sort(F.collect_set("_write")).alias("writes"), F.max("_mutates").alias("_mutates"),
         F.max(flag(t == "throw")).alias("_throws"), F.max(flag(t == "await")).alias("_awaits"), F.max(flag(t == "yield")).alias("_yields"),
@@ -292,7 +295,7 @@ def function_facts(files: DataFrame, text: str = "text") -> DataFrame:
     plus = lambda flags: F.array_compact(F.array(*[F.when(F.col(c) == 1, F.lit(name)) for c, name in flags.items()]))
     effects = F.array_union(tags(body, EFFECT_PATTERNS), plus({"_mutates": "mutation", "_throws": "throws", "_awaits": "async", "_yields": "generator"}))
     transforms = F.array_union(tags(body, TRANSFORM_PATTERNS), plus({"_template": "string_ops", "_spread": "object_ops"}))
-    joined = fns.join(found, ["file", "seq"]).join(own_level, ["file", "body_idx"]).join(files.select("file", text), "file")
+    joined = fns.join(found, ["file", "seq"]).join(files.select("file", text), "file")
     return joined.select(
         "file", "seq", "fn", "kind", "params", "start_line", "end_line", "lines", "is_async", "is_generator",
         F.col("complexity").cast("long").alias("complexity"),
@@ -316,7 +319,7 @@ def class_methods(toks: DataFrame) -> DataFrame:
     """Methods (file, class_name, name, kind, is_static) in the body of a class."""
     owner = toks.filter("is_class").select("file", F.col("idx").alias("encl"), F.when(F.col("p1") == "class", "<anonymous>").when(
         F.col("p2") == "class", F.col("p1")).when(F.col("p3") == "class", F.lit("<anonymous>")).otherwise(F.col("p3")).alias("class_name"))
-    placed = _headers(toks).filter("kind IN ('method', 'constructor', 'get', 'set')").join(
+    placed = function_headers(toks).filter("kind IN ('method', 'constructor', 'get', 'set')").join(
         toks.select("file", "idx", "encl"), ["file", "idx"])
     return placed.join(owner, ["file", "encl"]).select("file", "class_name", F.col("own_name").alias("name"), "kind", "is_static")
 

@@ -170,7 +170,7 @@ def x9_pages(spark, sf):
     rows = table(spark, sf, "pages").select("page_id", F.posexplode(scripts).alias("n", "text")).withColumn(
         "file", F.concat_ws("/", F.col("page_id").cast("string"), F.col("n").cast("string")))
     toks = X.tokens(rows)
-    sites = X.calls(toks, X._headers(toks))
+    sites = X.calls(toks, X.function_headers(toks))
     return sites.groupBy(F.split_part("file", F.lit("/"), F.lit(1)).cast("long").alias("page_id"), "callee").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,8 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: iterative operators stay short and survive lost executors."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """The rows as a table written in the shared folder.
+
+    Iterative operators stay short and survive lost executors, later reads take only the columns
+    they need, and the planner sees the true size, so nothing large is broadcast by a wrong guess.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillgraph/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
