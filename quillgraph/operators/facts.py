@@ -79,18 +79,28 @@ def is_name(tok: Column) -> Column:
     return tok.rlike(IDENTIFIER) & ~tok.isin(*RESERVED)
 
 
-def tokens(files: DataFrame, text: str = "text") -> DataFrame:
-    """Code tokens (file, idx, tok, line, at, neighbours, bracket facts) of every file."""
-    raw = files.select("file", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TOKEN_PATTERN), F.lit(0))).alias("_pos", "_raw"))
-    by_pos = W.partitionBy("file").orderBy("_pos")
+def code_tokens(files: DataFrame, text: str = "text") -> DataFrame:
+    """Tokens (file, pos, tok, line, at) in text order, without comments and line ends.
+
+    Counting them needs no window: unused columns fall away.
+    """
+    raw = files.select("file", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TOKEN_PATTERN), F.lit(0))).alias("pos", "_raw"))
+    by_pos = W.partitionBy("file").orderBy("pos")
     upto, before = by_pos.rowsBetween(W.unboundedPreceding, 0), by_pos.rowsBetween(W.unboundedPreceding, -1)
     newlines = F.length("_raw") - F.length(F.replace("_raw", F.lit("\n"), F.lit("")))
     tok = F.regexp_replace("_raw", r"^[ \t\r\f\x0B]+", "")
     placed = raw.select(
-        "file", "_pos", tok.alias("tok"),
+        "file", "pos", tok.alias("tok"),
         (F.coalesce(F.sum(newlines).over(before), F.lit(0)) + 1).cast("int").alias("line"),
         (F.sum(F.length("_raw")).over(upto) - F.length(tok) + 1).cast("int").alias("at"))
-    code = placed.filter("tok <> '\n' AND NOT startswith(tok, '//') AND NOT startswith(tok, '/*')")
+    return placed.filter("tok <> '\n' AND NOT startswith(tok, '//') AND NOT startswith(tok, '/*')")
+
+
+def tokens(files: DataFrame, text: str = "text") -> DataFrame:
+    """Code tokens (file, idx, tok, line, at, neighbours, bracket facts) of every file."""
+    code = code_tokens(files, text)
+    by_pos = W.partitionBy("file").orderBy("pos")
+    upto = by_pos.rowsBetween(W.unboundedPreceding, 0)
     step = F.when(F.col("tok").isin(*OPENING), 1).when(F.col("tok").isin(*CLOSING), -1).otherwise(0)
     back = lambda n: F.lag("tok", n).over(by_pos)
     ahead = lambda n: F.lead("tok", n).over(by_pos)
@@ -110,12 +120,12 @@ def tokens(files: DataFrame, text: str = "text") -> DataFrame:
         "*", last_open(F.col("idx")).alias("encl"), last_open(F.col("tok")).alias("encl_tok"), last_open(F.col("is_class")).alias("encl_class"),
         F.last(F.when(ends, F.col("idx")), ignorenulls=True).over(later).alias("term_idx"))
     # Brackets of one level alternate, so the next one closes an opening one.
-    brackets = W.partitionBy("file", "level", F.col("tok").isin(*OPENING, *CLOSING)).orderBy("idx")
+    brackets = "tok IN ('{', '}', '(', ')', '[', ']')"
+    beside = lambda fn: F.expr(f"{fn}(CASE WHEN {brackets} THEN idx END) IGNORE NULLS OVER (PARTITION BY file, level ORDER BY idx)")
+    paired = inside.select(
+        "*", F.when(opens, beside("lead")).alias("match_idx"), F.when(F.col("tok").isin(*CLOSING), beside("lag")).alias("open_idx"))
     commas = W.partitionBy("file", "encl").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    matched = inside.select(
-        "*", F.when(opens, F.lead("idx").over(brackets)).alias("match_idx"),
-        F.when(F.col("tok").isin(*CLOSING), F.lag("idx").over(brackets)).alias("open_idx"),
-        F.sum(flag(F.col("tok") == ",")).over(commas).alias("arg_no"))
+    matched = paired.withColumn("arg_no", F.sum(flag(F.col("tok") == ",")).over(commas))
     by_idx = W.partitionBy("file").orderBy("idx")
     full = matched.withColumn("param_of", F.when(F.col("p1").isin("(", ","), F.lag("encl").over(by_idx))).withColumn(
         "param_no", F.lag("arg_no").over(by_idx)).drop("_depth")

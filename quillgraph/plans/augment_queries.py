@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators import augment as G
 from quillgraph.plans.registry import query
-from quillgraph.session import table
+from quillgraph.session import spread, table
 
 SEED = "seed-11"
 VARIANTS = 4
@@ -19,7 +19,7 @@ def seeds(spark, sf):
     code = F.concat(
         F.lit("function "), word(2), key, F.lit("("), word(1), F.lit(", scale) { let sum = 0; for (let i = 0; i < "), size,
         F.lit("; i++) { sum += "), word(1), F.lit(" * "), word(1), F.lit("; } return sum + Math.pow(scale, 2); }"))
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part"), "p_partkey").select(
         F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"), F.col("p_type").alias("category"), code.alias("code"),
         word(1).alias("w1"), word(2).alias("w2"))
 

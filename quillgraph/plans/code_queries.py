@@ -10,7 +10,7 @@ from quillgraph.operators import roles as R
 from quillgraph.operators import rollup as A
 from quillgraph.plans.corpus_queries import sql_text
 from quillgraph.plans.registry import query
-from quillgraph.session import table
+from quillgraph.session import spread, table
 
 # A module per part, as alternating text and column pieces. {w1} and {w2} are the words of the
 # part's name, {id} its key, {size} its size, {k} repeats a line up to three times.
@@ -58,7 +58,7 @@ def _pieces(template: str) -> list[tuple[bool, str]]:
 
 
 def modules(spark, sf):
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part"), "p_partkey")
     cols = {
         "brand": F.replace("p_brand", F.lit("#"), F.lit("_")), "type": F.col("p_type"), "size": F.col("p_size").cast("string"), "name": F.col("p_name"),
         "w1": F.split_part("p_name", F.lit(" "), F.lit(1)), "w2": F.split_part("p_name", F.lit(" "), F.lit(2)), "id": F.col("p_partkey").cast("string"),
@@ -102,9 +102,9 @@ WITH f AS (SELECT 'page/' || page_id AS file, html AS text FROM pages UNION ALL
 t AS (SELECT file, unnest(regexp_extract_all(text, {sql_text(X.SOURCE_PATTERN)})) AS tok FROM f)
 SELECT file, count(*) AS n_tokens, count(*) FILTER (WHERE tok IN ('(', '{{', '[')) AS n_opening FROM t WHERE NOT starts_with(tok, '//') AND NOT starts_with(tok, '/*') GROUP BY 1""")
 def x1_tokens(spark, sf):
-    pages = table(spark, sf, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("file"), F.col("html").alias("text"))
-    docs = table(spark, sf, "documents").select(F.concat(F.lit("document/"), F.col("doc_id").cast("string")).alias("file"), "text")
-    return X.tokens(pages.unionByName(docs)).groupBy("file").agg(
+    pages = spread(table(spark, sf, "pages"), "page_id").select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("file"), F.col("html").alias("text"))
+    docs = spread(table(spark, sf, "documents"), "doc_id").select(F.concat(F.lit("document/"), F.col("doc_id").cast("string")).alias("file"), "text")
+    return X.code_tokens(pages.unionByName(docs)).groupBy("file").agg(
         F.count(F.lit(1)).alias("n_tokens"), F.count(F.when(F.col("tok").isin(*X.OPENING), 1)).alias("n_opening"))
 
 
@@ -167,7 +167,7 @@ WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '<script>(.*?)</scrip
 SELECT page_id, 'track' AS callee, count(*) AS n FROM s WHERE regexp_matches(script, 'track\(') GROUP BY 1""")
 def x9_pages(spark, sf):
     scripts = F.regexp_extract_all("html", F.lit("<script>(.*?)</script>"), F.lit(1))
-    rows = table(spark, sf, "pages").select("page_id", F.posexplode(scripts).alias("n", "text")).withColumn(
+    rows = spread(table(spark, sf, "pages"), "page_id").select("page_id", F.posexplode(scripts).alias("n", "text")).withColumn(
         "file", F.concat_ws("/", F.col("page_id").cast("string"), F.col("n").cast("string")))
     toks = X.tokens(rows)
     sites = X.calls(toks, X.function_headers(toks))
@@ -187,7 +187,7 @@ DECISIONS = ", ".join(sql_text(d) for d in X.DECISIONS)
 SELECT doc_id, len(list_filter(regexp_extract_all(text, {sql_text(X.SOURCE_PATTERN)}), lambda t: t IN ({DECISIONS}))) + 1 AS complexity FROM documents""")
 def x11_text(spark, sf):
     toks = F.regexp_extract_all("text", F.lit(X.SOURCE_PATTERN), F.lit(0))
-    return table(spark, sf, "documents").select("doc_id", X.count_decisions(toks).alias("complexity"))
+    return spread(table(spark, sf, "documents"), "doc_id").select("doc_id", X.count_decisions(toks).alias("complexity"))
 
 
 @query("x12_max_nesting", V9 + """
@@ -209,9 +209,9 @@ q AS ({_balance_sql('page_id', 'pages', "regexp_extract_all(html, '</?(?:div|ul|
 SELECT 'document' AS kind, d.doc_id AS id, greatest(0, coalesce(p.nesting, 0))::BIGINT AS nesting FROM documents d LEFT JOIN p ON p.id = d.doc_id
 UNION ALL SELECT 'page', d.page_id, greatest(0, coalesce(q.nesting, 0))::BIGINT FROM pages d LEFT JOIN q ON q.id = d.page_id""")
 def x12_text(spark, sf):
-    docs = table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), X.max_balance(
+    docs = spread(table(spark, sf, "documents"), "doc_id").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), X.max_balance(
         F.regexp_extract_all("text", F.lit("[()]"), F.lit(0)), "(", ")").alias("nesting"))
-    pages = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), X.max_balance(
+    pages = spread(table(spark, sf, "pages"), "page_id").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), X.max_balance(
         F.regexp_extract_all("html", F.lit("</?(?:div|ul|li|p|article|nav)"), F.lit(0)), "<div", "</div").alias("nesting"))
     return docs.unionByName(pages)
 
@@ -224,8 +224,8 @@ SELECT kind, id, concat_ws(',', {cases}) AS tags FROM f"""
 
 
 def _tagged(spark, sf, patterns):
-    pages = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    docs = table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    pages = spread(table(spark, sf, "pages"), "page_id").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    docs = spread(table(spark, sf, "documents"), "doc_id").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     return pages.unionByName(docs).select("kind", "id", F.array_join(X.tags(F.col("text"), patterns), ",").alias("tags"))
 
 

@@ -10,7 +10,7 @@ from quillgraph.operators import ensemble as M
 from quillgraph.operators import scoring as P
 from quillgraph.operators import training as T
 from quillgraph.plans.registry import query
-from quillgraph.session import table
+from quillgraph.session import spread, table
 from quillgraph.sources.catalogue import with_catalogue
 
 DIM = 64
@@ -18,7 +18,7 @@ DIM = 64
 
 def scored_vectors(spark: SparkSession, sf: str, kind: str = "scaled_dot", scale: float = 20.0) -> DataFrame:
     """Embeddings with logits, probabilities, ranking, entropy; one narrow stage over the scan."""
-    items = table(spark, sf, "embeddings")
+    items = spread(table(spark, sf, "embeddings"), "vec_id")
     model = P.class_model(P.class_centroids(items, "embedding", "label", DIM))
     scored = P.linear_scores(items.select("vec_id", "label", "embedding"), model, "embedding", kind, scale)
     return P.entropy_ood(P.ranked(P.softmax(scored.drop("embedding"))))

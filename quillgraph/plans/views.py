@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillgraph.functions.text import hashed_choice
-from quillgraph.session import table
+from quillgraph.session import spread, table
 
 # Documents stand for functions; a file is what one source published within a run of 200 ids, so
 # no file holds more than 200 functions however large a source is.
@@ -25,7 +25,8 @@ def function_keys(spark, sf, *extra: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("repo"), *extra)
     file = F.concat("repo", F.lit("/"), F.expr(f"doc_id div {FILE_SPAN}").cast("string"))
     seq = F.row_number().over(W.partitionBy("file").orderBy("doc_id"))
-    return docs.withColumn("file", file).withColumn("seq", seq).withColumn("fn", F.concat(F.lit("f"), F.lpad(F.col("seq").cast("string"), 3, "0")))
+    # Rows are dealt out by file, which is also what the rank and every later step group by.
+    return spread(docs.withColumn("file", file), "file").withColumn("seq", seq).withColumn("fn", F.concat(F.lit("f"), F.lpad(F.col("seq").cast("string"), 3, "0")))
 
 
 def node_facts(spark, sf) -> DataFrame:
