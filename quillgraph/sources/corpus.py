@@ -27,11 +27,8 @@ EXCERPT_LENGTH = 100
 
 def read_corpus(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row (path, text, size) per file below ``path``; a missing path is a message and no row."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     try:
-        files = reader.text(path)
+        files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
