@@ -146,49 +146,59 @@ def parse_errors(toks: DataFrame) -> DataFrame:
 
 
 def _at(toks: DataFrame, idx: str, prefix: str, *cols: str) -> DataFrame:
-    return toks.select("file", F.col("idx").alias(idx), *[F.col(c).alias(f"{prefix}{c}") for c in cols])
+    """Token columns to be looked up by position. The table is as large as the corpus, so the
+    lookup is a merge join whatever its compressed size suggests."""
+    return toks.select("file", F.col("idx").alias(idx), *[F.col(c).alias(f"{prefix}{c}") for c in cols]).hint("merge")
 
 
 def function_headers(toks: DataFrame) -> DataFrame:
-    """Where functions start: keyword functions, arrows, class methods, object shorthand methods."""
-    star = F.col("n1") == "*"
+    """Where functions start: keyword functions, arrows, class methods, object shorthand methods.
+
+    Each row knows its parameter list, the first token of its body, and the tokens around it.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    none = lambda kind: F.lit(None).cast(kind)
+    place = ["encl", "arg_no", "term_idx"]
+    star = yes(F.col("n1") == "*")
     name = F.when(star, F.col("n2")).otherwise(F.col("n1"))
-    named = name != "("
-    is_async = F.col("p1") == "async"
-    start = F.col("idx") - flag(is_async)
+    named = yes(name != "(")
+    is_async = yes(F.col("p1") == "async")
+    earlier = lambda n: F.when(is_async, F.col(f"p{n + 1}")).otherwise(F.col(f"p{n}")).alias(f"q{n}")
     before = F.when(is_async, F.col("p2")).otherwise(F.col("p1"))
     keyword = toks.filter("tok = 'function'").select(
-        "file", "idx", start.cast("int").alias("start_idx"), (F.col("idx") + 1 + flag(star) + flag(named)).cast("int").alias("open_idx"),
-        F.when(F.coalesce(before.isin(*EXPRESSION_BEFORE), F.lit(False)), "expression").otherwise("declaration").alias("kind"),
-        F.when(named, name).alias("own_name"), F.coalesce(is_async, F.lit(False)).alias("is_async"), F.coalesce(star, F.lit(False)).alias("is_generator"),
-        F.lit(None).cast("string").alias("single"), F.lit(False).alias("is_static"))
-    grouped = F.col("p1") == ")"
+        "file", "idx", "line", (F.col("idx") + 1 + flag(star) + flag(named)).cast("int").alias("open_idx"),
+        F.when(yes(before.isin(*EXPRESSION_BEFORE)), "expression").otherwise("declaration").alias("kind"),
+        F.when(named, name).alias("own_name"), is_async.alias("is_async"), star.alias("is_generator"),
+        none("string").alias("single"), F.lit(False).alias("is_static"), earlier(1), earlier(2), earlier(3), *place,
+    ).join(_at(toks.filter("tok = '('"), "open_idx", "_", "match_idx"), ["file", "open_idx"]).withColumn(
+        "body_idx", F.col("_match_idx") + 1).drop("_match_idx")
+    grouped = yes(F.col("p1") == ")")
     close = _at(toks.filter("tok = ')'"), "_close", "_", "open_idx")
-    arrows = toks.filter("tok = '=>'").withColumn("_close", F.col("idx") - 1).join(close, ["file", "_close"], "left")
-    first = F.when(grouped, F.col("_open_idx")).otherwise(F.col("idx") - 1)
-    ahead_of = _at(toks, "_first", "_", "p1")
-    arrows = arrows.withColumn("_first", first.cast("int")).join(ahead_of, ["file", "_first"], "left")
-    arrow_async = F.coalesce(F.col("_p1") == "async", F.lit(False))
+    arrows = toks.filter("tok = '=>'").select("file", "idx", "p1", *place, (F.col("idx") - 1).alias("_close")).join(close, ["file", "_close"], "left")
+    first = F.when(grouped, F.col("_open_idx")).otherwise(F.col("_close"))
+    arrows = arrows.withColumn("_first", first).join(_at(toks, "_first", "_", "line", "p1", "p2", "p3", "p4"), ["file", "_first"])
+    arrow_async = yes(F.col("_p1") == "async")
+    prior = lambda n: F.when(arrow_async, F.col(f"_p{n + 1}")).otherwise(F.col(f"_p{n}")).alias(f"q{n}")
     arrow = arrows.select(
-        "file", "idx", (F.col("_first") - flag(arrow_async)).cast("int").alias("start_idx"),
-        F.when(grouped, F.col("_open_idx")).cast("int").alias("open_idx"), F.lit("arrow").alias("kind"),
-        F.lit(None).cast("string").alias("own_name"), arrow_async.alias("is_async"), F.lit(False).alias("is_generator"),
-        F.when(~grouped, F.col("p1")).alias("single"), F.lit(False).alias("is_static"))
-    ends = _at(toks.filter("tok = '('"), "_open", "_", "match_idx")
-    follow = _at(toks, "_body", "_", "tok")
-    in_class = F.coalesce("encl_class", F.lit(False))
+        "file", "idx", F.col("_line").alias("line"), F.when(grouped, F.col("_open_idx")).alias("open_idx"), F.lit("arrow").alias("kind"),
+        none("string").alias("own_name"), arrow_async.alias("is_async"), F.lit(False).alias("is_generator"),
+        F.when(~grouped, F.col("p1")).alias("single"), F.lit(False).alias("is_static"), prior(1), prior(2), prior(3), *place,
+        (F.col("idx") + 1).alias("body_idx"))
+    in_class = yes(F.col("encl_class"))
     shorthand = (F.col("encl_tok") == "{") & F.col("p1").isin("{", ",", "async", "*")
     candidates = toks.filter(F.col("tok").rlike(IDENTIFIER) & ~F.col("tok").isin("if", "for", "while", "switch", "catch", "function")
-                             & (F.col("n1") == "(") & (in_class | shorthand))
-    methods = candidates.withColumn("_open", F.col("idx") + 1).join(ends, ["file", "_open"]).withColumn(
-        "_body", F.col("_match_idx") + 1).join(follow.filter("_tok = '{'"), ["file", "_body"])
+                             & (F.col("n1") == "(") & (in_class | shorthand)).withColumn("open_idx", F.col("idx") + 1)
     kind = F.when(~in_class, "expression").when(F.col("tok") == "constructor", "constructor").when(
         F.col("p1").isin("get", "set"), F.col("p1")).otherwise("method")
-    method = methods.select(
-        "file", "idx", F.col("idx").alias("start_idx"), F.col("_open").cast("int").alias("open_idx"), kind.alias("kind"), F.col("tok").alias("own_name"),
-        (F.coalesce(F.col("p1") == "async", F.lit(False)) | F.coalesce((F.col("p1") == "*") & (F.col("p2") == "async"), F.lit(False))).alias("is_async"),
-        F.coalesce(F.col("p1") == "*", F.lit(False)).alias("is_generator"), F.lit(None).cast("string").alias("single"),
-        F.coalesce((F.col("p1") == "static") | (F.col("p2") == "static"), F.lit(False)).alias("is_static"))
+    method = candidates.select(
+        "file", "idx", "line", "open_idx", kind.alias("kind"), F.col("tok").alias("own_name"),
+        yes((F.col("p1") == "async") | ((F.col("p1") == "*") & (F.col("p2") == "async"))).alias("is_async"),
+        yes(F.col("p1") == "*").alias("is_generator"), none("string").alias("single"),
+        yes((F.col("p1") == "static") | (F.col("p2") == "static")).alias("is_static"),
+        *[none("string").alias(f"q{n}") for n in (1, 2, 3)], *place,
+    ).join(_at(toks.filter("tok = '('"), "open_idx", "_", "match_idx"), ["file", "open_idx"]).withColumn("body_idx", F.col("_match_idx") + 1)
+    # A call looks the same up to the closing parenthesis; only a definition goes on with a block.
+    method = method.drop("_match_idx").join(_at(toks.filter("tok = '{' AND p1 = ')'"), "body_idx", "_", "tok"), ["file", "body_idx"]).drop("_tok")
     return keyword.unionByName(arrow).unionByName(method)
 
 
@@ -202,42 +212,33 @@ def normalise_param(tok: Column, following: Column) -> Column:
 def functions(toks: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """One row per function: name, kind, params, lines, flags and the index range of its body."""
     heads = function_headers(toks) if heads is None else heads
-    close = _at(toks.filter("tok = '('"), "open_idx", "_", "match_idx")
-    spans = heads.join(close, ["file", "open_idx"], "left").withColumn(
-        "body_idx", F.when(F.col("kind") == "arrow", F.col("idx") + 1).otherwise(F.col("_match_idx") + 1))
     first = _at(toks, "body_idx", "_b_", "tok", "line", "at", "match_idx")
-    arrows = _at(toks.filter("tok = '=>'"), "idx", "_", "term_idx", "encl", "arg_no")
-    keyword_place = _at(toks.filter("tok = 'function'"), "idx", "_k_", "encl", "arg_no")
     last = toks.groupBy("file").agg(F.max("idx").alias("_last_idx"))
-    bodies = (
-        spans.join(first, ["file", "body_idx"]).join(arrows, ["file", "idx"], "left").join(keyword_place, ["file", "idx"], "left")
-        .join(last, "file")
-        .withColumn("end_idx", F.when(F.col("_b_tok") == "{", F.col("_b_match_idx")).otherwise(
-            F.coalesce(F.col("_term_idx") - 1, F.col("_last_idx"))).cast("int"))
-        .withColumn("_encl", F.coalesce("_encl", "_k_encl")).withColumn("_arg", F.coalesce("_arg_no", "_k_arg_no")))
-    end = toks.select("file", F.col("idx").alias("end_idx"), F.col("line").alias("end_line"), (F.col("at") + F.length("tok")).alias("end_at"))
-    start = toks.select("file", F.col("idx").alias("start_idx"), F.col("line").alias("start_line"), *[F.col(f"p{n}").alias(f"_q{n}") for n in (1, 2, 3)])
-    callee = toks.select("file", (F.col("idx") + 1).alias("_encl"), F.col("tok").alias("_callee"), F.col("n1").alias("_paren"))
-    placed = bodies.join(end, ["file", "end_idx"]).join(start, ["file", "start_idx"]).join(callee, ["file", "_encl"], "left")
-    listed = F.col("_callee").isin(*CALLBACK_METHODS) | (F.coalesce("_arg", F.lit(0)) == 0)
-    in_call = F.col("_q1").isin("(", ",") & (F.col("_paren") == "(") & F.col("_callee").rlike(IDENTIFIER) & ~F.col("_callee").isin(
+    bodies = heads.join(first, ["file", "body_idx"]).join(last, "file").withColumn(
+        "end_idx", F.when(F.col("_b_tok") == "{", F.col("_b_match_idx")).otherwise(
+            F.coalesce(F.col("term_idx") - 1, F.col("_last_idx"))).cast("int"))
+    end = toks.select("file", F.col("idx").alias("end_idx"), F.col("line").alias("end_line"), (F.col("at") + F.length("tok")).alias("end_at")).hint("merge")
+    callee = toks.filter("n1 = '('").select("file", (F.col("idx") + 1).alias("encl"), F.col("tok").alias("_callee")).hint("merge")
+    placed = bodies.join(end, ["file", "end_idx"]).join(callee, ["file", "encl"], "left")
+    listed = F.col("_callee").isin(*CALLBACK_METHODS) | (F.coalesce("arg_no", F.lit(0)) == 0)
+    in_call = F.col("q1").isin("(", ",") & F.col("_callee").rlike(IDENTIFIER) & ~F.col("_callee").isin(
         "if", "for", "while", "switch", "return", "function")
     context = F.coalesce(
-        F.when((F.col("_q1") == "=") & is_name(F.col("_q2")) & F.col("_q3").isin("const", "let", "var", ","), F.col("_q2")),
-        F.when((F.col("_q1") == ":") & F.col("_q3").isin("{", ","), F.regexp_replace("_q2", "^[\"']|[\"']$", "")),
-        F.when(in_call, F.concat("_callee", F.lit(".cb"), F.when(listed, "").otherwise((F.col("_arg") + 1).cast("string")))),
-        F.when(F.col("_q1") == "return", F.lit("return.fn")))
+        F.when((F.col("q1") == "=") & is_name(F.col("q2")) & F.col("q3").isin("const", "let", "var", ","), F.col("q2")),
+        F.when((F.col("q1") == ":") & F.col("q3").isin("{", ","), F.regexp_replace("q2", "^[\"']|[\"']$", "")),
+        F.when(in_call, F.concat("_callee", F.lit(".cb"), F.when(listed, "").otherwise((F.col("arg_no") + 1).cast("string")))),
+        F.when(F.col("q1") == "return", F.lit("return.fn")))
     params = toks.filter("param_of IS NOT NULL").select(
         "file", F.col("param_of").alias("open_idx"), "param_no", normalise_param(F.col("tok"), F.col("n1")).alias("_p")).filter(
         "_p IS NOT NULL").groupBy("file", "open_idx").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("param_no", "_p"))), lambda s: s["_p"]).alias("_params"))
     single = F.when(F.col("single").isNotNull(), F.array("single"))
     return placed.join(params, ["file", "open_idx"], "left").select(
-        "file", F.row_number().over(W.partitionBy("file").orderBy("start_idx", "idx")).alias("seq"),
+        "file", F.row_number().over(W.partitionBy("file").orderBy("line", "idx")).alias("seq"),
         F.coalesce("own_name", context, F.lit("<anonymous>")).alias("fn"), "kind",
         F.coalesce(single, "_params", F.array().cast("array<string>")).alias("params"),
-        "start_line", "end_line", (F.col("end_line") - F.col("_b_line") + 1).alias("lines"), "is_async", "is_generator", "is_static",
-        F.col("idx").alias("head_idx"), "body_idx", "end_idx", F.col("_b_at").alias("body_at"), "end_at", (F.col("_b_tok") == "{").alias("_block"))
+        F.col("line").alias("start_line"), "end_line", (F.col("end_line") - F.col("_b_line") + 1).alias("lines"), "is_async", "is_generator", "is_static",
+        F.col("idx").alias("head_idx"), "body_idx", "end_idx", F.col("_b_at").alias("body_at"), "end_at")
 
 
 def _nesting(toks: DataFrame, heads: DataFrame) -> DataFrame:
