@@ -24,7 +24,7 @@ def build_session(app: str = "quillgraph", cores: str = "*", **conf: str) -> Spa
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
