@@ -228,6 +228,7 @@ def training_steps(spark, sf):
 
 
 def evaluations(steps, every: int):
+    """The validation figure exists for every n-th epoch only; that rhythm is the operator's own."""
     return steps.groupBy("run", "epoch").agg(F.avg("acc").alias("val")).filter(F.col("epoch") % every == 0)
 
 
