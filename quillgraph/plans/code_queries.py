@@ -177,7 +177,7 @@ def x9_pages(spark, sf):
 @query("x11_decision_points", V9 + """
 SELECT file, w2 || id AS fn, 4 + p_size % 4 AS complexity FROM code""")
 def x11(spark, sf):
-    return X.function_facts(modules(spark, sf)).filter("kind = 'declaration'").select("file", "fn", "complexity")
+    return X.function_facts(modules(spark, sf)).filter("kind = 'declaration'").select("file", "fn", F.col("complexity").cast("int").alias("complexity"))
 
 
 DECISIONS = ", ".join(sql_text(d) for d in X.DECISIONS)
