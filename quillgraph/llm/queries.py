@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from quillgraph.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from quillgraph.llm.mixing import OP7_SQL, op7_mixing
+from quillgraph.llm.quality_rules import op6_quality_rules
 
 QUERIES = {
+    "op6_quality_rules": op6_quality_rules,
+    "op7_mixing": op7_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES = {
+    "op7_mixing": OP7_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
