@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import documents, row_batches
 
 MARK = "▁"  # stands for a space
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 250_000
 REMEMBERED_CHARS = 64
 SHORT = 32
+WIDE = 1 << 32
+NEVER = 1 << 40
 CLOSING = ",;:!?)"
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -61,25 +64,71 @@ class PieceEncoder:
         self.parts = re.compile("|".join(
             ([f"{MARK}*[^{stop}{close}]++(?<=[^\\W_])(?=[{close}])"] if close else [])
             + [f"{MARK}+[^{stop}]*", f"[^{stop}]+"] + ([f"{ends}+"] if ends else [])))
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def merge(self, word: str) -> list[int]:
-        """Ids of one part, by the agenda: a list of pair scores for short parts, a heap for long ones."""
-        symbols = self._merge_short(list(word)) if len(word) <= SHORT else self._merge_long(list(word))
-        return list(chain.from_iterable(map(self._ids_of, symbols)))
-
-    def _merge_short(self, symbols: list[str]) -> list[str]:
-        score, never = self.scores.get, float("-inf")
-        agenda = [score(a + b, never) for a, b in zip(symbols, symbols[1:])]
-        while agenda and (best := max(agenda)) > never:
-            at = agenda.index(best)  # the leftmost
-            symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
-            del agenda[at]
-            if at:
-                agenda[at - 1] = score(symbols[at - 1] + symbols[at], never)
-            if at < len(agenda):
-                agenda[at] = score(symbols[at] + symbols[at + 1], never)
-        return symbols
+        self.recent: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        self._table_of_pairs()
+
+    def _table_of_pairs(self) -> None:
+        """Pairs of pieces that form a piece, sorted by both ids, each with its rank in the agenda and the id it forms."""
+        levels = {score: rank for rank, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        found = [(self.ids[left] * WIDE + self.ids[right], levels[self.scores[piece]], i)
+                 for piece, i in self.ids.items() for at in range(1, len(piece))
+                 if (left := piece[:at]) in self.ids and (right := piece[at:]) in self.ids]
+        table = np.array(sorted(found), np.int64).reshape(-1, 3)
+        self.pairs, self.ranks, self.formed = np.append(table[:, 0], np.iinfo(np.int64).max), np.append(table[:, 1], NEVER), np.append(table[:, 2], -1)
+        letters = sorted((ord(piece), i) for piece, i in self.ids.items() if len(piece) == 1)
+        self.letters, self.letter_ids = (np.array(x, np.int64) for x in zip(*letters))
+
+    def _agenda(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, formed id) of adjacent symbols. Negative symbols are characters without a piece and never merge."""
+        key = np.where((left >= 0) & (right >= 0), left * WIDE + right, -1)
+        at = np.searchsorted(self.pairs, key)
+        hit = self.pairs[at] == key
+        return np.where(hit, self.ranks[at], NEVER), self.formed[at]
+
+    def merge_short(self, words: list[str]) -> list[list[int]]:
+        """Ids of many short parts at once: each round takes the best pair off the agenda of every part that has one."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
+        symbols = np.where(self.letters[at] == points, self.letter_ids[at], -2 - points)
+        grid = np.full((len(words), int(lengths.max()) + 1), -1, np.int64)  # -1: beyond the end
+        grid[np.arange(grid.shape[1]) < lengths[:, None]] = symbols
+        rank, _ = self._agenda(grid[:, :-1], grid[:, 1:])
+        out, rows = np.empty_like(grid), np.arange(len(words))
+        while len(rows):
+            best = rank.argmin(axis=1)  # the leftmost of equals
+            live = rank[np.arange(len(rows)), best] < NEVER
+            out[rows[~live]] = -1
+            out[rows[~live], :grid.shape[1]] = grid[~live]
+            rows, grid, rank, best = rows[live], grid[live], rank[live], best[live]
+            if not len(rows):
+                break
+            each = np.arange(len(rows))
+            _, formed = self._agenda(grid[each, best], grid[each, best + 1])
+            moved = np.arange(grid.shape[1] - 1) + (np.arange(grid.shape[1] - 1) > best[:, None])
+            grid = np.concatenate([np.take_along_axis(grid, moved, 1), np.full((len(rows), 1), -1)], axis=1)
+            rank = np.take_along_axis(rank, np.minimum(moved, rank.shape[1] - 1), 1)
+            grid[each, best] = formed
+            rank[each, best], _ = self._agenda(formed, grid[each, best + 1])
+            inner = np.flatnonzero(best > 0)
+            rank[inner, best[inner] - 1], _ = self._agenda(grid[inner, best[inner] - 1], formed[inner])
+        kept = out != -1
+        flat, ends = out[kept], np.cumsum(kept.sum(axis=1))
+        if (flat < 0).any():
+            return [list(chain.from_iterable([i] if i >= 0 else self._ids_of(chr(-2 - i)) for i in part.tolist())) for part in np.split(flat, ends[:-1])]
+        flat = flat.tolist()
+        return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+    def merge(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each part with its ids; parts of similar length share a round, long ones have a heap each."""
+        words = sorted(words, key=len)
+        while words and len(words[-1]) > SHORT:
+            word = words.pop()
+            yield word, list(chain.from_iterable(map(self._ids_of, self._merge_long(list(word)))))
+        for at in range(0, len(words), 4096):
+            part = words[at:at + 4096]
+            yield from zip(part, self.merge_short(part))
 
     def _merge_long(self, symbols: list[str]) -> list[str]:
         last = len(symbols) - 1
@@ -117,31 +166,35 @@ class PieceEncoder:
         """The text, with its leading mark, in parts that merges never cross."""
         return self.parts.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def learn(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of words new to the memory, each checked against the library's encoding of that word."""
-        fresh = {word: tuple(self.merge(word)) for word in words}
-        # The library puts a mark before each text; words that begin with one are given without it.
-        for marked in (True, False):
-            some = [word for word in fresh if (word[0] == MARK) == marked]
-            given = [word[1:] if marked else word for word in some]
-            for word, theirs in zip(some, self.library.encode(given, num_threads=1)):
-                ours = list(fresh[word]) if marked else self.merge(MARK + word)
-                if word != MARK and ours != theirs:
-                    raise ValueError(f"the library encodes {word[:80]!r} differently")
+    def learn(self, words: list[str]) -> dict[str, list[int]]:
+        """Ids of parts that are not remembered. The library puts a mark before a text, so those that begin with one can be checked as they are."""
+        fresh = dict(self.merge(words))
+        marked = [word for word in fresh if word[0] == MARK and word != MARK]
+        for word, theirs in zip(marked, self.library.encode([word[1:] for word in marked], num_threads=1)):
+            if fresh[word] != theirs:
+                raise ValueError(f"the library encodes {word[:80]!r} differently")
         return fresh
 
-    def encode_texts(self, texts: list[str]) -> Iterator[list[tuple[int, ...]]]:
-        """For each text, the ids of each of its words."""
+    def encode_texts(self, texts: list[str]) -> Iterator[list[list[int]]]:
+        """For each text, the ids of each of its parts. Two generations of parts are remembered; the older one is dropped when the newer is full."""
         parts = [self.words(text) for text in texts]
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known.clear()
-        new = set(chain.from_iterable(parts)).difference(self.known)
-        fresh = self.learn(list(new))
-        long = {word: ids for word, ids in fresh.items() if len(word) > REMEMBERED_CHARS}
-        self.known.update((word, ids) for word, ids in fresh.items() if word not in long)
-        look_up = {**self.known, **long}.__getitem__ if long else self.known.__getitem__
+        now: dict[str, list[int]] = {}
+        new = []
+        for word in set(chain.from_iterable(parts)):
+            ids = self.recent.get(word)
+            if ids is None and (ids := self.older.get(word)) is not None:
+                self.recent[word] = ids
+            if ids is None:
+                new.append(word)
+            else:
+                now[word] = ids
+        fresh = self.learn(new)
+        now |= fresh
+        self.recent.update((word, ids) for word, ids in fresh.items() if len(word) <= REMEMBERED_CHARS)
+        if len(self.recent) > REMEMBERED_WORDS:
+            self.older, self.recent = self.recent, {}
         for words in parts:
-            yield list(map(look_up, words))
+            yield list(map(now.__getitem__, words))
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(next(iter(self.encode_texts([text or ""])))))
@@ -172,7 +225,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str | None = None,
         pieces = encoder(path)
         for batch in batches:
             out: list[tuple] = []
-            for part in row_batches([batch], ("_text",), 500):
+            for part in row_batches([batch], ("_text",)):
                 for words in pieces.encode_texts([text or "" for (text,) in part]):
                     ids = list(chain.from_iterable(words))
                     decoded = pieces.decode(ids)
