@@ -6,11 +6,13 @@ from quillgraph.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from quillgraph.llm.mixing import OP7_SQL, op7_mixing
 from quillgraph.llm.quality_rules import op6_quality_rules
 from quillgraph.llm.sentence_pieces import op2_sentence_pieces
+from quillgraph.llm.simhash import op8_simhash
 
 QUERIES = {
     "op2_sentence_pieces": op2_sentence_pieces,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
+    "op8_simhash": op8_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
