@@ -15,11 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.llm.bitmaps import ROW_BITS, pages_of, with_membership
 from quillgraph.llm.common import documents, one_spaced, written
 
 PREFIX_CHARS = 256
-BITMAP_BITS = 1 << 26  # 8 MiB in all, whatever the table holds
-_PAGE_BITS = 32768  # bits in one value of bitmap_construct_agg
 
 
 def signature(norm: Column) -> Column:
@@ -27,10 +26,6 @@ def signature(norm: Column) -> Column:
     return F.struct(F.length(norm).alias("length"), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("prefix"))
 
 
-def _slot(length: Column, prefix: Column) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(BITMAP_BITS))
-
-
 def surviving_signatures(signatures: DataFrame) -> DataFrame:
     """Signatures (length, prefix) that more than one row has: first by length alone, then with the prefix."""
     signatures = written(signatures)
@@ -39,32 +34,13 @@ def surviving_signatures(signatures: DataFrame) -> DataFrame:
             .groupBy("length", "prefix").count().filter("count > 1").select("length", "prefix"))
 
 
-def survivor_pages(survivors: DataFrame) -> DataFrame:
-    """The survivors as pages of a bitmap: at most BITMAP_BITS / 32768 rows of 4 KiB."""
-    slot = _slot(F.col("length"), F.col("prefix"))
-    return (survivors.select(slot.alias("slot"))
-            .groupBy(F.floor(F.col("slot") / _PAGE_BITS).alias("_page"))
-            .agg(F.bitmap_construct_agg((F.col("slot") % _PAGE_BITS)).alias("_bits")))
-
-
-def with_survival(rows: DataFrame, pages: DataFrame, sig: str) -> DataFrame:
-    """Adds _survives: whether the bit of the row's signature is set. The pages have a fixed largest size, so they are broadcast."""
-    slot = _slot(F.col(f"{sig}.length"), F.col(f"{sig}.prefix"))
-    at = (slot % _PAGE_BITS).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    set_bit = F.getbit(byte, at % 8) == 1
-    return (rows.withColumn("_at_page", F.floor(slot / _PAGE_BITS))
-            .join(F.broadcast(pages), F.col("_at_page") == F.col("_page"), "left")
-            .withColumn("_survives", F.coalesce(set_bit, F.lit(False)))
-            .drop("_at_page", "_page", "_bits"))
-
-
 def _with_survival(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The input rows as one struct, so that no column name can clash, beside id, norm and _survives."""
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), one_spaced(F.col(text)).alias("norm"))
     rows = rows.withColumn("sig", signature(F.col("norm")))
-    pages = survivor_pages(surviving_signatures(rows.select("sig.length", "sig.prefix")))
-    return with_survival(rows, pages, "sig")
+    survivors = surviving_signatures(rows.select("sig.length", "sig.prefix"))
+    pages = pages_of(survivors, F.xxhash64("length", "prefix"), ROW_BITS)
+    return with_membership(rows, pages, F.xxhash64("sig.length", "sig.prefix"), ROW_BITS, "_survives")
 
 
 def duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hash_all: bool = False) -> DataFrame:

@@ -132,9 +132,9 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(c) for c in kept] + [pa.array(v, t) for v, t in zip(values, COLUMNS.values())], kept + list(COLUMNS))
 
 
-def quality_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input row as struct `row`, beside its measures and verdict `kept`. Narrow: nothing is shuffled."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("_text"))
+def quality_measures(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("*",)) -> DataFrame:
+    """The carried columns as struct `row`, beside its measures and verdict `kept`. Narrow: nothing is shuffled."""
+    rows = docs.select(F.struct(*carry).alias("row"), F.col(text).alias("_text"))
     row_type = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_judged, f"row {row_type}, {SCHEMA}")
 
@@ -146,5 +146,4 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
-    return quality_measures(documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.col("text").alias("body")), "body").select(
-        F.col("row.doc_id").alias("doc_id"), *COLUMNS)
+    return quality_measures(documents(spark, sf_dir, "doc_id", "text"), carry=("doc_id",)).select("row.doc_id", *COLUMNS)

@@ -7,10 +7,12 @@ from quillgraph.llm.mixing import OP7_SQL, op7_mixing
 from quillgraph.llm.quality_rules import op6_quality_rules
 from quillgraph.llm.sentence_pieces import op2_sentence_pieces
 from quillgraph.llm.simhash import op8_simhash
+from quillgraph.llm.substring_dedup import op3_substring_dedup
 from quillgraph.llm.token_files import op5_token_files
 
 QUERIES = {
     "op2_sentence_pieces": op2_sentence_pieces,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,

@@ -215,10 +215,11 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def encode_pieces(docs: DataFrame, text: str = "text", model: str | None = None, digests: bool = False) -> DataFrame:
-    """The input row as struct `row`, beside n_tokens, ids and decoded; with `digests` their hashes in place of both."""
+def encode_pieces(docs: DataFrame, text: str = "text", model: str | None = None, digests: bool = False,
+                  carry: tuple[str, ...] = ("*",)) -> DataFrame:
+    """The carried columns as struct `row`, beside n_tokens, ids and decoded; with `digests` their hashes in place of both."""
     path = model or default_model()
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("_text"))
+    rows = docs.select(F.struct(*carry).alias("row"), F.col(text).alias("_text"))
     fields = {"n_tokens": pa.int64()} | ({"ids_sha256": pa.string(), "decoded_sha256": pa.string()} if digests else {"ids": pa.list_(pa.int32()), "decoded": pa.string()})
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +241,5 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str | None = None,
 
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
-    docs = documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.col("text").alias("body"))
-    return encode_pieces(docs.select("*"), "body", digests=True).select(
-        F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_pieces(documents(spark, sf_dir, "doc_id", "text"), digests=True, carry=("doc_id",)).select(
+        "row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

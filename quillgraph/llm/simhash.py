@@ -63,9 +63,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The input row as struct `row`, beside its fingerprint as a signed long."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("_text"))
+def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, carry: tuple[str, ...] = ("*",)) -> DataFrame:
+    """The carried columns as struct `row`, beside its fingerprint as a signed long."""
+    rows = docs.select(F.struct(*carry).alias("row"), F.col(text).alias("_text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,8 +185,7 @@ def near_duplicate_components(rows: DataFrame) -> DataFrame:
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: id, fp and component_id."""
-    rows = written(with_fingerprints(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body")).select("id", "body"), "body")
-                   .select("row.id", "fp"))
+    rows = written(with_fingerprints(docs, text, carry=(doc_id,)).select(F.col(f"row.{doc_id}").alias("id"), "fp"))
     return rows.join(near_duplicate_components(rows), "fp").select("id", "fp", "component_id")
 
 
