@@ -52,3 +52,18 @@ def row_batches(batches: Iterator, columns: tuple[str, ...], most: int = 2000) -
         for at in range(0, batch.num_rows, most):
             part = batch.slice(at, most)
             yield list(zip(*(part.column(c).to_pylist() for c in columns)))
+
+
+def range_bounds(ids: DataFrame, column: str, parts: int) -> list[int]:
+    """At most parts - 1 ascending ids that cut a long column into parts of about equal row counts."""
+    if parts < 2:
+        return []
+    return sorted({int(b) for b in ids.approxQuantile(column, [i / parts for i in range(1, parts)], 1 / (4 * parts))})
+
+
+def range_part(key: Column, bounds: list[int]) -> Column:
+    """Number of the part that holds an id: that of the first bound not below it. Null ids are in part 0."""
+    if not bounds:
+        return F.lit(0)
+    first = F.array_position(F.transform(F.array(*map(F.lit, bounds)), lambda bound: bound >= key), True)
+    return F.when(key.isNull(), 0).when(first == 0, len(bounds)).otherwise(first - 1).cast("int")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillgraph.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from quillgraph.llm.mixing import OP7_SQL, op7_mixing
+from quillgraph.llm.ppm import op4_ppm
 from quillgraph.llm.quality_rules import op6_quality_rules
 from quillgraph.llm.sentence_pieces import op2_sentence_pieces
 from quillgraph.llm.simhash import op8_simhash
@@ -13,6 +14,7 @@ from quillgraph.llm.token_files import op5_token_files
 QUERIES = {
     "op2_sentence_pieces": op2_sentence_pieces,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_ppm": op4_ppm,
     "op5_token_files": op5_token_files,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,

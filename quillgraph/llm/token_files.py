@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from quillgraph.llm.common import documents, row_batches, written
+from quillgraph.llm.common import documents, range_bounds, range_part, row_batches, written
 
 END_ID = 2
 BLOCK = 256
@@ -204,14 +204,9 @@ def encode_frames(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.select("id").approxQuantile("id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    bounds = sorted({int(b) for b in bounds})
-    # The shard of an id is the number of bounds below it: rows go straight to their place, texts are moved once.
-    shard = F.lit(0)
-    if bounds:
-        above = F.array_position(F.transform(F.array(*map(F.lit, bounds)), lambda b: b >= F.col("id")), True)
-        shard = F.when(F.col("id").isNull(), 0).when(above == 0, len(bounds)).otherwise(above - 1).cast("int")
-    placed = (rows.withColumn("shard", shard).repartitionById(len(bounds) + 1, F.col("shard"))
+    # Rows go straight to the place of their id: texts are moved once, and no sample of them is taken.
+    bounds = range_bounds(rows.select("id"), "id", n)
+    placed = (rows.withColumn("shard", range_part(F.col("id"), bounds)).repartitionById(len(bounds) + 1, F.col("shard"))
               .withColumn("tie", F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("id"), "tie").select("shard", "id", "text"))
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
