@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillgraph.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from quillgraph.llm.html_text import op1_html_text
 from quillgraph.llm.mixing import OP7_SQL, op7_mixing
 from quillgraph.llm.ppm import op4_ppm
 from quillgraph.llm.quality_rules import op6_quality_rules
@@ -12,6 +13,7 @@ from quillgraph.llm.substring_dedup import op3_substring_dedup
 from quillgraph.llm.token_files import op5_token_files
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_sentence_pieces": op2_sentence_pieces,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_ppm": op4_ppm,
