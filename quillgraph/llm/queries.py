@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillgraph.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from quillgraph.llm.html_text import op1_html_text
 from quillgraph.llm.mixing import OP7_SQL, op7_mixing
+from quillgraph.llm.pii import op9_pii
 from quillgraph.llm.ppm import op4_ppm
 from quillgraph.llm.quality_rules import op6_quality_rules
 from quillgraph.llm.sentence_pieces import op2_sentence_pieces
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
+    "op9_pii": op9_pii,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
