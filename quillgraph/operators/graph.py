@@ -73,7 +73,8 @@ def roots(linked: DataFrame) -> DataFrame:
 
 def instability(linked: DataFrame) -> DataFrame:
     total = F.col("fan_in") + F.col("fan_out")
-    return linked.select("file", "fn", F.when(total > 0, F.round(F.col("fan_out") / total, 2)).otherwise(0.0).alias("instability"))
+    place = [c for c in ("seq",) if c in linked.columns]
+    return linked.select("file", "fn", *place, F.when(total > 0, F.round(F.col("fan_out") / total, 2)).otherwise(0.0).alias("instability"))
 
 
 def self_loops(classified: DataFrame) -> DataFrame:

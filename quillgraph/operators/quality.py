@@ -231,7 +231,7 @@ def recommendations(nodes: DataFrame, issues: DataFrame, limits: Limits = Limits
         return _first_names(rows).select(
             "file", F.lit(place).alias("place"), F.lit(priority).alias("priority"), "scope", F.lit(action).alias("action"))
 
-    unstable = instability(nodes).filter(F.col("instability") > limits.unstable).join(nodes.select("file", "fn", "seq"), ["file", "fn"])
+    unstable = instability(nodes).filter(F.col("instability") > limits.unstable)
     gathered = (
         first("high", N_HIGH, 0, "high").unionByName(first("medium", N_MEDIUM, 10, "medium"))
         .unionByName(line(hotspots(nodes, limits), 21, "high", "break into smaller functions"))

@@ -15,6 +15,7 @@ TRAIN_SHARE = 0.9
 EVALUATE_EVERY = 10
 PATIENCE = 80
 WARMUP_SHARE = 0.3
+UNITS = 1_000_000_000
 
 
 def split_train_val(rows: DataFrame, key: str, seed: str, share: float = TRAIN_SHARE) -> DataFrame:
@@ -73,11 +74,18 @@ def epoch_metrics(steps: DataFrame, evaluations: DataFrame) -> DataFrame:
     """History per (run, epoch): mean of batch means, and the last known validation value.
 
     ``steps`` has run, epoch, batch, loss, acc; ``evaluations`` has run, epoch, val and may lack
-    epochs. Windows run over one row per epoch.
+    epochs. Windows run over one row per epoch. Batch means are counted in units of 1e-9, so means of them are exact
+    and ties round up whatever the order of the rows.
     """
-    batches = steps.groupBy("run", "epoch", "batch").agg(F.avg("loss").alias("loss"), F.avg("acc").alias("acc"))
-    epochs = batches.groupBy("run", "epoch").agg(
-        F.round(F.avg("loss"), 4).alias("loss"), F.round(F.avg("acc") * 100, 1).alias("acc"))
+    units = lambda c: F.round(F.avg(c) * UNITS).cast("long").alias(c)
+    batches = steps.groupBy("run", "epoch", "batch").agg(units("loss"), units("acc"))
+
+    def mean(c: str, parts: int) -> Column:
+        """The mean of a column of units, half up in so many parts of one."""
+        over, under = F.sum(c) * (2 * parts) + F.count(c) * UNITS, F.count(c) * (2 * UNITS)
+        return (over - F.pmod(over, under)) / under / parts
+
+    epochs = batches.groupBy("run", "epoch").agg(mean("loss", 10_000).alias("loss"), (F.round(mean("acc", 1000) * 1000) / 10).alias("acc"))
     carried = F.last("val", ignorenulls=True).over(
         W.partitionBy("run").orderBy("epoch").rowsBetween(W.unboundedPreceding, W.currentRow))
     return epochs.join(evaluations, ["run", "epoch"], "left").select(

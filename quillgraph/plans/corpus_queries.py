@@ -9,7 +9,7 @@ from quillgraph.functions.vocabulary import SOURCE_PATTERN, TOKEN_ID, VOCABULARY
 from quillgraph.operators import encoding as E
 from quillgraph.operators import training as T
 from quillgraph.plans.registry import query
-from quillgraph.session import spread, table
+from quillgraph.session import table
 from quillgraph.sources import corpus as S
 from quillgraph.sources import sinks
 from quillgraph.sources.catalogue import with_catalogue
@@ -128,7 +128,7 @@ vocab AS (SELECT token, n, (row_number() OVER (ORDER BY n DESC, token) + 1)::INT
 
 @query("e1_build_vocab", VOCAB + " SELECT token, id, n FROM vocab")
 def e1(spark, sf):
-    return E.build_vocabulary(spread(table(spark, sf, "documents"), "doc_id"), "text")
+    return E.build_vocabulary(table(spark, sf, "documents"), "text")
 
 
 ENCODED = VOCAB + f""",
@@ -140,7 +140,7 @@ i AS (SELECT doc_id, pos, coalesce(id, 1) AS id FROM t LEFT JOIN vocab USING (to
 s AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM i GROUP BY 1)
 SELECT d.doc_id, array_to_string(list_resize(coalesce(s.ids, []), 128, 0), ' ') AS ids FROM documents d LEFT JOIN s USING (doc_id)""")
 def e2(spark, sf):
-    docs = spread(table(spark, sf, "documents"), "doc_id")
+    docs = table(spark, sf, "documents")
     encoded = E.encode_tokens(docs.select("doc_id", "text"), "text", E.build_vocabulary(docs, "text"))
     return encoded.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
@@ -165,8 +165,8 @@ SELECT a.kind, a.id, array_to_string(list_resize(coalesce(s.ids, []), 128, 0), '
 
 @query("e3_sub_token_interleave", _source_encoding_sql())
 def e3(spark, sf):
-    docs = spread(table(spark, sf, "documents"), "doc_id").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
-    pages = spread(table(spark, sf, "pages"), "page_id").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    docs = table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    pages = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     encoded = E.encode_source(docs.unionByName(pages), "text")
     return encoded.select("kind", "id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
@@ -180,7 +180,7 @@ s AS (SELECT c.doc_id, tv.d, sum(tv.v * c.n) / any_value(q.n) AS pooled FROM c J
 SELECT doc_id, round(sum(pooled), 5) AS pooled_sum, round(max(CASE WHEN d = 1 THEN pooled END), 5) AS pooled_first,
   round(max(CASE WHEN d = 64 THEN pooled END), 5) AS pooled_last FROM s GROUP BY 1""")
 def e4(spark, sf):
-    docs = spread(table(spark, sf, "documents"), "doc_id")
+    docs = table(spark, sf, "documents")
     encoded = E.encode_tokens(docs.select("doc_id", "text"), "text", E.build_vocabulary(docs, "text"))
     vectors = E.token_vectors(table(spark, sf, "embeddings"), F.col("vec_id") % len(VOCABULARY), "embedding", DIM)
     pooled = E.masked_mean_pool(encoded.select("doc_id", "ids"), vectors, DIM)
@@ -206,7 +206,7 @@ def t2(spark, sf):
 
 @query("t3_train_classifier")
 def t3(spark, sf):
-    rows = T.split_train_val(spread(table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id"), "doc_id", "split-7")
+    rows = T.split_train_val(table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id", "split-7")
     model = T.train_classifier(rows.filter("is_train"), "text", "lang")
     scored = model.transform(rows.filter("NOT is_train"))
     return T.confusion(scored, "label_id", "predicted_id")
@@ -215,8 +215,9 @@ def t3(spark, sf):
 # A run is an event type, an epoch a day, a batch an hour; every fifth day is evaluated.
 STEPS_SQL = """WITH s AS (SELECT event_type AS run, date_diff('day', DATE '2024-01-01', ts::DATE)::BIGINT + 1 AS epoch, hour(ts) AS batch,
   value AS loss, CASE WHEN value > 20 THEN 1.0::DOUBLE ELSE 0 END AS acc FROM events),
-b AS (SELECT run, epoch, batch, avg(loss) AS loss, avg(acc) AS acc FROM s GROUP BY 1, 2, 3),
-e AS (SELECT run, epoch, round(avg(loss), 4) AS loss, round(avg(acc) * 100, 1) AS acc FROM b GROUP BY 1, 2),
+b AS (SELECT run, epoch, batch, round(avg(loss) * 1000000000)::BIGINT AS loss, round(avg(acc) * 1000000000)::BIGINT AS acc FROM s GROUP BY 1, 2, 3),
+e AS (SELECT run, epoch, ((sum(loss) * 20000 + count(*) * 1000000000)::BIGINT // (count(*) * 2000000000)::BIGINT) / 10000.0::DOUBLE AS loss,
+  ((sum(acc) * 2000 + count(*) * 1000000000)::BIGINT // (count(*) * 2000000000)::BIGINT) / 10.0::DOUBLE AS acc FROM b GROUP BY 1, 2),
 v AS (SELECT run, epoch, avg(acc) AS val FROM s GROUP BY 1, 2)"""
 
 

@@ -13,15 +13,16 @@ from quillgraph.streaming.quota import anchored_quota, use_state_store
 
 DAY_MS, LIMIT = 86_400_000, 2
 
-QUOTA_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+QUOTA_CTE = """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 q AS (SELECT user_id, event_id, i, 1 AS n, ts + INTERVAL 1 DAY AS reset_at, true AS allowed FROM e WHERE i = 1
   UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN e.ts > q.reset_at THEN 1 WHEN q.n >= 2 THEN q.n ELSE q.n + 1 END,
-    CASE WHEN e.ts > q.reset_at THEN e.ts + INTERVAL 1 DAY ELSE q.reset_at END, e.ts > q.reset_at OR q.n < 2 FROM q JOIN e ON e.user_id = q.user_id AND e.i = q.i + 1)
+    CASE WHEN e.ts > q.reset_at THEN e.ts + INTERVAL 1 DAY ELSE q.reset_at END, e.ts > q.reset_at OR q.n < 2 FROM q JOIN e ON e.user_id = q.user_id AND e.i = q.i + 1)"""
+QUOTA_SQL = QUOTA_CTE + """
 SELECT user_id::VARCHAR AS key, event_id, allowed, n::INTEGER AS n_in_window FROM q"""
 
 
 def access_log(spark, sf):
-    return table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", "ts")
+    return table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
 
 
 def _scratch(spark) -> str:
@@ -31,33 +32,50 @@ def _scratch(spark) -> str:
 @query("w1_anchored_quota", QUOTA_SQL)
 def w1(spark, sf):
     use_state_store(spark)
-    return anchored_quota(access_log(spark, sf), DAY_MS, LIMIT).select("key", "event_id", "allowed", "n_in_window")
+    return anchored_quota(access_log(spark, sf), DAY_MS, LIMIT).filter("kind = 'verdict'").select("key", "event_id", "allowed", "n_in_window")
 
 
-def stream_events(spark, sf):
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return stream.select(F.col("user_id").cast("string").alias("key"), "event_id", "ts")
+SLICES = 6
 
 
-def quota_stream(spark, sf):
-    """Runs the quota as a stream over the events file and returns what it wrote."""
+def quota_stream(spark, sf, order):
+    """Runs the quota as a stream over SLICES arrivals of the events, cut by `order`, one arrival a step."""
     use_state_store(spark)
     scratch = _scratch(spark)
-    verdicts = anchored_quota(stream_events(spark, sf), DAY_MS, LIMIT)
-    run = verdicts.writeStream.format("parquet").option("checkpointLocation", f"{scratch}/state").trigger(availableNow=True).start(f"{scratch}/out")
+    log = access_log(spark, sf)
+    for part in range(SLICES):
+        log.filter(order == part).coalesce(1).write.mode("append").parquet(f"{scratch}/in")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/in")
+    run = (anchored_quota(stream, DAY_MS, LIMIT).writeStream.format("parquet").option("checkpointLocation", f"{scratch}/state")
+           .trigger(availableNow=True).start(f"{scratch}/out"))
     run.awaitTermination()
     return spark.read.parquet(f"{scratch}/out")
 
 
+def in_time(spark, sf):
+    """Arrival of an event when they come in order of time: its place among SLICES equal spans."""
+    ends = access_log(spark, sf).agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    span = max((ends["b"] or 0) - (ends["a"] or 0), 0) // SLICES + 1
+    return F.floor((F.unix_micros("ts") - F.lit(ends["a"] or 0)) / span)
+
+
 @query("w1_anchored_quota_stream", QUOTA_SQL)
 def w1_stream(spark, sf):
-    return quota_stream(spark, sf).filter("NOT expired").select("key", "event_id", "allowed", "n_in_window")
+    return quota_stream(spark, sf, in_time(spark, sf)).filter("kind = 'verdict'").select("key", "event_id", "allowed", "n_in_window")
+
+
+@query("w1_quota_late_side_output", "SELECT user_id::VARCHAR AS key, event_id FROM events")
+def w1_late(spark, sf):
+    """Arrivals in no order: every event has a verdict or is late; none is lost, none comes twice."""
+    rows = quota_stream(spark, sf, F.pmod(F.crc32(F.col("event_id").cast("string")), F.lit(SLICES)))
+    return rows.filter("kind IN ('verdict', 'late')").select("key", "event_id")
 
 
-@query("w2_state_expiry")
+@query("w2_state_expiry", QUOTA_CTE + """
+SELECT user_id::VARCHAR AS key, reset_at, max(n)::INTEGER AS n_in_window FROM q
+WHERE reset_at < (SELECT max(l.reset_at) FROM q l WHERE l.user_id = q.user_id) GROUP BY user_id, reset_at""")
 def w2(spark, sf):
-    return quota_stream(spark, sf).filter("expired").select("key", F.col("ts").alias("reset_at"), "n_in_window")
+    return quota_stream(spark, sf, in_time(spark, sf)).filter("kind = 'closed'").select("key", F.col("ts").alias("reset_at"), "n_in_window")
 
 
 @query("w3_incremental_corpus", """

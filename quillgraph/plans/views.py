@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillgraph.functions.text import hashed_choice
-from quillgraph.session import spread, table
+from quillgraph.session import table
 
 # Documents stand for functions; a file is what one source published within a run of 200 ids, so
 # no file holds more than 200 functions however large a source is.
@@ -21,24 +21,27 @@ def _count_of(text, mark: str):
     return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
 
-def function_keys(spark, sf, *extra: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("repo"), *extra)
-    file = F.concat("repo", F.lit("/"), F.expr(f"doc_id div {FILE_SPAN}").cast("string"))
+def function_keys(spark, sf, *measures) -> DataFrame:
+    """Functions with their place in their file. Measures of the text are taken in the scan, so no exchange carries a text."""
+    repo = F.col("source")
+    file = F.concat(repo, F.lit("/"), F.expr(f"doc_id div {FILE_SPAN}").cast("string"))
+    docs = table(spark, sf, "documents").select("doc_id", repo.alias("repo"), file.alias("file"), *measures)
     seq = F.row_number().over(W.partitionBy("file").orderBy("doc_id"))
-    # Rows are dealt out by file, which is also what the rank and every later step group by.
-    return spread(docs.withColumn("file", file), "file").withColumn("seq", seq).withColumn("fn", F.concat(F.lit("f"), F.lpad(F.col("seq").cast("string"), 3, "0")))
+    return docs.withColumn("seq", seq).withColumn("fn", F.concat(F.lit("f"), F.lpad(F.col("seq").cast("string"), 3, "0")))
 
 
 def node_facts(spark, sf) -> DataFrame:
     d, t = F.col("doc_id"), F.col("text")
     u = lambda name, m: hashed_choice(d, name, m)
     present = lambda names, tag, m: F.array_compact(F.array(*[F.when(u(f"{tag}_{n}", m) == 0, F.lit(n)) for n in names]))
-    return function_keys(spark, sf, "text").select(
+    measured = function_keys(
+        spark, sf, F.size(F.split(t, "\n")).cast("long").alias("lines"),
+        (F.lit(1) + F.least(F.lit(13), F.floor(_count_of(t, ".") / 6))).cast("long").alias("complexity"),
+        F.least(F.lit(6), F.floor(_count_of(t, ",") / 8)).cast("long").alias("nesting"))
+    return measured.select(
         "repo", "file", "fn", "seq",
         F.element_at(F.array(*[F.lit(k) for k in KINDS]), (u("kind", 4) + 1).cast("int")).alias("kind"),
-        F.size(F.split(t, "\n")).cast("long").alias("lines"),
-        (F.lit(1) + F.least(F.lit(13), F.floor(_count_of(t, ".") / 6))).cast("long").alias("complexity"),
-        F.least(F.lit(6), F.floor(_count_of(t, ",") / 8)).cast("long").alias("nesting"),
+        "lines", "complexity", "nesting",
         u("par", 8).alias("n_params"), u("calls", 10).alias("n_calls"), u("wr", 6).alias("n_writes"), u("rd", 8).alias("n_reads"),
         u("wo", 2).alias("n_outer_writes"), (u("as", 5) == 0).alias("is_async"), (u("gen", 20) == 0).alias("is_generator"),
         (u("next", 25) == 0).alias("calls_next"), (u("ev", 25) == 0).alias("has_event_param"),

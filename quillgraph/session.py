@@ -12,8 +12,6 @@ TABLES = (
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-FEW_FILES = 4
-
 
 def build_session(app: str = "quillgraph", cores: str = "*", **conf: str) -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own."""
@@ -25,6 +23,7 @@ def build_session(app: str = "quillgraph", cores: str = "*", **conf: str) -> Spa
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.files.minPartitionNum", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -39,17 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deals out the rows of a table that lies in a few files, before work that costs much per row.
-
-    Such a file is often one row group, which one core would read and then compute alone. Tables of
-    many files, the usual case on a cluster, are left as they lie.
-    """
-    if len(df.inputFiles()) > FEW_FILES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster. Only a local session without one gets its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

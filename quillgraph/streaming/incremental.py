@@ -8,20 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Files per step of the two analyses.
-FILES_PER_STEP_PREDICTION, FILES_PER_STEP_SEMANTICS = 5, 4
+BYTES_PER_STEP = "8g"
 
 Facts = Callable[[DataFrame], DataFrame]
 
 
 def process_arrivals(spark: SparkSession, source: str, schema: T.StructType, facts: Facts, target: str, checkpoint: str,
-                     files_per_step: int = FILES_PER_STEP_SEMANTICS, glob: str | None = None) -> list[dict]:
-    """Drains the files below ``source`` in steps of ``files_per_step`` and writes their facts.
+                     bytes_per_step: str = BYTES_PER_STEP, glob: str | None = None) -> DataFrame:
+    """Drains the files below ``source`` in steps of about ``bytes_per_step`` and writes their facts.
 
     Each step overwrites its own ``step=<id>`` folder, so a repeated step after a failure leaves the
-    same rows. Returns the progress of the steps.
+    same rows. Returns the rows of each step (step, rows), read from what was written.
     """
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_step)
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_step)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
 
@@ -34,7 +33,7 @@ def process_arrivals(spark: SparkSession, source: str, schema: T.StructType, fac
     stream.awaitTermination()
     if stream.exception() is not None:
         raise stream.exception()
-    return [{"step": p["batchId"], "rows": p["numInputRows"]} for p in stream.recentProgress]
+    return spark.read.parquet(target).groupBy("step").agg(F.count("*").alias("rows"))
 
 
 def current_facts(spark: SparkSession, target: str, key: str) -> DataFrame:

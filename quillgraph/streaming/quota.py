@@ -1,6 +1,6 @@
-"""Per-key quota in windows that open at a key's first event, with expiring state.
+"""Per-key quota in windows that open at a key's first event.
 
-State per key is two numbers. The same processor serves a stream and a static table.
+State per key is four numbers. The same processor serves a stream and a static table.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor
 # Events allowed per window and window length of the two services.
 QUOTA, WINDOW_MS, ENGINE_QUOTA = 60, 60_000, 120
 
-OUTPUT = "key string, event_id long, ts timestamp, allowed boolean, n_in_window int, expired boolean"
+OUTPUT = "key string, event_id long, ts timestamp, allowed boolean, n_in_window int, kind string"
 
 
 def admit_sorted(times: np.ndarray, count: int, reset_at: int, window_us: int, limit: int) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -48,58 +48,70 @@ class QuotaProcessor(StatefulProcessor):
         self.window_us, self.limit, self.presorted = window_us, limit, presorted
 
     def init(self, handle) -> None:
-        self.handle = handle
-        self.slot = handle.getValueState("slot", "count int, reset_at long")
+        self.slot = handle.getValueState("slot", "count int, reset_at long, last_ts long, last_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if not self.presorted:
-            # A micro-batch is bounded by the source's trigger options.
+            # Order within a micro-batch; the source's trigger options bound it.
             rows = iter([pd.concat(list(rows))])
-        count, reset_at = self.slot.get() if self.slot.exists() else (0, -1)
-        opened = reset_at
+        count, reset_at, last_ts, last_id = self.slot.get() if self.slot.exists() else (0, -1, -(1 << 62), -1)
         for part in rows:
             part = part.sort_values(["ts", "event_id"], kind="stable")
-            times = part["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
-            allowed, counts, count, reset_at = admit_sorted(times, int(count), int(reset_at), self.window_us, self.limit)
+            times, ids = part["ts"].to_numpy(dtype="datetime64[us]").astype("int64"), part["event_id"].to_numpy()
+            late = (times < last_ts) | ((times == last_ts) & (ids < last_id))
+            yield self._rows(key, part[late], None, None, "late")
+            part, times = part[~late], times[~late]
+            if not len(part):
+                continue
+            before = reset_at
+            allowed, counts, end_count, reset_at = admit_sorted(times, int(count), int(reset_at), self.window_us, self.limit)
+            yield self._rows(key, part, allowed, counts, "verdict")
+            yield from self._closed(key, times, counts, int(count), int(before))
+            count, last_ts, last_id = end_count, int(times[-1]), int(part["event_id"].iloc[-1])
+        self.slot.update((int(count), int(reset_at), int(last_ts), int(last_id)))
+
+    def _closed(self, key, times: np.ndarray, counts: np.ndarray, count: int, reset_at: int) -> Iterator[pd.DataFrame]:
+        """Windows that an event of these rows came after: their end and how many they held."""
+        ends, held, at = [], [], 0
+        while at < len(times):
+            if reset_at < 0 or times[at] > reset_at:
+                if reset_at >= 0:
+                    ends.append(reset_at)
+                    held.append(count if at == 0 else int(counts[at - 1]))
+                reset_at = int(times[at]) + self.window_us
+            at = max(int(np.searchsorted(times, reset_at, side="right")), at + 1)
+        if ends:
             yield pd.DataFrame({
-                "key": str(key[0]), "event_id": part["event_id"].to_numpy(), "ts": part["ts"].to_numpy(), "allowed": allowed,
-                "n_in_window": counts, "expired": False})
-        self.slot.update((int(count), int(reset_at)))
-        if reset_at != opened and timerValues.getCurrentWatermarkInMs() >= 0:
-            self._move_timer(reset_at)
-
-    def _move_timer(self, reset_at: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
-        self.handle.registerTimer(reset_at // 1000 + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """A window that is over leaves no state behind."""
-        count, reset_at = self.slot.get() if self.slot.exists() else (0, 0)
-        if self.slot.exists():
-            self.slot.clear()
-        yield pd.DataFrame({
-            "key": [str(key[0])], "event_id": pd.array([None], dtype="Int64"), "ts": [pd.Timestamp(int(reset_at), unit="us")], "allowed": [False],
-            "n_in_window": np.array([count], dtype=np.int32), "expired": [True]})
+                "key": str(key[0]), "event_id": pd.array([None] * len(ends), dtype="Int64"), "ts": pd.to_datetime(ends, unit="us"),
+                "allowed": pd.array([None] * len(ends), dtype="boolean"), "n_in_window": np.array(held, dtype=np.int32), "kind": "closed"})
+
+    def _rows(self, key, part: pd.DataFrame, allowed, counts, kind: str) -> pd.DataFrame:
+        none = [None] * len(part)
+        return pd.DataFrame({
+            "key": str(key[0]), "event_id": part["event_id"].to_numpy(), "ts": part["ts"].to_numpy(),
+            "allowed": pd.array(none if allowed is None else allowed, dtype="boolean"),
+            "n_in_window": pd.array(none if counts is None else counts, dtype="Int32"), "kind": kind})
 
     def close(self) -> None:
         pass
 
 
-def anchored_quota(events: DataFrame, window_ms: int = WINDOW_MS, limit: int = QUOTA, late_by: str = "0 seconds") -> DataFrame:
-    """Verdict per event (key, event_id, ts). On a stream, expired windows come out as rows too.
+def anchored_quota(events: DataFrame, window_ms: int = WINDOW_MS, limit: int = QUOTA) -> DataFrame:
+    """Rows of OUTPUT for events (key, event_id, ts), by kind.
+
+    verdict: an event in the order of its key. late: an event that came after a later one of its key was decided
+    (streams only); it has no verdict and is not lost. closed: a window that an event of its key came after, with its end
+    and what it held; this depends on the data, not on how a stream was cut.
 
-    A static table is sorted by key and time first, so a busy key flows through in order and is
-    never held; a stream is held per micro-batch.
+    A static table is sorted by key and time first, so a busy key flows through in order and is never held; a
+    stream is held per micro-batch. There is no watermark, so no row is dropped; a key keeps four numbers.
     """
     rows = events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    if events.isStreaming:
-        rows, mode = rows.withWatermark("ts", late_by), "EventTime"
-    else:
-        rows, mode = rows.repartition("key").sortWithinPartitions("key", "ts", "event_id"), "None"
+    if not events.isStreaming:
+        rows = rows.repartition("key").sortWithinPartitions("key", "ts", "event_id")
     return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=QuotaProcessor(window_ms * 1000, limit, not events.isStreaming),
-        outputStructType=OUTPUT, outputMode="Append", timeMode=mode)
+        outputStructType=OUTPUT, outputMode="Append", timeMode="None")
 
 
 def use_state_store(spark) -> None:

@@ -77,7 +77,7 @@ def test_quota_edges():
     assert list(allowed) == [True, True, True, False, True] and list(counts) == [1, 2, 3, 3, 1] and (count, reset) == (1, 21)
 
 
-def test_stream_equals_batch_and_state_expires(spark, tmp_path):
+def test_stream_equals_batch(spark, tmp_path):
     use_state_store(spark)
     start = dt.datetime(2024, 1, 1)
     # One key falls silent at once, the others stay busy past every watermark.
@@ -86,27 +86,45 @@ def test_stream_equals_batch_and_state_expires(spark, tmp_path):
     # Three arrivals in time order.
     for n in range(3):
         df.filter((F.col("event_id") >= n * 20) & (F.col("event_id") < n * 20 + 20)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    batch = {(r.key, r.event_id): r.allowed for r in anchored_quota(df, 60_000, 2).collect()}
+    batch = {(r.key, r.event_id): r.allowed for r in anchored_quota(df, 60_000, 2).filter("kind = 'verdict'").collect()}
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = anchored_quota(stream, 60_000, 2)
     run = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
     run.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert {(r.key, r.event_id): r.allowed for r in got if not r.expired} == batch
+    assert {(r.key, r.event_id): r.allowed for r in got if r.kind == "verdict"} == batch
     assert any(not v for v in batch.values())
-    assert {r.key for r in got if r.expired} == {"quiet"}
+    closed = {(r.key, r.ts, r.n_in_window) for r in anchored_quota(df, 60_000, 2).filter("kind = 'closed'").collect()}
+    assert {(r.key, r.ts, r.n_in_window) for r in got if r.kind == "closed"} == closed and closed
+    assert "quiet" not in {key for key, _, _ in closed}
+
+
+def test_no_event_is_lost_in_any_order_of_arrival(spark, tmp_path):
+    use_state_store(spark)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(f"k{i % 3}", i, start + dt.timedelta(seconds=7 * i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, event_id long, ts timestamp")
+    for n in (3, 0, 4, 1, 2):
+        df.filter(F.col("event_id") % 5 == n).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = anchored_quota(stream, 60_000, 2).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    run.awaitTermination()
+    got = [r for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.kind in ("verdict", "late")]
+    assert sorted(r.event_id for r in got) == list(range(60))
+    assert {r.kind for r in got} == {"verdict", "late"}
 
 
 def test_incremental_corpus(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i}", i % 3) for i in range(30)], "id int, text string, v int")
     docs.repartition(6, "id").write.parquet(str(tmp_path / "in"))
     facts = lambda batch: batch.select("id", F.length("text").alias("n"))
-    steps = process_arrivals(spark, str(tmp_path / "in"), docs.schema, facts, str(tmp_path / "facts"), str(tmp_path / "cp"), files_per_step=2)
-    assert len(steps) >= 2 and sum(s["rows"] for s in steps) == 30
+    steps = process_arrivals(spark, str(tmp_path / "in"), docs.schema, facts, str(tmp_path / "facts"), str(tmp_path / "cp"), bytes_per_step="3k")
+    steps = {r.step: r.rows for r in steps.collect()}
+    assert len(steps) >= 2 and sum(steps.values()) == 30
     now = {r.id: r.n for r in current_facts(spark, str(tmp_path / "facts"), "id").collect()}
     assert now == {i: len(f"text {i}") for i in range(30)}
     # A file that comes again replaces its rows.
     docs.filter("id = 5").withColumn("text", F.lit("longer text now")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    process_arrivals(spark, str(tmp_path / "in"), docs.schema, facts, str(tmp_path / "facts"), str(tmp_path / "cp"), files_per_step=2)
+    process_arrivals(spark, str(tmp_path / "in"), docs.schema, facts, str(tmp_path / "facts"), str(tmp_path / "cp"), bytes_per_step="3k")
     again = {r.id: r.n for r in current_facts(spark, str(tmp_path / "facts"), "id").collect()}
     assert again == {**now, 5: len("longer text now")}
