@@ -4,7 +4,7 @@ Texts become one token table (file, idx, tok, line, ...). Bracket matching, encl
 neighbours are windows over it, all partitioned by file or finer, so one exchange serves them. A
 file is one row of the corpus with a size limit, so its tokens are bounded.
 
-Known limits: a regular-expression literal reads as divisions, substitutions inside template
+Known limits: a slash behind a closing bracket reads as a division, substitutions inside template
 strings are not looked into, and a statement needs a semicolon, a bracket or a leading keyword to
 end an expression-bodied arrow.
 """
@@ -20,7 +20,10 @@ from quillgraph.functions.text import contains_any
 from quillgraph.functions.vocabulary import SOURCE_PATTERN
 from quillgraph.session import cut_lineage
 
-TOKEN_PATTERN = r"[ \t\r\f\x0B]*(?:\n|" + SOURCE_PATTERN + ")"
+# A slash opens a regular expression where a value may start; there, brackets and quotes are its own.
+REGEX_PATTERN = (
+    r"(?<=(?:[=(,:\[!&|?{;+*%~^]|\breturn|\btypeof|\bcase)\s{0,8})/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*")
+TOKEN_PATTERN = r"[ \t\r\f\x0B]*(?:\n|" + REGEX_PATTERN + "|" + SOURCE_PATTERN + ")"
 IDENTIFIER = r"^[A-Za-z_$][A-Za-z0-9_$]*$|^Math\."
 OPENING, CLOSING = ("{", "(", "["), ("}", ")", "]")
 RESERVED = (
@@ -28,6 +31,7 @@ RESERVED = (
     "else", "function", "class", "extends", "new", "typeof", "void", "delete", "instanceof", "in", "of", "var", "let", "const",
     "import", "export", "from", "yield", "await", "async", "this", "super", "true", "false", "null", "undefined", "static",
 )
+SOFT_WORDS = ("of", "from", "static")
 STATEMENT_WORDS = ("const", "let", "var", "function", "class", "return", "if", "for", "while", "export", "import", "switch", "try", "throw")
 # A function keyword behind one of these is part of an expression.
 EXPRESSION_BEFORE = ("=", "(", ",", ":", "return", "[", "?", "&&", "||", "??", "!", "=>", "new", "typeof", "void", "+", "-", "yield", "await", "...", "+=")
@@ -79,6 +83,16 @@ def is_name(tok: Column) -> Column:
     return tok.rlike(IDENTIFIER) & ~tok.isin(*RESERVED)
 
 
+def is_soft_callee(tok: Column, before: Column, after: Column) -> Column:
+    """Words that are names outside their contexts, where they are called: `of(x)` but not `a of (b)`."""
+    return tok.isin(*SOFT_WORDS) & (after == "(") & ~F.coalesce(is_name(before) | before.isin("]", "}", "export"), F.lit(False))
+
+
+def is_word_in_place(before: Column) -> Column:
+    """A keyword behind a dot is a property and does nothing."""
+    return ~F.coalesce(before.isin(".", "?."), F.lit(False))
+
+
 def code_tokens(files: DataFrame, text: str = "text") -> DataFrame:
     """Tokens (file, pos, tok, line, at) in text order, without comments and line ends.
 
@@ -108,15 +122,20 @@ def tokens(files: DataFrame, text: str = "text") -> DataFrame:
     numbered = code.select(
         "file", "tok", "line", "at", F.row_number().over(by_pos).alias("idx"),
         F.sum(step).over(upto).alias("_depth"),
-        *[back(n).alias(f"p{n}") for n in range(1, 5)], *[ahead(n).alias(f"n{n}") for n in range(1, 4)])
+        *[back(n).alias(f"p{n}") for n in range(1, 6)], *[ahead(n).alias(f"n{n}") for n in range(1, 5)])
     leveled = numbered.withColumn("level", F.col("_depth") + F.when(F.col("tok").isin(*CLOSING), 1).otherwise(0))
-    body = (F.col("tok") == "{") & F.greatest(*[flag(F.col(f"p{n}") == "class") for n in (1, 2, 3, 4)]).cast("boolean") & ~F.col("p1").isin(")", ";", "{", "}")
+    # The block of a class is the first one behind the word, whatever its parent is.
+    opens_class = (F.col("tok") == "class") & is_word_in_place(F.col("p1")) & ~F.coalesce(F.col("n1") == ":", F.lit(False))
+    marks = W.partitionBy("file").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    last_mark = F.last(F.when(opens_class, F.col("idx")).when(F.col("tok").isin(";", "{", "}"), 0), ignorenulls=True).over(marks)
+    body = (F.col("tok") == "{") & F.coalesce(F.col("class_idx") > 0, F.lit(False))
     in_level = W.partitionBy("file", "level").orderBy("idx")
     so_far = in_level.rowsBetween(W.unboundedPreceding, 0)
     later = W.partitionBy("file", "level").orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1)
     last_open = lambda c: F.last(F.when(opens, c), ignorenulls=True).over(so_far)
     ends = F.col("tok").isin(",", ";", *CLOSING) | F.col("tok").isin(*STATEMENT_WORDS)
-    inside = leveled.withColumn("is_class", body).select(
+    declaring = F.last(F.when(F.col("tok").isin("let", "const", "var", ";", *OPENING, *STATEMENT_WORDS), F.col("tok")), ignorenulls=True).over(so_far)
+    inside = leveled.withColumn("class_idx", last_mark).withColumn("is_class", body).withColumn("declares", declaring.isin("let", "const", "var")).select(
         "*", last_open(F.col("idx")).alias("encl"), last_open(F.col("tok")).alias("encl_tok"), last_open(F.col("is_class")).alias("encl_class"),
         F.last(F.when(ends, F.col("idx")), ignorenulls=True).over(later).alias("term_idx"))
     # Brackets of one level alternate, so the next one closes an opening one.
@@ -261,7 +280,8 @@ def calls(toks: DataFrame, heads: DataFrame) -> DataFrame:
     """Call sites (file, idx, callee): ``f``, ``obj.prop`` or ``<IIFE>``."""
     methods = heads.filter(~F.col("kind").isin("arrow", "declaration")).select("file", "idx").distinct()
     member = F.col("p1") == "."
-    plain = toks.filter((F.col("n1") == "(") & (is_name(F.col("tok")) | (member & F.col("tok").rlike(IDENTIFIER)))
+    made = member & ((F.col("p3") == "new") | ((F.col("p3") == ".") & (F.col("p5") == "new")))
+    plain = toks.filter((F.col("n1") == "(") & ~F.coalesce(made, F.lit(False)) & (is_name(F.col("tok")) | is_soft_callee(F.col("tok"), F.col("p1"), F.col("n1")) | (member & F.col("tok").rlike(IDENTIFIER)))
                         & ~F.coalesce(F.col("p1").isin("function", "new") | ((F.col("p1") == "*") & (F.col("p2") == "function")), F.lit(False)))
     callee = F.when(F.coalesce(member, F.lit(False)), F.concat(F.when(F.col("p2").rlike(IDENTIFIER), F.col("p2")).otherwise("?"), F.lit("."), "tok")).otherwise(F.col("tok"))
     sites = plain.join(methods, ["file", "idx"], "left_anti").select("file", "idx", callee.alias("callee"))
@@ -282,12 +302,12 @@ def function_facts(files: DataFrame, text: str = "text") -> DataFrame:
     fns = cut_lineage(functions(toks, heads))
     sites = calls(toks, heads).withColumnRenamed("callee", "_callee")
     t = F.col("tok")
-    names = is_name(t) & ~F.coalesce(F.col("p1") == ".", F.lit(False)) & ~((F.col("n1") == ":") & F.col("p1").isin("{", ","))
-    declared = F.coalesce(F.col("p1").isin("let", "const", "var"), F.lit(False))
+    names = (is_name(t) | is_soft_callee(t, F.col("p1"), F.col("n1"))) & ~F.coalesce(F.col("p1") == ".", F.lit(False)) & ~((F.col("n1") == ":") & F.col("p1").isin("{", ","))
+    declared = F.coalesce(F.col("p1").isin("let", "const", "var") | ((F.col("p1") == ",") & F.col("declares")), F.lit(False))
     facts = _nesting(toks, heads).join(sites, ["file", "idx"], "left").select(
         "file", "idx", "nest", "_step", "tok", "_callee",
-        flag(t.isin(*DECISIONS) & ~((t == "?") & (F.col("n1") == ".")) & ~((t == "default") & (F.col("n1") != ":"))).alias("_decision"),
-        flag(t.isin(*NESTING_WORDS) | ((t == "function") & F.col("p1").isin(*EXPRESSION_BEFORE))).alias("_nests"),
+        flag(t.isin(*DECISIONS) & is_word_in_place(F.col("p1")) & ~((t == "?") & (F.col("n1") == ".")) & ~((t == "default") & (F.col("n1") != ":"))).alias("_decision"),
+        flag((t.isin(*NESTING_WORDS) & is_word_in_place(F.col("p1"))) | ((t == "function") & F.col("p1").isin(*EXPRESSION_BEFORE))).alias("_nests"),
         F.when(names, t).alias("_read"),
         F.when(names & (declared | F.col("n1").isin("=", "+=", "-=", "*=", "/=", "%=", "**=")), t).alias("_write"),
         flag((F.col("n1") == "=") & ((F.col("p1") == ".") | (t == "]"))).alias("_mutates"),
@@ -321,15 +341,18 @@ def edges_of(facts: DataFrame) -> DataFrame:
 def classes(toks: DataFrame) -> DataFrame:
     """Classes with their parent."""
     named = is_name(F.col("n1"))
-    parent = F.when(F.col("n1") == "extends", F.col("n2")).when(F.col("n2") == "extends", F.col("n3"))
-    return toks.filter("tok = 'class'").select(
+    # A parent that is a member, such as `a.B`, has no name of its own: the token behind it is a dot.
+    parent = F.when(F.col("n1") == "extends", F.when(F.coalesce(F.col("n3") != ".", F.lit(True)), F.col("n2"))).when(
+        F.col("n2") == "extends", F.when(F.coalesce(F.col("n4") != ".", F.lit(True)), F.col("n3")))
+    start = (F.col("tok") == "class") & is_word_in_place(F.col("p1")) & ~F.coalesce(F.col("n1") == ":", F.lit(False))
+    return toks.filter(start).select(
         "file", F.col("idx").alias("class_idx"), F.when(named, F.col("n1")).otherwise("<anonymous>").alias("name"), parent.alias("parent"), "line")
 
 
 def class_methods(toks: DataFrame) -> DataFrame:
     """Methods (file, class_name, name, kind, is_static) in the body of a class."""
-    owner = toks.filter("is_class").select("file", F.col("idx").alias("encl"), F.when(F.col("p1") == "class", "<anonymous>").when(
-        F.col("p2") == "class", F.col("p1")).when(F.col("p3") == "class", F.lit("<anonymous>")).otherwise(F.col("p3")).alias("class_name"))
+    owner = toks.filter("is_class").select("file", F.col("idx").alias("encl"), "class_idx").join(
+        classes(toks).select("file", "class_idx", F.col("name").alias("class_name")), ["file", "class_idx"]).drop("class_idx")
     placed = function_headers(toks).filter("kind IN ('method', 'constructor', 'get', 'set')").join(
         toks.select("file", "idx", "encl"), ["file", "idx"])
     return placed.join(owner, ["file", "encl"]).select("file", "class_name", F.col("own_name").alias("name"), "kind", "is_static")
