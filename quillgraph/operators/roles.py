@@ -112,9 +112,9 @@ def file_patterns(with_roles: DataFrame, classified: DataFrame) -> DataFrame:
     ).join(decorating_files(with_roles, classified).withColumn("decorator", F.lit(True)), "file", "left")
     named = lambda condition, name: F.when(condition, F.lit(name))
     found = F.array_compact(F.array(
-        named(F.col("singleton"), "Singleton"), named(F.col("observer"), "Observer"),
+        named(F.col("singleton"), "Singleton"), named(F.col("observer"), "Observer/EventEmitter"),
         named(F.col("n_factories") >= 2, "Factory"), named(F.col("n_middleware") >= 2, "Middleware Chain"),
-        named(F.col("n_links") >= 2, "Pipeline"), named(F.col("strategy"), "Strategy"), named(F.col("decorator"), "Decorator"),
+        named(F.col("n_links") >= 2, "Pipeline"), named(F.col("strategy"), "Strategy"), named(F.col("decorator"), "Decorator/HOF"),
         named(F.col("memo"), "Memoization"), named(F.col("n_builders") >= 3, "Builder"),
         named(F.col("recursive"), "Recursive Descent")))
     return facts.select("file", F.posexplode(found).alias("place", "pattern"))
@@ -220,7 +220,7 @@ def architecture_style(files: DataFrame) -> Column:
         F.when(F.col("n_inheriting") > 0, "objects with inheritance").when(F.col("n_classes") > 0, "objects"),
         F.when(has("Pipeline") & has("Middleware Chain"), "staged middleware").when(flow, "staged processing")
         .when(has("Middleware Chain"), "middleware chain"),
-        F.when(has("Observer"), "event-driven"),
+        F.when(has("Observer/EventEmitter"), "event-driven"),
         F.when(has("Singleton") & (F.col("n_imports") > 3), "shared state"),
         F.when(share("n_pure") > 0.5, "functional"),
         F.when(share("n_async") > 0.3, "asynchronous"))

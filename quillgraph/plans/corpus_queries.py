@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import WORD_PATTERN, djb2_fingerprint
@@ -9,7 +11,7 @@ from quillgraph.functions.vocabulary import SOURCE_PATTERN, TOKEN_ID, VOCABULARY
 from quillgraph.operators import encoding as E
 from quillgraph.operators import training as T
 from quillgraph.plans.registry import query
-from quillgraph.session import table
+from quillgraph.session import shared_dir, table
 from quillgraph.sources import corpus as S
 from quillgraph.sources import sinks
 from quillgraph.sources.catalogue import with_catalogue
@@ -43,6 +45,19 @@ def s1(spark, sf):
         "path", F.length("text").cast("long").alias("size"), F.md5("text").alias("digest"))
 
 
+@query("s1_read_corpus_files", """
+SELECT source AS repo, doc_id // 200 AS span, strlen(string_agg(text, chr(10) ORDER BY doc_id)) + 1 AS size, md5(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS digest
+FROM documents GROUP BY 1, 2""")
+def s1_files(spark, sf):
+    """The documents as source files in the shared folder, read back as a corpus; a file holds the texts of a run of 200 ids."""
+    folder = f"{shared_dir(spark)}/quillgraph/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    rows = table(spark, sf, "documents").select(F.col("source").alias("repo"), F.expr("doc_id div 200").alias("span"), "doc_id", "text")
+    rows.repartition("repo", "span").sortWithinPartitions("repo", "span", "doc_id").select("repo", "span", "text").write.partitionBy("repo", "span").text(folder)
+    part = lambda pattern: F.regexp_extract("path", pattern, 1)
+    return S.read_corpus(spark, folder, "*.txt").select(
+        part("repo=([^/]*)/").alias("repo"), part("span=([0-9]+)/").cast("long").alias("span"), F.col("size").cast("long").alias("size"), F.md5("text").alias("digest"))
+
+
 @query("s2_filter_corpus", V1 + """
 SELECT path, size FROM v WHERE lower(regexp_extract(path, '[^/](\\.[^./]*)$', 1)) IN ('.en', '.fr')
   AND NOT contains(path, 'src13') AND NOT contains(path, '.es') AND size < 5000""")

@@ -80,10 +80,10 @@ pf AS (SELECT file, bool_or(writes_instance AND complexity >= 2) AS singleton, b
   count(*) FILTER (WHERE role = 'factory') >= 2 AS factory, count(*) FILTER (WHERE role = 'middleware') >= 2 AS middleware,
   count(*) FILTER (WHERE fan_out = 1 AND fan_in <= 1) >= 2 AS chain, bool_or(role = 'orchestrator' AND has_strategy_param) AS strategy,
   bool_or(reads_cache AND len(effects) = 0) AS memo, count(*) FILTER (WHERE len(effects) = 0 AND n_calls >= 2 AND role = 'factory') >= 3 AS builder FROM roled GROUP BY 1),
-patterns AS (SELECT file, 1 AS o, 'Singleton' AS pattern FROM pf WHERE singleton UNION ALL SELECT file, 2, 'Observer' FROM pf WHERE observer
+patterns AS (SELECT file, 1 AS o, 'Singleton' AS pattern FROM pf WHERE singleton UNION ALL SELECT file, 2, 'Observer/EventEmitter' FROM pf WHERE observer
   UNION ALL SELECT file, 3, 'Factory' FROM pf WHERE factory UNION ALL SELECT file, 4, 'Middleware Chain' FROM pf WHERE middleware
   UNION ALL SELECT file, 5, 'Pipeline' FROM pf WHERE chain UNION ALL SELECT file, 6, 'Strategy' FROM pf WHERE strategy
-  UNION ALL SELECT file, 7, 'Decorator' FROM deco UNION ALL SELECT file, 8, 'Memoization' FROM pf WHERE memo
+  UNION ALL SELECT file, 7, 'Decorator/HOF' FROM deco UNION ALL SELECT file, 8, 'Memoization' FROM pf WHERE memo
   UNION ALL SELECT file, 9, 'Builder' FROM pf WHERE builder
   UNION ALL SELECT DISTINCT file, 10, 'Recursive Descent' FROM ce WHERE from_fn = to_fn)"""
 
@@ -212,7 +212,7 @@ pr AS (SELECT f.*, coalesce(pl.patterns, []) AS patterns, tr.top_roles, coalesce
 st AS (SELECT *, concat_ws(' + ', CASE WHEN n_inheriting > 0 THEN 'objects with inheritance' WHEN n_classes > 0 THEN 'objects' END,
   CASE WHEN list_contains(patterns, 'Pipeline') AND list_contains(patterns, 'Middleware Chain') THEN 'staged middleware'
     WHEN list_contains(patterns, 'Pipeline') OR longest_chain >= 3 THEN 'staged processing' WHEN list_contains(patterns, 'Middleware Chain') THEN 'middleware chain' END,
-  CASE WHEN list_contains(patterns, 'Observer') THEN 'event-driven' END, CASE WHEN list_contains(patterns, 'Singleton') AND n_imports > 3 THEN 'shared state' END,
+  CASE WHEN list_contains(patterns, 'Observer/EventEmitter') THEN 'event-driven' END, CASE WHEN list_contains(patterns, 'Singleton') AND n_imports > 3 THEN 'shared state' END,
   CASE WHEN n_pure / n_nodes > 0.5 THEN 'functional' END, CASE WHEN n_async / n_nodes > 0.3 THEN 'asynchronous' END) AS signals FROM pr),
 styled AS (SELECT *, CASE WHEN signals <> '' THEN signals WHEN n_nodes <= 3 THEN 'small utility' ELSE 'unstructured procedures' END AS style FROM st)"""
 PROFILE = RECURSIVE + PROFILE_SQL
