@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,20 @@ def row_batches(batches: Iterator, columns: tuple[str, ...], most: int = 2000) -
             yield list(zip(*(part.column(c).to_pylist() for c in columns)))
 
 
+def carried(docs: DataFrame, text: str, carry: tuple[str, ...]) -> DataFrame:
+    """The columns to carry as struct `row`, beside the text as _text where the struct does not hold it already."""
+    row = F.struct(*carry).alias("row")
+    return docs.select(row) if "*" in carry else docs.select(row, F.col(text).alias("_text"))
+
+
+def texts_of(batch, text: str, most: int = 2000) -> Iterator[list[str | None]]:
+    """Texts of an Arrow batch of `carried` rows, some at a time."""
+    held = "_text" not in batch.schema.names
+    for at in range(0, batch.num_rows, most):
+        part = batch.slice(at, most)
+        yield (pc.struct_field(part.column("row"), text) if held else part.column("_text")).to_pylist()
+
+
 def range_bounds(ids: DataFrame, column: str, parts: int) -> list[int]:
     """At most parts - 1 ascending ids that cut a long column into parts of about equal row counts."""
     if parts < 2:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import documents, row_batches, words_of
+from quillgraph.llm.common import carried, documents, texts_of, words_of
 
 LEVEL = 3
 CHUNK = 4096
@@ -121,22 +121,18 @@ def judge(text: str | None, squeeze: zstandard.ZstdCompressor) -> tuple:
             failed, inside and not failed, ratio, chunks, outside)
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Appends the measures; the other columns pass as Arrow data, untouched."""
-    squeeze = zstandard.ZstdCompressor(level=LEVEL)
-    for batch in batches:
-        rows = [judge(text, squeeze) for part in row_batches([batch], ("_text",)) for (text,) in part]
-        values = list(zip(*rows)) or [()] * len(COLUMNS)
-        kept = [c for c in batch.schema.names if c != "_text"]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in kept] + [pa.array(v, t) for v, t in zip(values, COLUMNS.values())], kept + list(COLUMNS))
+def quality_measures(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("*",)) -> DataFrame:
+    """The carried columns as struct `row`, beside the measures and verdict `kept` of each row. Narrow: nothing is shuffled."""
+    rows = carried(docs, text, carry)
 
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            values = list(zip(*(judge(one, squeeze) for part in texts_of(batch, text) for one in part))) or [()] * len(COLUMNS)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), *(pa.array(v, t) for v, t in zip(values, COLUMNS.values()))], ["row", *COLUMNS])
 
-def quality_measures(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("*",)) -> DataFrame:
-    """The carried columns as struct `row`, beside its measures and verdict `kept`. Narrow: nothing is shuffled."""
-    rows = docs.select(F.struct(*carry).alias("row"), F.col(text).alias("_text"))
-    row_type = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_judged, f"row {row_type}, {SCHEMA}")
+    return rows.mapInArrow(judged, f"row {rows.schema['row'].dataType.simpleString()}, {SCHEMA}")
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -26,10 +26,10 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import documents, row_batches
+from quillgraph.llm.common import carried, documents, texts_of
 
 MARK = "▁"  # stands for a space
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 150_000
 REMEMBERED_CHARS = 64
 SHORT = 32
 WIDE = 1 << 32
@@ -44,6 +44,10 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    return np.fromiter(ids, "<i4").tobytes()
+
+
 class PieceEncoder:
     """Encoder of one vocabulary, with the words it has met."""
 
@@ -64,8 +68,8 @@ class PieceEncoder:
         self.parts = re.compile("|".join(
             ([f"{MARK}*[^{stop}{close}]++(?<=[^\\W_])(?=[{close}])"] if close else [])
             + [f"{MARK}+[^{stop}]*", f"[^{stop}]+"] + ([f"{ends}+"] if ends else [])))
-        self.recent: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._table_of_pairs()
 
     def _table_of_pairs(self) -> None:
@@ -86,8 +90,8 @@ class PieceEncoder:
         hit = self.pairs[at] == key
         return np.where(hit, self.ranks[at], NEVER), self.formed[at]
 
-    def merge_short(self, words: list[str]) -> list[list[int]]:
-        """Ids of many short parts at once: each round takes the best pair off the agenda of every part that has one."""
+    def merge_short(self, words: list[str]) -> list[bytes]:
+        """Packed ids of many short parts at once: each round takes the best pair off the agenda of every part that has one."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
@@ -116,16 +120,16 @@ class PieceEncoder:
         kept = out != -1
         flat, ends = out[kept], np.cumsum(kept.sum(axis=1))
         if (flat < 0).any():
-            return [list(chain.from_iterable([i] if i >= 0 else self._ids_of(chr(-2 - i)) for i in part.tolist())) for part in np.split(flat, ends[:-1])]
-        flat = flat.tolist()
-        return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+            return [_packed(chain.from_iterable([i] if i >= 0 else self._ids_of(chr(-2 - i)) for i in part.tolist())) for part in np.split(flat, ends[:-1])]
+        flat, ends = flat.astype("<i4").tobytes(), (4 * ends).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def merge(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """Each part with its ids; parts of similar length share a round, long ones have a heap each."""
+    def merge(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each part with its ids, 4 bytes each; parts of similar length share a round, long ones have a heap each."""
         words = sorted(words, key=len)
         while words and len(words[-1]) > SHORT:
             word = words.pop()
-            yield word, list(chain.from_iterable(map(self._ids_of, self._merge_long(list(word)))))
+            yield word, _packed(chain.from_iterable(map(self._ids_of, self._merge_long(list(word)))))
         for at in range(0, len(words), 4096):
             part = words[at:at + 4096]
             yield from zip(part, self.merge_short(part))
@@ -166,19 +170,19 @@ class PieceEncoder:
         """The text, with its leading mark, in parts that merges never cross."""
         return self.parts.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def learn(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of parts that are not remembered. The library puts a mark before a text, so those that begin with one can be checked as they are."""
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of parts that are not remembered. The library puts a mark before a text, so those that begin with one can be checked as they are."""
         fresh = dict(self.merge(words))
         marked = [word for word in fresh if word[0] == MARK and word != MARK]
         for word, theirs in zip(marked, self.library.encode([word[1:] for word in marked], num_threads=1)):
-            if fresh[word] != theirs:
+            if fresh[word] != _packed(theirs):
                 raise ValueError(f"the library encodes {word[:80]!r} differently")
         return fresh
 
-    def encode_texts(self, texts: list[str]) -> Iterator[list[list[int]]]:
-        """For each text, the ids of each of its parts. Two generations of parts are remembered; the older one is dropped when the newer is full."""
+    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, 4 bytes each. Two generations of parts are remembered; the older one is dropped when the newer is full."""
         parts = [self.words(text) for text in texts]
-        now: dict[str, list[int]] = {}
+        now: dict[str, bytes] = {}
         new = []
         for word in set(chain.from_iterable(parts)):
             ids = self.recent.get(word)
@@ -194,10 +198,10 @@ class PieceEncoder:
         if len(self.recent) > REMEMBERED_WORDS:
             self.older, self.recent = self.recent, {}
         for words in parts:
-            yield list(map(now.__getitem__, words))
+            yield b"".join(map(now.__getitem__, words))
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(next(iter(self.encode_texts([text or ""])))))
+        return np.frombuffer(next(iter(self.encode_texts([text or ""]))), "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The library's decoding."""
@@ -219,16 +223,16 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str | None = None,
                   carry: tuple[str, ...] = ("*",)) -> DataFrame:
     """The carried columns as struct `row`, beside n_tokens, ids and decoded; with `digests` their hashes in place of both."""
     path = model or default_model()
-    rows = docs.select(F.struct(*carry).alias("row"), F.col(text).alias("_text"))
+    rows = carried(docs, text, carry)
     fields = {"n_tokens": pa.int64()} | ({"ids_sha256": pa.string(), "decoded_sha256": pa.string()} if digests else {"ids": pa.list_(pa.int32()), "decoded": pa.string()})
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(path)
         for batch in batches:
             out: list[tuple] = []
-            for part in row_batches([batch], ("_text",)):
-                for words in pieces.encode_texts([text or "" for (text,) in part]):
-                    ids = list(chain.from_iterable(words))
+            for part in texts_of(batch, text):
+                for packed in pieces.encode_texts([one or "" for one in part]):
+                    ids = np.frombuffer(packed, "<i4").tolist()
                     decoded = pieces.decode(ids)
                     out.append((len(ids), _sha(",".join(map(str, ids))), _sha(decoded)) if digests else (len(ids), ids, decoded))
             values = list(zip(*out)) or [()] * len(fields)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import documents, row_batches, written
+from quillgraph.llm.common import carried, documents, texts_of, written
 from quillgraph.llm.components import component_labels
 
 SHINGLE = 3
@@ -65,11 +65,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, carry: tuple[str, ...] = ("*",)) -> DataFrame:
     """The carried columns as struct `row`, beside its fingerprint as a signed long."""
-    rows = docs.select(F.struct(*carry).alias("row"), F.col(text).alias("_text"))
+    rows = carried(docs, text, carry)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(text, shingle) for part in row_batches([batch], ("_text",)) for (text,) in part]
+            found = [fingerprint(one, shingle) for part in texts_of(batch, text) for one in part]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.array(found, np.uint64).view(np.int64))], ["row", "fp"])
 
     return rows.mapInArrow(hashed, f"row {rows.schema['row'].dataType.simpleString()}, fp long")
