@@ -6,7 +6,7 @@ sums: a block's value is its own log-odds plus the positive values of its childr
 its parent is kept and its value is positive. So nothing is kept inside a dropped block, and a kept block keeps the
 blocks around it: contradictory choices cannot arise.
 
-The trees are fitted when the query starts, on at most SAMPLE_PAGES pages of the table: their sentences are laid out
+The trees are fitted when the query starts, on about SAMPLE_PAGES pages of the table (twice as many at most): their sentences are laid out
 anew in varied layouts whose article, menus, headers, footers, sidebars, notices, adverts, forms and reader comments
 are known. No page is labelled by hand, and the sample is chosen by a hash of page_id. All pages are extracted.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.boosting import BoostedTrees, fit
-from quillgraph.llm.common import row_batches
+from quillgraph.llm.common import hashed_sample, row_batches
 from quillgraph.llm.dom import HEADINGS, Block, one_line, read_blocks
 from quillgraph.session import table
 
@@ -243,10 +243,10 @@ def labelled_blocks(sentences: list[str], layouts: int = LAYOUTS, seed: int = SE
 
 
 def fit_extractor(pages: DataFrame, page_id: str = "page_id", page: str = "html") -> BoostedTrees:
-    """Trees fitted on layouts of the sentences of at most SAMPLE_PAGES pages."""
-    chosen = (pages.select(F.substring(page, 1, SAMPLE_CHARS).alias("page"), F.xxhash64(F.col(page_id)).alias("place"))
-              .filter("length(page) > 0").orderBy("place", "page").limit(SAMPLE_PAGES))
-    sentences = [line[:400] for row in chosen.collect() for block in read_blocks(row["page"]) if len(line := one_line(block.text)) > 30]
+    """Trees fitted on layouts of the sentences of a sample of pages."""
+    chosen = hashed_sample(pages.select(F.col(page_id).alias("id"), F.substring(page, 1, SAMPLE_CHARS).alias("page")).filter("length(page) > 0"), "id", SAMPLE_PAGES)
+    texts = sorted(row["page"] for row in chosen.collect())
+    sentences = [line[:400] for text in texts for block in read_blocks(text) if len(line := one_line(block.text)) > 30]
     return fit(*labelled_blocks(sentences), trees=30)
 
 

@@ -6,7 +6,7 @@ numbers with other separators, national phone formats, other address families. T
 its format and what stands before it; a proposal stands if its score reaches its kind's threshold, it touches no base
 span, and no better proposal overlaps it.
 
-The trees are fitted when the query starts. Labelled rows are base spans of at most SAMPLE_DOCS documents, respelled as
+The trees are fitted when the query starts. Labelled rows are base spans of about SAMPLE_DOCS documents (twice as many at most), respelled as
 the generators know them, against decoys: runs of digits that fail the checks, amounts, dates, versions and plain words.
 The threshold of a kind is the lowest score at which PRECISION of the held-out labelled rows above it are true.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.rows import settle
 from quillgraph.llm.boosting import BoostedTrees, fit
-from quillgraph.llm.common import documents, whole_text
+from quillgraph.llm.common import documents, hashed_sample, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 2000
@@ -189,12 +189,11 @@ def _decoys(dice: random.Random) -> tuple[str, str]:
 
 
 def fit_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> SpanModel:
-    """Trees and thresholds from the base spans of at most SAMPLE_DOCS documents, chosen by a hash of doc_id."""
+    """Trees and thresholds from the base spans of a sample of documents, chosen by a hash of doc_id."""
     spark, dice = docs.sparkSession, random.Random(SEED)
-    chosen = (docs.select(F.xxhash64(doc_id).alias("place"), whole_text(F.col(text)).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-              .orderBy("place", "text").limit(SAMPLE_DOCS))
+    chosen = hashed_sample(docs.select(F.col(doc_id).alias("id"), whole_text(F.col(text)).alias("text")).filter(F.col("text").rlike("[0-9@]")), "id", SAMPLE_DOCS)
     found = [(s["kind"], s["value"], s["before"]) for row in chosen.select(base_spans(F.col("text")).alias("spans")).collect() for s in row["spans"]]
-    found = sorted(set(found))[:4 * SAMPLE_DOCS]
+    found = sorted(set(found))[:8 * SAMPLE_DOCS]
     true = found + [(k, v, "") for v in _EXAMPLES for k in KINDS if _kind_of(v) == k] * 5
     words = ["phone: ", "call ", "mail ", "card ", "host ", "tel. ", "", "", "the ", "on "]
     made = [(f"{(b or dice.choice(words))}{_respelled(v, k, dice)} ", 1.0) for k, v, b in true for _ in range(2)]
