@@ -38,7 +38,8 @@ SYMBOLS = 256  # byte values; 0xFE and 0xFF are in no UTF-8 text: end and start
 START, END = b"\xff", b"\xfe"
 HELD_OUT = (7, 2)
 BLOCK_BYTES = 32 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+MERGED_AT = 8  # slices whose distinct keys wait to be merged
 GRAM, WORD = 0, 1
 END_WORD = xxhash.xxh3_64_intdigest(b"\n")  # no word holds a line end
 
@@ -70,8 +71,11 @@ def words_hashed(raw: bytes) -> np.ndarray:
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return every, np.bincount(back, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
+    every, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(every, kind="stable")
+    every, n = every[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
+    return every[first], np.add.reduceat(n, first) if len(first) else n
 
 
 class _Wanted:
@@ -96,6 +100,8 @@ class _Wanted:
                 self.keys.append(keys)
                 self.counts.append(counts if train else np.zeros(len(keys), np.int64))
         self.waiting, self.size = {True: [], False: []}, 0
+        if len(self.keys) > MERGED_AT:
+            self.keys, self.counts = ([part] for part in _merged(self.keys, self.counts))
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         self.settle()
@@ -118,6 +124,8 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(keys), block, np.int32)), pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.array(counts)],
                     ["block", "kind", "key", "n"])
+        del blocks
+        pa.default_memory_pool().release_unused()
 
 
 def _ratio(over: Column, under: Column) -> Column:
@@ -200,6 +208,7 @@ def _block_scorer(tokens: int, distinct: int):
             found = counts[words_hashed(raw)]
             out.append((len(found), int((found > 0).sum()), float(np.log10(found + 1).sum() - len(found) * under), score))
         columns = list(zip(*out)) or [()] * 4
+        pa.default_memory_pool().release_unused()
         return pa.table([texts.column("row"), *[pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]],
                         names=["row", "n_tokens", "n_known", "base_score", "score"])
 
