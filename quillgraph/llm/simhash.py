@@ -43,23 +43,30 @@ SLICE = 1 << 15  # shingles whose bits are counted at a time
 FRONTIER = 128
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of a text, A-Z in lower case. bytes.lower() and bytes.split() keep to ASCII."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, a slice at a time, A-Z in lower case. bytes.lower() and bytes.split() keep to ASCII."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     line = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, SEED)
+        yield np.array([digest(line, SEED)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-1]])[:len(words) - shingle + 1]
     n = len(starts)
-    counts = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
     for at in range(0, n, SLICE):
         cut = zip(starts[at:at + SLICE].tolist(), (ends[at + shingle - 1:min(at + SLICE, n) + shingle - 1] - 1).tolist())
-        hashes = np.array([digest(line[a:b], SEED) for a, b in cut], np.uint64)
+        yield np.array([digest(line[a:b], SEED) for a, b in cut], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of a text; 0 if it has no words."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
