@@ -1,12 +1,12 @@
-"""Near duplicates by SimHash fingerprints and vantage points.
+"""Near duplicates by SimHash fingerprints and block pigeonholes.
 
 A fingerprint has a 1 where more than half of the shingle hashes have one. Two fingerprints are linked at
-RADIUS or fewer differing bits. Links are found by vantage-point partitioning of the distinct fingerprints:
+RADIUS or fewer differing bits. Links are found by block pigeonholes on the distinct fingerprints, not by a vantage-point tree:
 
 * The 64 bits are cut into BLOCKS. RADIUS differing bits touch at most RADIUS blocks, so two linked fingerprints
   agree on some BLOCKS - RADIUS of them. For each such choice of blocks, the Hamming distance on those blocks is a
   metric in which the two are 0 apart, and by the triangle inequality they lie equally far from any vantage point.
-  The distances to VANTAGE_POINTS fixed points are the shard key: a fingerprint is in one shard per choice, and no
+  The distances to VANTAGE_POINTS fixed points serve as a hash of the blocks and are the shard key: a fingerprint is in one shard per choice, and no
   link crosses all shards.
 * Within a shard the whole-fingerprint distance counts. Members are ordered by distance to the shard's own vantage
   point, and a search around a member only looks at members whose distance differs by at most RADIUS.
