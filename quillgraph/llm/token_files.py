@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,18 +35,26 @@ from quillgraph.llm.common import documents, range_bounds, range_part, row_batch
 END_ID = 2
 BLOCK = 256
 FRAME_IDS = 1 << 18
-REMEMBERED_PARTS = 500_000
-REMEMBERED_CHARS = 64
+REMEMBERED_PARTS = 2_000_000
+REMEMBERED_BYTES = 64
+LINES = 500  # parts that the library encodes at once
+# A part that holds no line end, no white space but one in front, and no beginning of a special token.
+SIMPLE = "^ ?[!-;=-~À-ÿ]+$"
+SLICE_ROWS = 4000
 
 # Fixed values: (ids in a word, bits of each) by selector. Selectors 0 and 1 are runs of zeros; 15 is the escape.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30))
 ESCAPE = len(SELECTORS)
 WIDE_FROM = 10  # selectors from here hold ids of 10 bits and more; the narrow ones need a run of small ids
 
-# The split rule's white space (the Unicode property). What lies between these cuts is encoded alone: a run of
-# letters ends before this punctuation, and white space joins what follows it only as one space.
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PART = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[,.;:!?])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+# The split rule joins white space with what follows only where it is one space, so texts are cut, and the pieces encoded
+# alone: at the start of a run of white space, behind a line end, and between a letter and one of these marks.
+_BYTE = np.arange(256)
+_WHITE = ((_BYTE >= 9) & (_BYTE <= 13)) | (_BYTE == 32)
+_MARK = np.isin(_BYTE, list(b",.;:!?"))
+_LETTER = (_BYTE < 128) & np.isin(_BYTE | 32, np.arange(97, 123))
+# First bytes of characters that are never white space: ASCII but for _WHITE, and all others but those below U+00C0 and of E1 to E3.
+_PLAIN_HEAD = ((_BYTE < 128) & ~_WHITE) | ((_BYTE >= 0xC3) & ~np.isin(_BYTE, (0xE1, 0xE2, 0xE3)))
 _ENCODERS: dict[str, PartEncoder] = {}
 
 
@@ -55,36 +64,104 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def cut_points(data: np.ndarray) -> np.ndarray:
+    """Whether a text in UTF-8 may be cut before each byte, as far as its neighbours tell. Wide white space never makes a cut unsafe."""
+    cut = np.zeros(len(data), bool)
+    if len(data) < 2:
+        return cut
+    before, here = data[:-1], data[1:]
+    white = _WHITE[here]
+    latin = np.r_[False, (data[:-2] == 0xC3) & (before[1:] != 0x97) & (before[1:] != 0xB7)]  # letters from U+00C0 to U+00FF end here
+    known = ((before < 128) & ~_WHITE[before]) | latin
+    # Behind any other wide character only a single space in front of something plain is safe.
+    lone = np.r_[white[:-1] & _PLAIN_HEAD[here[1:]] & (here[1:] < 128), False]
+    line = np.r_[False, (before[1:] == 10) & known[:-1]] & _PLAIN_HEAD[here]  # behind one line end that is all the white space there
+    cut[1:] = (white & (known | ((before >= 128) & lone))) | line | (_MARK[here] & (_LETTER[before] | latin))
+    return cut
+
+
+def _lists(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of the values of lists that start and count so, one list behind another."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 class PartEncoder:
-    """The tokenizers library over parts of texts, with the parts it has met: each as its ids in 4 bytes."""
+    """The tokenizers library over parts of texts, with the parts it has met and their ids as Arrow and numpy arrays."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        # A text that spells a special token is left to the library as a whole.
-        special = [token.content for token in self.library.get_added_tokens_decoder().values()]
-        parts = [[text] if any(token in text for token in special) else PART.findall(text) for text in texts]
-        now: dict[str, bytes] = {}
-        new = []
-        for part in set(chain.from_iterable(parts)):
-            ids = self.recent.get(part)
-            if ids is None and (ids := self.older.get(part)) is not None:
-                self.recent[part] = ids
-            if ids is None:
-                new.append(part)
-            else:
-                now[part] = ids
-        for part, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            now[part] = np.array(found.ids, "<u4").tobytes()
-            if len(part) <= REMEMBERED_CHARS:
-                self.recent[part] = now[part]
-        if len(self.recent) > REMEMBERED_PARTS:
-            self.older, self.recent = self.recent, {}
-        return [b"".join(map(now.__getitem__, found)) for found in parts]
+        self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
+        self.line = self.library.encode("\n", add_special_tokens=False).ids[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.parts = pa.array([], pa.binary())
+        self.starts, self.counts, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids in each text) of strings; null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        special = np.zeros(len(texts), bool)
+        for token in self.special:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+        offsets = offsets - offsets[0]
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        cut = cut_points(data)
+        for i in np.flatnonzero(special):  # a text that spells a special token is left to the library as a whole
+            cut[offsets[i]:offsets[i + 1]] = False
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        at, count, values = self._ids_of(parts.dictionary)
+        kind = parts.indices.to_numpy()
+        counts = count[kind]
+        upto = np.append(0, np.cumsum(counts))[np.searchsorted(starts, offsets)]
+        return values[_lists(at[kind], counts)], np.diff(upto)
+
+    def _ids_of(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, count) of each distinct part's ids within values."""
+        place = pc.index_in(parts, value_set=self.parts).fill_null(-1).to_numpy().astype(np.int64)
+        unknown = np.flatnonzero(place < 0)
+        new = parts.take(pa.array(unknown)).cast(pa.string())
+        simple = pc.match_substring_regex(new, SIMPLE).to_numpy(zero_copy_only=False)
+        order = np.append(np.flatnonzero(simple), np.flatnonzero(~simple))
+        new = new.take(pa.array(order))
+        new_counts, new_values = self._encode_new(new.to_pylist(), int(simple.sum()))
+        place[unknown[order]] = len(self.starts) + np.arange(len(new))
+        values = np.append(self.values, new_values)
+        starts = np.append(self.starts, len(self.values) + np.cumsum(new_counts) - new_counts)
+        counts = np.append(self.counts, new_counts)
+        found = starts[place], counts[place], values
+        if len(self.parts) + len(new) > REMEMBERED_PARTS:
+            self.forget()
+        else:
+            short = pc.less_equal(pc.binary_length(new), REMEMBERED_BYTES).to_numpy(zero_copy_only=False)
+            kept = np.append(np.ones(len(self.starts), bool), short)
+            self.parts = pa.concat_arrays([self.parts, new.filter(pa.array(short)).cast(pa.binary())])
+            self.values, self.counts = values[_lists(starts[kept], counts[kept])], counts[kept]
+            self.starts = np.cumsum(self.counts) - self.counts
+        return found
+
+    def _encode_new(self, parts: list[str], simple: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each part, ids of all). The first, simple ones go to the library as lines of longer texts.
+
+        A line end that no more than one space follows is an id of its own there, and joins no character.
+        """
+        counts, values = [], []
+        for at in range(0, simple, LINES):
+            text = "\n".join(parts[at:min(at + LINES, simple)])
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+            counts.append(np.diff(ends, prepend=-1) - 1)
+            values.append(ids[ids != self.line])
+        for found in self.library.encode_batch_fast(parts[simple:], add_special_tokens=False):
+            counts.append([len(found.ids)])
+            values.append(np.array(found.ids, np.uint32))
+        return np.concatenate([np.zeros(0, np.int64), *counts]), np.concatenate([np.zeros(0, np.uint32), *values])
 
 
 def encoder(path: str) -> PartEncoder:
@@ -193,9 +270,9 @@ FRAME = "shard int, shard_start long, n_ids long, doc_ids array<bigint>, lengths
 _FRAME_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
 
 
-def _frame(shard: int, start: int, doc_ids: list, lengths: list[int], ids: bytes) -> pa.RecordBatch:
-    words, offsets = pack(np.frombuffer(ids, "<u4"))
-    row = (shard, start, len(ids) // 4, doc_ids, lengths, words.tobytes(), offsets.tolist())
+def _frame(shard: int, start: int, doc_ids: list, lengths: list[int], ids: np.ndarray) -> pa.RecordBatch:
+    words, offsets = pack(ids)
+    row = (shard, start, len(ids), doc_ids, lengths, words.tobytes(), offsets.tolist())
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _FRAME_TYPES)], [c.split()[0] for c in FRAME.split(", ")])
 
 
@@ -210,21 +287,29 @@ def encode_frames(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
               .withColumn("tie", F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("id"), "tie").select("shard", "id", "text"))
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        parts = encoder(path)
         number, start, size, doc_ids, lengths, pieces = 0, 0, 0, [], [], []
         for batch in batches:
-            for slice_ in row_batches([batch], ("shard", "id", "text")):
-                number = slice_[0][0]
-                for (_, key, _), ids in zip(slice_, parts.encode_texts([text or "" for _, _, text in slice_])):
-                    doc_ids.append(key)
-                    lengths.append(len(ids) // 4 + 1)
-                    pieces += (ids, end)
-                    size += lengths[-1]
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                some = batch.slice(at, SLICE_ROWS)
+                number, keys = some.column("shard")[0].as_py(), some.column("id").to_pylist()
+                ids, counts = parts.encode_texts(some.column("text"))
+                ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                upto = np.append(0, np.cumsum(counts))
+                first = 0
+                while first < len(keys):
+                    # The document that fills the frame is its last one.
+                    last = min(int(np.searchsorted(upto, upto[first] + FRAME_IDS - size)), len(keys))
+                    doc_ids += keys[first:last]
+                    lengths += counts[first:last].tolist()
+                    pieces.append(ids[upto[first]:upto[last]])
+                    size += int(upto[last] - upto[first])
+                    first = last
                     if size >= FRAME_IDS:
-                        yield _frame(number, start, doc_ids, lengths, b"".join(pieces))
+                        yield _frame(number, start, doc_ids, lengths, np.concatenate(pieces))
                         start, size, doc_ids, lengths, pieces = start + size, 0, [], [], []
         if doc_ids:
-            yield _frame(number, start, doc_ids, lengths, b"".join(pieces))
+            yield _frame(number, start, doc_ids, lengths, np.concatenate(pieces))
 
     return placed.mapInArrow(framed, FRAME)
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,6 +281,21 @@ def test_words_round_trip():
             assert (unpack(words, offsets, n) == values).all()
 
 
+def test_parts_of_odd_texts_encode_as_whole_ones():
+    from quillgraph.llm.token_files import PartEncoder, default_tokenizer
+    dice = random.Random(4)
+    marks = ["a", "B", "z", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u3000", "\u2009", "\u0085", "\u1680", "é", "×", "÷", "à", "ß", "漢", "字", "😀", ".", ",", "!?", ";", ":", "'s", "'t",
+             "'", "9", "12", "½", "€", "—", "<|endoftext|>", "<", "|", ">", "\u200b", "\x1c", "\x00", "_", "-", "ÿ", "Ā", "ж"]
+    texts = ["".join(dice.choices(marks, k=dice.randrange(25))) for _ in range(8000)] + [None, "", " ", "\n", " a", "a ", "x" * 100_000, " \n" * 5000]
+    parts = PartEncoder(default_tokenizer())
+    for _ in range(2):  # the second time from memory
+        ids, counts = parts.encode_texts(pa.array(texts))
+        ends = np.cumsum(counts)
+        for text, end, n in zip(texts, ends.tolist(), counts.tolist()):
+            assert ids[end - n:end].tolist() == parts.library.encode(text or "", add_special_tokens=False).ids
+    assert parts.encode_texts(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0]
+
+
 def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 

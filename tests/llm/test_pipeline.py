@@ -10,7 +10,18 @@ import corpus_pipeline
 from quillgraph.llm.mixing import _rows, _times_taken, mixing_plan
 from quillgraph.llm.quality_rules import judge
 from quillgraph.llm.sentence_pieces import _sha
-from tests.llm.test_operators import one_spaced, plain_components
+from tests.llm.test_near_copies import shingles
+from tests.llm.test_operators import one_spaced
+
+
+def leaders(rows):
+    """Row by row in order of id: those whose word shingles no row that stays shares by four fifths or more."""
+    stay = []
+    for row in sorted(rows):
+        mine = shingles(row[1])
+        if not any(5 * len(mine & other) >= 4 * len(mine | other) for _, other in stay):
+            stay.append((row, mine))
+    return [row for row, _ in stay]
 
 
 def test_rows(spark, tmp_path):
@@ -22,9 +33,7 @@ def test_rows(spark, tmp_path):
     first = {}
     for r in sorted(docs):
         first.setdefault(one_spaced(r[1]), r)
-    docs = list(first.values())
-    named = plain_components(docs)
-    docs = [r for r in docs if r[0] in set(named.values())]
+    docs = leaders(first.values())
     rows = _rows(spark.createDataFrame(docs, "doc_id long, text string, source string"), "doc_id", "source", "text")
     times = {r.doc_id: r.times for r in _times_taken(rows, mixing_plan(rows)).select("r.doc_id", "times").collect()}
     want = sorted((r[0], _sha(r[1])) for r in docs for _ in range(times[r[0]]))
