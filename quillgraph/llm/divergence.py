@@ -34,12 +34,13 @@ LEAST_DOCS = 30
 TOP_TERMS = 50
 SMOOTHING = 5
 UNIT = 1_000_000_000
-HELD_TERMS = 200_000  # distinct terms that a task counts before it sends them on
+HELD_TERMS = 500_000  # distinct terms that a task counts before it sends them on
 SLICE_ROWS = 1000
 TERMS = 512
 SOURCES = 256
 
 # Letters and all bytes above ASCII make terms; A-Z become a-z, all else becomes a space.
+Held = dict[tuple[str, str], tuple[Counter, Counter]]  # (lang, source): occurrences and texts of terms
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -82,33 +83,40 @@ def document_frequencies(rows: DataFrame, mask: int) -> DataFrame:
 def _occurrences(rows: DataFrame, wanted: DataFrame, mask: int, by_string: bool) -> DataFrame:
     """Rows (lang, source, digest, n, docs, term) for terms whose digest may be wanted: a bitmap of a fixed size lets some more through.
 
-    Counts carry no string unless by_string; otherwise each task sends a term once a flush, in a row without counts.
+    Terms that are not wanted are forgotten as they are sifted, so a task's counts grow with the wanted ones alone. Counts carry no
+    string unless by_string; otherwise each task sends a term about once, in a row without counts.
     """
     bits = ROW_BITS
     bitmap = rows.sparkSession.sparkContext.broadcast(as_array(pages_of(wanted, F.col("digest"), bits), bits))
     names = ["lang", "source", "digest", "n", "docs", "term"]
 
-    def sent(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-        strings: dict[str, dict[bytes, int]] = defaultdict(dict)
-        for (lang, source), (n, docs) in held.items():
+    def sift(held: Held, kept: Held) -> int:
+        """Moves the counts of wanted terms and forgets the others; how many terms are kept now."""
+        for group, (n, docs) in held.items():
             terms = list(n)
-            digest = _digests(terms, mask)
-            at = np.flatnonzero(in_array(bitmap.value, digest, bits))
-            chosen = [terms[i] for i in at]
-            if not by_string:
-                strings[lang].update(zip(chosen, digest[at].tolist()))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), pa.array(digest[at]),
-                pa.array([n[t] for t in chosen], pa.int64()), pa.array([docs[t] for t in chosen], pa.int64()),
-                pa.array([t.decode("utf-8", "surrogatepass") if by_string else None for t in chosen], pa.string())], names)
-        for lang, found in strings.items():
-            none = pa.nulls(len(found), pa.int64())
+            for i in np.flatnonzero(in_array(bitmap.value, _digests(terms, mask), bits)).tolist():
+                kept[group][0][terms[i]] += n[terms[i]]
+                kept[group][1][terms[i]] += docs[terms[i]] if by_string else 0
+        held.clear()
+        return sum(len(n) for n, _ in kept.values())
+
+    def sent(kept: Held, spoken: dict[str, set[bytes]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in kept.items():
+            terms = list(n)
+            new = [] if by_string else [t for t in terms if t not in spoken[lang]]
+            spoken[lang].update(new)
+            digest, none = _digests(terms, mask), [None] * len(new)
+            strings = [t.decode("utf-8", "surrogatepass") for t in (terms if by_string else new)]
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(found), pa.string()), pa.nulls(len(found), pa.string()), pa.array(list(found.values()), pa.int64()),
-                none, none, pa.array([t.decode("utf-8", "surrogatepass") for t in found], pa.string())], names)
+                pa.array([lang] * (len(terms) + len(new)), pa.string()), pa.array([source] * len(terms) + none, pa.string()),
+                pa.array(np.append(digest, _digests(new, mask))), pa.array(list(n.values()) + none, pa.int64()),
+                pa.array(list(docs.values()) + none, pa.int64()), pa.array(strings if by_string else [None] * len(terms) + strings, pa.string())], names)
+        kept.clear()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+        held: Held = defaultdict(lambda: (Counter(), Counter()))
+        kept: Held = defaultdict(lambda: (Counter(), Counter()))
+        spoken: dict[str, set[bytes]] = defaultdict(set)
         size = 0
         for batch in batches:
             for lang, source, text in _texts(batch):
@@ -120,10 +128,13 @@ def _occurrences(rows: DataFrame, wanted: DataFrame, mask: int, by_string: bool)
                     docs.update(set(terms))
                 size += len(n) - before
                 if size > HELD_TERMS:
-                    yield from sent(held)
-                    held.clear()
                     size = 0
-        yield from sent(held)
+                    if sift(held, kept) > HELD_TERMS:
+                        yield from sent(kept, spoken)
+                    if sum(map(len, spoken.values())) > HELD_TERMS:
+                        spoken.clear()
+        sift(held, kept)
+        yield from sent(kept, spoken)
 
     return rows.mapInArrow(counted, "lang string, source string, digest long, n long, docs long, term string")
 
