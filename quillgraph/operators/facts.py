@@ -4,9 +4,9 @@ Texts become one token table (file, idx, tok, line, ...). Bracket matching, encl
 neighbours are windows over it, all partitioned by file or finer, so one exchange serves them. A
 file is one row of the corpus with a size limit, so its tokens are bounded.
 
-Known limits: a slash behind a closing bracket reads as a division, substitutions inside template
-strings are not looked into, and a statement needs a semicolon, a bracket or a leading keyword to
-end an expression-bodied arrow.
+A statement ends at a semicolon, a bracket, a leading keyword, or a line end between two values.
+Substitutions of templates are rewritten as code in place before the scan (functions.templates).
+Known limits: a slash behind a closing bracket reads as a division.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillgraph.functions.numbers import count_where, flag
+from quillgraph.functions.templates import with_plain_templates
 from quillgraph.functions.text import contains_any
 from quillgraph.functions.vocabulary import SOURCE_PATTERN
 from quillgraph.session import cut_lineage
 
 # A slash opens a regular expression where a value may start; there, brackets and quotes are its own.
 REGEX_PATTERN = (
-    r"(?<=(?:[=(,:\[!&|?{;+*%~^]|\breturn|\btypeof|\bcase)\s{0,8})/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*")
+    r"(?<=(?:=>|[=(,:\[!&|?{;+*%~^]|\breturn|\btypeof|\bcase)\s{0,8})/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*")
 TOKEN_PATTERN = r"[ \t\r\f\x0B]*(?:\n|" + REGEX_PATTERN + "|" + SOURCE_PATTERN + ")"
 IDENTIFIER = r"^[A-Za-z_$][A-Za-z0-9_$]*$|^Math\."
 OPENING, CLOSING = ("{", "(", "["), ("}", ")", "]")
@@ -33,6 +34,8 @@ RESERVED = (
 )
 SOFT_WORDS = ("of", "from", "static")
 STATEMENT_WORDS = ("const", "let", "var", "function", "class", "return", "if", "for", "while", "export", "import", "switch", "try", "throw")
+HEAD_WORDS = ("if", "for", "while", "await")
+VALUE_END, VALUE_START = r"^[A-Za-z0-9_$\"'`)\]}]", r"^[A-Za-z0-9_$\"'{]"
 # A function keyword behind one of these is part of an expression.
 EXPRESSION_BEFORE = ("=", "(", ",", ":", "return", "[", "?", "&&", "||", "??", "!", "=>", "new", "typeof", "void", "+", "-", "yield", "await", "...", "+=")
 # What counts as a path, a nesting construct, an effect or a transform.
@@ -98,7 +101,7 @@ def code_tokens(files: DataFrame, text: str = "text") -> DataFrame:
 
     Counting them needs no window: unused columns fall away.
     """
-    raw = files.select("file", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TOKEN_PATTERN), F.lit(0))).alias("pos", "_raw"))
+    raw = files.select("file", F.posexplode(F.regexp_extract_all(with_plain_templates(F.col(text)), F.lit(TOKEN_PATTERN), F.lit(0))).alias("pos", "_raw"))
     by_pos = W.partitionBy("file").orderBy("pos")
     upto, before = by_pos.rowsBetween(W.unboundedPreceding, 0), by_pos.rowsBetween(W.unboundedPreceding, -1)
     newlines = F.length("_raw") - F.length(F.replace("_raw", F.lit("\n"), F.lit("")))
@@ -121,8 +124,8 @@ def tokens(files: DataFrame, text: str = "text") -> DataFrame:
     opens = F.col("tok").isin(*OPENING)
     numbered = code.select(
         "file", "tok", "line", "at", F.row_number().over(by_pos).alias("idx"),
-        F.sum(step).over(upto).alias("_depth"),
-        *[back(n).alias(f"p{n}") for n in range(1, 6)], *[ahead(n).alias(f"n{n}") for n in range(1, 5)])
+        F.sum(step).over(upto).alias("_depth"), (F.col("line") > F.lag("line").over(by_pos)).alias("_new_line"),
+        *[back(n).alias(f"p{n}") for n in range(1, 6)], *[ahead(n).alias(f"n{n}") for n in range(1, 6)])
     leveled = numbered.withColumn("level", F.col("_depth") + F.when(F.col("tok").isin(*CLOSING), 1).otherwise(0))
     # The block of a class is the first one behind the word, whatever its parent is.
     opens_class = (F.col("tok") == "class") & is_word_in_place(F.col("p1")) & ~F.coalesce(F.col("n1") == ":", F.lit(False))
@@ -133,21 +136,28 @@ def tokens(files: DataFrame, text: str = "text") -> DataFrame:
     so_far = in_level.rowsBetween(W.unboundedPreceding, 0)
     later = W.partitionBy("file", "level").orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1)
     last_open = lambda c: F.last(F.when(opens, c), ignorenulls=True).over(so_far)
-    ends = F.col("tok").isin(",", ";", *CLOSING) | F.col("tok").isin(*STATEMENT_WORDS)
     declaring = F.last(F.when(F.col("tok").isin("let", "const", "var", ";", *OPENING, *STATEMENT_WORDS), F.col("tok")), ignorenulls=True).over(so_far)
     inside = leveled.withColumn("class_idx", last_mark).withColumn("is_class", body).withColumn("declares", declaring.isin("let", "const", "var")).select(
-        "*", last_open(F.col("idx")).alias("encl"), last_open(F.col("tok")).alias("encl_tok"), last_open(F.col("is_class")).alias("encl_class"),
-        F.last(F.when(ends, F.col("idx")), ignorenulls=True).over(later).alias("term_idx"))
+        "*", last_open(F.col("idx")).alias("encl"), last_open(F.col("tok")).alias("encl_tok"), last_open(F.col("is_class")).alias("encl_class"))
     # Brackets of one level alternate, so the next one closes an opening one.
     brackets = "tok IN ('{', '}', '(', ')', '[', ']')"
     beside = lambda fn: F.expr(f"{fn}(CASE WHEN {brackets} THEN idx END) IGNORE NULLS OVER (PARTITION BY file, level ORDER BY idx)")
     paired = inside.select(
-        "*", F.when(opens, beside("lead")).alias("match_idx"), F.when(F.col("tok").isin(*CLOSING), beside("lag")).alias("open_idx"))
+        "*", F.when(opens, beside("lead")).alias("match_idx"), F.when(F.col("tok").isin(*CLOSING), beside("lag")).alias("open_idx"),
+        F.when(F.col("tok") == ")", F.expr(
+            f"lag(CASE WHEN {brackets} THEN coalesce(p1, '') END) IGNORE NULLS OVER (PARTITION BY file, level ORDER BY idx)")).alias("open_word"))
     commas = W.partitionBy("file", "encl").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
     matched = paired.withColumn("arg_no", F.sum(flag(F.col("tok") == ",")).over(commas))
     by_idx = W.partitionBy("file").orderBy("idx")
+    # A line end between a value and something that starts one ends a statement, but not behind the head of an if or a loop.
+    after_value = F.col("p1").rlike(VALUE_END) & ~F.col("p1").isin(*RESERVED) | F.col("p1").isin("this", "super", "true", "false", "null", "undefined")
+    headed = F.coalesce((F.col("p1") == ")") & F.lag("open_word").over(by_idx).isin(*HEAD_WORDS), F.lit(False))
+    starts = F.col("_new_line") & after_value & ~headed & F.col("tok").rlike(VALUE_START) & ~F.col("tok").isin("in", "instanceof", "of", "extends", "from", "as")
+    matched = matched.withColumn("new_statement", F.coalesce(starts, F.lit(False)))
+    ends = F.col("tok").isin(",", ";", *CLOSING) | F.col("tok").isin(*STATEMENT_WORDS) | F.col("new_statement")
+    matched = matched.withColumn("term_idx", F.last(F.when(ends, F.col("idx")), ignorenulls=True).over(later))
     full = matched.withColumn("param_of", F.when(F.col("p1").isin("(", ","), F.lag("encl").over(by_idx))).withColumn(
-        "param_no", F.lag("arg_no").over(by_idx)).drop("_depth")
+        "param_no", F.lag("arg_no").over(by_idx)).drop("_depth", "_new_line")
     # Every fact below reads this table, most of them several times.
     return cut_lineage(full)
 
@@ -204,7 +214,7 @@ def function_headers(toks: DataFrame) -> DataFrame:
         F.when(~grouped, F.col("p1")).alias("single"), F.lit(False).alias("is_static"), prior(1), prior(2), prior(3), *place,
         (F.col("idx") + 1).alias("body_idx"))
     in_class = yes(F.col("encl_class"))
-    shorthand = (F.col("encl_tok") == "{") & F.col("p1").isin("{", ",", "async", "*")
+    shorthand = (F.col("encl_tok") == "{") & (F.col("p1").isin("{", ",", "async", "*") | (F.col("p1").isin("get", "set") & F.col("p2").isin("{", ",")))
     candidates = toks.filter(F.col("tok").rlike(IDENTIFIER) & ~F.col("tok").isin("if", "for", "while", "switch", "catch", "function")
                              & (F.col("n1") == "(") & (in_class | shorthand)).withColumn("open_idx", F.col("idx") + 1)
     kind = F.when(~in_class, "expression").when(F.col("tok") == "constructor", "constructor").when(
@@ -213,7 +223,7 @@ def function_headers(toks: DataFrame) -> DataFrame:
         "file", "idx", "line", "open_idx", kind.alias("kind"), F.col("tok").alias("own_name"),
         yes((F.col("p1") == "async") | ((F.col("p1") == "*") & (F.col("p2") == "async"))).alias("is_async"),
         yes(F.col("p1") == "*").alias("is_generator"), none("string").alias("single"),
-        yes((F.col("p1") == "static") | (F.col("p2") == "static")).alias("is_static"),
+        yes((F.col("p1") == "static") | (F.col("p2") == "static") | (F.col("p1") == "*") & (F.col("p2") == "async") & (F.col("p3") == "static")).alias("is_static"),
         *[none("string").alias(f"q{n}") for n in (1, 2, 3)], *place,
     ).join(_at(toks.filter("tok = '('"), "open_idx", "_", "match_idx"), ["file", "open_idx"]).withColumn("body_idx", F.col("_match_idx") + 1)
     # A call looks the same up to the closing parenthesis; only a definition goes on with a block.
@@ -260,8 +270,30 @@ def functions(toks: DataFrame, heads: DataFrame | None = None) -> DataFrame:
         F.col("idx").alias("head_idx"), "body_idx", "end_idx", F.col("_b_at").alias("body_at"), "end_at")
 
 
+def _statement_ends(toks: DataFrame) -> DataFrame:
+    """Tokens with ``stop_idx``: where the statement around a token, at its level, ends.
+
+    Marks are semicolons and new statements of the level, closing braces one level further in, and what closes the level itself;
+    one in front of an else is none. The next mark is found by a window over the level, so no token looks at its file.
+    """
+    closes_block = F.col("tok") == "}"
+    goes_on = F.coalesce(F.col("n1") == "else", F.lit(False))
+    mark = (F.col("tok").isin(";", *CLOSING) & ~goes_on) | F.col("new_statement")
+    place = ["file", "_at_level", "idx"]
+    # A closing brace counts for its own level and for the one around it.
+    inner = toks.filter(closes_block & ~goes_on).select("file", (F.col("level") - 1).alias("_at_level"), "idx", F.col("idx").alias("_mark"), F.lit(None).cast("int").alias("_word"))
+    own = toks.select("file", F.col("level").alias("_at_level"), "idx", F.when(mark, F.col("idx") - flag(F.col("new_statement"))).alias("_mark"), F.col("idx").alias("_word"))
+    later = W.partitionBy("file", "_at_level").orderBy("idx").rowsBetween(1, W.unboundedFollowing)
+    found = own.unionByName(inner).select(*place, "_word", F.first("_mark", ignorenulls=True).over(later).alias("stop_idx"))
+    return found.filter("_word IS NOT NULL").select("file", "idx", "stop_idx")
+
+
 def _nesting(toks: DataFrame, heads: DataFrame) -> DataFrame:
-    """Adds ``nest``: how many nesting constructs with a block are open before a token."""
+    """Adds ``nest``: how many nesting constructs are open before a token.
+
+    Constructs with a block are open within it, those without one up to the end of their statement. An if behind an else is
+    inside the if before it, whose block has closed: that one stays open up to the end of the chain.
+    """
     inner = heads.filter("kind = 'expression'").select("file", F.col("open_idx").alias("_opened")).withColumn("_fn", F.lit(True))
     owner = toks.filter("tok = ')'").select("file", F.col("idx").alias("_prev"), F.col("open_idx").alias("_opened"))
     word = toks.select("file", (F.col("idx") + 1).alias("_opened"), F.col("tok").alias("_word"))
@@ -269,8 +301,17 @@ def _nesting(toks: DataFrame, heads: DataFrame) -> DataFrame:
     known = blocks.join(owner, ["file", "_prev"], "left").join(word, ["file", "_opened"], "left").join(inner, ["file", "_opened"], "left")
     nests = known.filter(
         F.col("p1").isin("else", "try", "do", "finally", "=>") | F.col("_word").isin("if", "for", "while", "switch", "catch") | F.col("_fn"))
-    steps = nests.select("file", F.inline(F.array(
-        F.struct(F.col("idx").alias("idx"), F.lit(1).alias("_step")), F.struct(F.col("match_idx").alias("idx"), F.lit(-1).alias("_step")))))
+    in_blocks = nests.select("file", F.col("idx").alias("from_idx"), F.col("match_idx").alias("to_idx"))
+    control = toks.filter(F.col("tok").isin("if", "for", "while") & F.col("n1").isin("(", "await") & is_word_in_place(F.col("p1"))).select(
+        "file", "idx", "tok", "p1", "p2", (F.col("idx") + F.when(F.col("n1") == "(", 1).otherwise(2)).alias("_opened"))
+    closed = toks.filter("tok = ')'").select("file", F.col("open_idx").alias("_opened"), F.col("n1").alias("_body"))
+    stops = cut_lineage(control.join(closed, ["file", "_opened"]).join(_statement_ends(toks), ["file", "idx"]).filter("stop_idx IS NOT NULL"))
+    bare = stops.filter(F.coalesce(F.col("_body"), F.lit(";")) != "{").select("file", F.col("idx").alias("from_idx"), F.col("stop_idx").alias("to_idx"))
+    chained = stops.filter("tok = 'if' AND p1 = 'else' AND p2 = '}'").select("file", (F.col("idx") - 1).alias("from_idx"), F.col("stop_idx").alias("to_idx"))
+    spans = in_blocks.unionByName(bare).unionByName(chained)
+    steps = spans.select("file", F.inline(F.array(
+        F.struct(F.col("from_idx").alias("idx"), F.lit(1).alias("_step")), F.struct(F.col("to_idx").alias("idx"), F.lit(-1).alias("_step")))))
+    steps = steps.groupBy("file", "idx").agg(F.sum("_step").cast("int").alias("_step"))
     order = W.partitionBy("file").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
     return toks.join(steps, ["file", "idx"], "left").withColumn("_step", F.coalesce("_step", F.lit(0))).withColumn(
         "nest", F.coalesce(F.sum("_step").over(order), F.lit(0)))
@@ -378,8 +419,12 @@ def exports(toks: DataFrame) -> DataFrame:
     skip = F.when(F.col("n1") == "async", F.col("n3")).otherwise(F.col("n2"))
     declared = export.filter(F.col("n1").isin("function", "class") | ((F.col("n1") == "async") & (F.col("n2") == "function"))).select(
         "file", "idx", skip.alias("name"), F.lit("named").alias("kind"))
+    # What a default declares: async and the star of a generator stand before its name.
+    heads = F.expr("concat_ws(' ', n2, n3, n4)")
+    named = F.when(heads.rlike(r"^async function \*"), F.col("n5")).when(heads.rlike(r"^(async function|function \*) "), F.col("n4")).when(
+        heads.rlike("^(function|class) "), F.col("n3"))
     default = export.filter("n1 = 'default'").select(
-        "file", "idx", F.when(F.col("n2").isin("function", "class") & is_name(F.col("n3")), F.col("n3")).otherwise("default").alias("name"), F.lit("default").alias("kind"))
+        "file", "idx", F.when(is_name(named), named).otherwise("default").alias("name"), F.lit("default").alias("kind"))
     lists = toks.filter("tok = '{' AND p1 = 'export'").select("file", F.col("idx").alias("encl"))
     listed = toks.join(lists, ["file", "encl"], "left_semi").filter(is_name(F.col("tok")) & F.col("n1").isin(",", "}") & (F.col("tok") != "as")).select(
         "file", "idx", F.col("tok").alias("name"), F.lit("named").alias("kind"))
