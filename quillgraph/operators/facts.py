@@ -144,7 +144,7 @@ def tokens(files: DataFrame, text: str = "text") -> DataFrame:
     beside = lambda fn: F.expr(f"{fn}(CASE WHEN {brackets} THEN idx END) IGNORE NULLS OVER (PARTITION BY file, level ORDER BY idx)")
     paired = inside.select(
         "*", F.when(opens, beside("lead")).alias("match_idx"), F.when(F.col("tok").isin(*CLOSING), beside("lag")).alias("open_idx"),
-        F.when(F.col("tok") == ")", F.expr(
+        F.when(F.col("tok").isin(*CLOSING), F.expr(
             f"lag(CASE WHEN {brackets} THEN coalesce(p1, '') END) IGNORE NULLS OVER (PARTITION BY file, level ORDER BY idx)")).alias("open_word"))
     commas = W.partitionBy("file", "encl").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
     matched = paired.withColumn("arg_no", F.sum(flag(F.col("tok") == ",")).over(commas))
@@ -153,7 +153,7 @@ def tokens(files: DataFrame, text: str = "text") -> DataFrame:
     after_value = F.col("p1").rlike(VALUE_END) & ~F.col("p1").isin(*RESERVED) | F.col("p1").isin("this", "super", "true", "false", "null", "undefined")
     headed = F.coalesce((F.col("p1") == ")") & F.lag("open_word").over(by_idx).isin(*HEAD_WORDS), F.lit(False))
     starts = F.col("_new_line") & after_value & ~headed & F.col("tok").rlike(VALUE_START) & ~F.col("tok").isin("in", "instanceof", "of", "extends", "from", "as")
-    matched = matched.withColumn("new_statement", F.coalesce(starts, F.lit(False)))
+    matched = matched.withColumn("new_statement", F.coalesce(starts, F.lit(False))).withColumn("open_word2", F.lag("open_word", 2).over(by_idx))
     ends = F.col("tok").isin(",", ";", *CLOSING) | F.col("tok").isin(*STATEMENT_WORDS) | F.col("new_statement")
     matched = matched.withColumn("term_idx", F.last(F.when(ends, F.col("idx")), ignorenulls=True).over(later))
     full = matched.withColumn("param_of", F.when(F.col("p1").isin("(", ","), F.lag("encl").over(by_idx))).withColumn(
@@ -317,6 +317,18 @@ def _nesting(toks: DataFrame, heads: DataFrame) -> DataFrame:
         "nest", F.coalesce(F.sum("_step").over(order), F.lit(0)))
 
 
+def _object_name() -> Column:
+    """What stands before the dot of a called member: a name, or the kind of expression."""
+    before = F.col("p2")
+    follows_value = (F.col("open_word2").rlike(VALUE_END) & ~F.col("open_word2").isin(*RESERVED)) | F.col("open_word2").isin("this", "super")
+    return (
+        F.when(before == "this", "ThisExpression").when(before == "super", "Super")
+        .when(before.rlike(IDENTIFIER), F.when(F.col("p3").isin(".", "?."), "MemberExpression").otherwise(before))
+        .when(before == "]", F.when(follows_value, "MemberExpression").otherwise("ArrayExpression"))
+        .when((before == ")") & follows_value, "CallExpression")
+        .when(before.rlike("^`"), "TemplateLiteral").when(before.rlike(r"^[0-9\"'/]"), "Literal").otherwise("?"))
+
+
 def calls(toks: DataFrame, heads: DataFrame) -> DataFrame:
     """Call sites (file, idx, callee): ``f``, ``obj.prop`` or ``<IIFE>``."""
     methods = heads.filter(~F.col("kind").isin("arrow", "declaration")).select("file", "idx").distinct()
@@ -324,7 +336,7 @@ def calls(toks: DataFrame, heads: DataFrame) -> DataFrame:
     made = member & ((F.col("p3") == "new") | ((F.col("p3") == ".") & (F.col("p5") == "new")))
     plain = toks.filter((F.col("n1") == "(") & ~F.coalesce(made, F.lit(False)) & (is_name(F.col("tok")) | is_soft_callee(F.col("tok"), F.col("p1"), F.col("n1")) | (member & F.col("tok").rlike(IDENTIFIER)))
                         & ~F.coalesce(F.col("p1").isin("function", "new") | ((F.col("p1") == "*") & (F.col("p2") == "function")), F.lit(False)))
-    callee = F.when(F.coalesce(member, F.lit(False)), F.concat(F.when(F.col("p2").rlike(IDENTIFIER), F.col("p2")).otherwise("?"), F.lit("."), "tok")).otherwise(F.col("tok"))
+    callee = F.when(F.coalesce(member, F.lit(False)), F.concat(_object_name(), F.lit("."), "tok")).otherwise(F.col("tok"))
     sites = plain.join(methods, ["file", "idx"], "left_anti").select("file", "idx", callee.alias("callee"))
     inner = toks.filter("tok = '('").select("file", F.col("match_idx").alias("idx"), F.col("n1").alias("_inner"), F.col("n2").alias("_second"))
     invoked = toks.filter("tok = ')' AND n1 = '('").join(inner, ["file", "idx"]).filter(
@@ -379,6 +391,12 @@ def edges_of(facts: DataFrame) -> DataFrame:
     return facts.select("file", F.col("fn").alias("from_fn"), F.explode("calls").alias("to_fn"))
 
 
+def accesses_of(facts: DataFrame) -> DataFrame:
+    """Accesses (file, fn, variable, is_write) of functions: the input of the variable flows."""
+    listed = lambda column, is_write: F.transform(column, lambda v: F.struct(v.alias("variable"), F.lit(is_write).alias("is_write")))
+    return facts.select("file", "fn", F.inline(F.concat(listed("reads", False), listed("writes", True))))
+
+
 def classes(toks: DataFrame) -> DataFrame:
     """Classes with their parent."""
     named = is_name(F.col("n1"))

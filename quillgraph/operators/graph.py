@@ -17,6 +17,8 @@ from quillgraph.session import cut_lineage
 
 # Lengths of the ranked lists.
 N_HUBS = 5
+# Fixed value: consumers listed for a flow.
+N_CONSUMERS = 8
 N_CHAINS = 8
 MIN_CHAIN = 3
 
@@ -257,6 +259,22 @@ def flow_consumers(accesses: DataFrame) -> DataFrame:
         "file", "variable", F.col("fn").alias("to_fn"), others.alias("n_from"))
 
 
+def flow_lists(accesses: DataFrame, most: int = N_CONSUMERS) -> DataFrame:
+    """Flows (file, from_fn, variable, n_to, to): each writer with the number of other readers and the first ones by name.
+
+    The first readers of a variable are ranked once, one more than are listed, so that a writer can leave itself out;
+    writers and readers are not paired.
+    """
+    own = access_summary(accesses)
+    first = W.partitionBy("file", "variable").orderBy("fn")
+    ranked = own.filter("reads = 1").withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= most + 1)
+    readers = ranked.groupBy("file", "variable").agg(F.array_sort(F.collect_list("fn")).alias("_readers"))
+    heads = own.withColumn("n_to", F.col("n_readers") - F.col("reads")).filter((F.col("writes") == 1) & (F.col("n_to") > 0))
+    return heads.join(readers, ["file", "variable"]).select(
+        "file", F.col("fn").alias("from_fn"), "variable", "n_to",
+        F.slice(F.filter("_readers", lambda r: r != F.col("fn")), 1, most).alias("to"))
+
+
 def flow_isolated(nodes: DataFrame, accesses: DataFrame) -> DataFrame:
     """Nodes without calls that consume no variable flow."""
     consumers = flow_consumers(accesses).select("file", F.col("to_fn").alias("fn"))

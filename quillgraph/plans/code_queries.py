@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.operators import facts as X
+from quillgraph.operators import graph as C
 from quillgraph.operators import quality as Q
 from quillgraph.operators import roles as R
 from quillgraph.operators import rollup as A
@@ -259,3 +260,77 @@ def source_quality(spark, sf):
     facts = X.function_facts(modules(spark, sf))
     run = A.analyse(R.function_features(facts), X.edges_of(facts))
     return Q.with_scores(run.facts).select("file", "n_nodes", "avg_complexity", "max_call_depth", "score")
+
+
+# Modules of several shapes, chosen by the part's key. Of each: its text, its functions (name, calls, nesting, complexity) and its
+# flows (writer, variable, readers). A shape without functions does not parse.
+SHAPES = (
+    ("function <w2><id>(x) { return `v ${<w1>F(x)} ${`in ${<w2>G(`${x}`)}`} it's`; }\n",
+     [("<w2><id>", ["<w1>F", "<w2>G"], 0, 1)], []),
+    ("const <w2><id> = s => /[(`${]/.test(s) && <w1>F(s);\n",
+     [("<w2><id>", ["<w1>F", "Literal.test"], 0, 2)], []),
+    ("const <w2><id> = x => x + <size>\n<w1>F()\nconst <w1>B = y =>\n  y\n  .trim()\n",
+     [("<w2><id>", [], 0, 1), ("<w1>B", ["y.trim"], 0, 1)], []),
+    ("function <w2><id>(a) {\n  if (a > 3) { <w1>F(); } else if (a > 2) { a.b.<w2>G(); } else if (a) { [a].map(<w1>F); }\n}\n",
+     [("<w2><id>", ["<w1>F", "ArrayExpression.map", "MemberExpression.<w2>G"], 3, 4)], []),
+    ("function <w2><id>(a) {\n  if (a) for (const b of a) if (b) <w1>F(b);\n  <w2>G()\n  if (a) { a[0].<w1>H() }\n}\n",
+     [("<w2><id>", ["<w1>F", "<w2>G", "MemberExpression.<w1>H"], 3, 5)], []),
+    ("const <w1>Box = { get <w2><id>() { return <w1>F(1); }, <w1>Open(k) { while (k) k = this.<w2>G(k); } };\n",
+     [("<w2><id>", ["<w1>F"], 0, 1), ("<w1>Open", ["ThisExpression.<w2>G"], 1, 2)], []),
+    ("let <w1>Sum = 0;\nfunction <w2><id>(x) { <w1>Sum = x; }\nfunction <w1>R(y) { return <w1>Sum + y; }\nfunction <w1>S() { <w1>Sum += 2; return <w1>R(1); }\n",
+     [("<w2><id>", [], 0, 1), ("<w1>R", [], 0, 1), ("<w1>S", ["<w1>R"], 0, 1)],
+     [("<w2><id>", "<w1>Sum", ["<w1>R", "<w1>S"]), ("<w1>S", "<w1>Sum", ["<w1>R", "<w2><id>"])]),
+    ("function <w2><id>(a) {\n  try { switch (a) { case 1: <w1>F(); break; default: <w2>G().<w1>H(); } } catch (e) { throw e; }\n}\n",
+     [("<w2><id>", ["<w1>F", "<w2>G", "CallExpression.<w1>H"], 2, 4)], []),
+    ("function <w2><id>(a { return <w1>F(a); }\n", [], []),
+)
+
+
+def shaped_modules(spark, sf):
+    part = table(spark, sf, "part")
+    cols = {"size": F.col("p_size").cast("string"), "id": F.col("p_partkey").cast("string"),
+            "w1": F.split_part("p_name", F.lit(" "), F.lit(1)), "w2": F.split_part("p_name", F.lit(" "), F.lit(2))}
+    fill = lambda template: F.concat(*[cols[t] if named else F.lit(t) for named, t in _pieces(template)])
+    shape = F.element_at(F.array(*[fill(text) for text, _, _ in SHAPES]), (F.col("p_partkey") % len(SHAPES) + 1).cast("int"))
+    return part.select(F.col("p_partkey").cast("string").alias("file"), shape.alias("text"))
+
+
+def _listed_sql(templates: list[str]) -> str:
+    return f"array_to_string(list_sort([{', '.join(map(_fill_sql, templates))}]::VARCHAR[]), ',')"
+
+
+def _by_shape(rows) -> str:
+    """One SELECT for each row of each shape."""
+    return " UNION ALL ".join(
+        f"SELECT p_partkey::VARCHAR AS file, {select} FROM part WHERE p_partkey % {len(SHAPES)} = {k}"
+        for k, shape in enumerate(SHAPES) for select in rows(shape))
+
+
+def parsed_facts(spark, sf):
+    files = shaped_modules(spark, sf)
+    return X.function_facts(files.join(X.parse_errors(X.tokens(files)), "file", "left_anti"))
+
+
+@query("x9_facts_by_shape", _by_shape(lambda shape: [
+    f"{_fill_sql(fn)} AS fn, {_listed_sql(calls)} AS calls, {nesting}::BIGINT AS nesting, {complexity}::BIGINT AS complexity"
+    for fn, calls, nesting, complexity in shape[1]]))
+def facts_by_shape(spark, sf):
+    return parsed_facts(spark, sf).select("file", "fn", F.array_join("calls", ",").alias("calls"), "nesting", "complexity")
+
+
+@query("s7_parse_errors_by_shape", _by_shape(lambda shape: [] if shape[1] else ["'parse_failed' AS error"]))
+def errors_by_shape(spark, sf):
+    return X.parse_errors(X.tokens(shaped_modules(spark, sf)))
+
+
+@query("c12_flow_lists_source", _by_shape(lambda shape: [
+    f"{_fill_sql(fn)} AS from_fn, {_fill_sql(variable)} AS variable, {len(to)}::BIGINT AS n_to, {_listed_sql(to)} AS \"to\"" for fn, variable, to in shape[2]]))
+def flows_by_shape(spark, sf):
+    return C.flow_lists(X.accesses_of(parsed_facts(spark, sf))).select("file", "from_fn", "variable", "n_to", F.array_join("to", ",").alias("to"))
+
+
+@query("q8_flow_isolated_source", _by_shape(lambda shape: [
+    f"{_fill_sql(fn)} AS fn" for fn, calls, _, _ in shape[1] if not calls and not any(fn in to for _, _, to in shape[2])]))
+def isolated_by_shape(spark, sf):
+    facts = parsed_facts(spark, sf)
+    return C.flow_isolated(facts.select("file", "fn", F.size("calls").alias("n_calls")), X.accesses_of(facts))
