@@ -10,17 +10,24 @@ from pyspark.sql import types as T
 
 BYTES_PER_STEP = "8g"
 
+SIZES = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
 Facts = Callable[[DataFrame], DataFrame]
 
 
+def byte_count(size: str | int) -> int:
+    """Bytes of a size such as 512, "3k" or "8g"; file streams take whole bytes only."""
+    text = str(size).strip().lower()
+    return int(text[:-1]) * SIZES[text[-1]] if text[-1] in SIZES else int(text)
+
+
 def process_arrivals(spark: SparkSession, source: str, schema: T.StructType, facts: Facts, target: str, checkpoint: str,
-                     bytes_per_step: str = BYTES_PER_STEP, glob: str | None = None) -> DataFrame:
+                     bytes_per_step: str | int = BYTES_PER_STEP, glob: str | None = None) -> DataFrame:
     """Drains the files below ``source`` in steps of about ``bytes_per_step`` and writes their facts.
 
     Each step overwrites its own ``step=<id>`` folder, so a repeated step after a failure leaves the
     same rows. Returns the rows of each step (step, rows), read from what was written.
     """
-    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_step)
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(byte_count(bytes_per_step)))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
 

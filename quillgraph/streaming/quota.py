@@ -1,6 +1,6 @@
 """Per-key quota in windows that open at a key's first event.
 
-State per key is four numbers. The same processor serves a stream and a static table.
+State per key is four numbers, and goes once the window has ended. The same processor serves a stream and a static table.
 """
 
 from __future__ import annotations
@@ -43,18 +43,29 @@ def admit_sorted(times: np.ndarray, count: int, reset_at: int, window_us: int, l
     return allowed, counts, count, reset_at
 
 
+def expiry_ms(reset_at: int) -> int:
+    """First millisecond of the clock at which a window that ends at reset_at (microseconds) is over."""
+    return reset_at // 1000 + 1
+
+
 class QuotaProcessor(StatefulProcessor):
-    def __init__(self, window_us: int, limit: int, presorted: bool):
-        self.window_us, self.limit, self.presorted = window_us, limit, presorted
+    """Clock is None for a stream, whose timers follow the watermark; else the largest time of the table in microseconds."""
+
+    def __init__(self, window_us: int, limit: int, clock: int | None):
+        self.window_us, self.limit, self.clock = window_us, limit, clock
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.slot = handle.getValueState("slot", "count int, reset_at long, last_ts long, last_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if not self.presorted:
+        known = self.slot.exists()
+        # A key without a slot is new or its window is over; what is older than the clock then has no window to count in.
+        clock_us = -(1 << 62) if self.clock is not None else timerValues.getCurrentWatermarkInMs() * 1000
+        count, reset_at, last_ts, last_id = self.slot.get() if known else (0, -1, clock_us, -1)
+        if self.clock is None:
             # Order within a micro-batch; the source's trigger options bound it.
             rows = iter([pd.concat(list(rows))])
-        count, reset_at, last_ts, last_id = self.slot.get() if self.slot.exists() else (0, -1, -(1 << 62), -1)
         for part in rows:
             part = part.sort_values(["ts", "event_id"], kind="stable")
             times, ids = part["ts"].to_numpy(dtype="datetime64[us]").astype("int64"), part["event_id"].to_numpy()
@@ -68,7 +79,21 @@ class QuotaProcessor(StatefulProcessor):
             yield self._rows(key, part, allowed, counts, "verdict")
             yield from self._closed(key, times, counts, int(count), int(before))
             count, last_ts, last_id = end_count, int(times[-1]), int(part["event_id"].iloc[-1])
-        self.slot.update((int(count), int(reset_at), int(last_ts), int(last_id)))
+        if reset_at < 0:
+            return
+        if self.clock is None:
+            self.slot.update((int(count), int(reset_at), int(last_ts), int(last_id)))
+            self.handle.registerTimer(expiry_ms(int(reset_at)))
+        elif expiry_ms(int(reset_at)) <= self.clock // 1000:
+            yield self._ended(key, [int(reset_at)], [int(count)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Reports and forgets a key whose window is over. A timer of an earlier window finds a later end and does nothing."""
+        if self.slot.exists():
+            count, reset_at, _, _ = self.slot.get()
+            if expiry_ms(int(reset_at)) <= expiredTimerInfo.getExpiryTimeInMs():
+                self.slot.clear()
+                yield self._ended(key, [int(reset_at)], [int(count)])
 
     def _closed(self, key, times: np.ndarray, counts: np.ndarray, count: int, reset_at: int) -> Iterator[pd.DataFrame]:
         """Windows that an event of these rows came after: their end and how many they held."""
@@ -81,9 +106,12 @@ class QuotaProcessor(StatefulProcessor):
                 reset_at = int(times[at]) + self.window_us
             at = max(int(np.searchsorted(times, reset_at, side="right")), at + 1)
         if ends:
-            yield pd.DataFrame({
-                "key": str(key[0]), "event_id": pd.array([None] * len(ends), dtype="Int64"), "ts": pd.to_datetime(ends, unit="us"),
-                "allowed": pd.array([None] * len(ends), dtype="boolean"), "n_in_window": np.array(held, dtype=np.int32), "kind": "closed"})
+            yield self._ended(key, ends, held)
+
+    def _ended(self, key, ends: list[int], held: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({
+            "key": str(key[0]), "event_id": pd.array([None] * len(ends), dtype="Int64"), "ts": pd.to_datetime(ends, unit="us"),
+            "allowed": pd.array([None] * len(ends), dtype="boolean"), "n_in_window": np.array(held, dtype=np.int32), "kind": "closed"})
 
     def _rows(self, key, part: pd.DataFrame, allowed, counts, kind: str) -> pd.DataFrame:
         none = [None] * len(part)
@@ -99,19 +127,24 @@ class QuotaProcessor(StatefulProcessor):
 def anchored_quota(events: DataFrame, window_ms: int = WINDOW_MS, limit: int = QUOTA) -> DataFrame:
     """Rows of OUTPUT for events (key, event_id, ts), by kind.
 
-    verdict: an event in the order of its key. late: an event that came after a later one of its key was decided
-    (streams only); it has no verdict and is not lost. closed: a window that an event of its key came after, with its end
-    and what it held; this depends on the data, not on how a stream was cut.
+    verdict: an event in the order of its key. late: an event that came after a later one of its key was decided, or after its
+    key's window was over and forgotten (streams only); it has no verdict and is not lost. closed: a window whose end lies before
+    the largest time of all keys, with its end and what it held.
 
-    A static table is sorted by key and time first, so a busy key flows through in order and is never held; a
-    stream is held per micro-batch. There is no watermark, so no row is dropped; a key keeps four numbers.
+    The clock is that largest time. A stream tells it to the timers as a watermark without delay on a column that is dropped
+    before the state, so no row is filtered as late; a timer reports an idle key's window and clears its state. A static table
+    is sorted by key and time first, so a busy key flows through in order and is never held; a stream is held per micro-batch.
     """
     rows = events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    if not events.isStreaming:
+    clock = None
+    if events.isStreaming:
+        rows = rows.withColumn("_clock", F.col("ts")).withWatermark("_clock", "0 seconds").select("key", "event_id", "ts")
+    else:
+        clock = rows.agg(F.max(F.unix_micros("ts"))).first()[0] or 0
         rows = rows.repartition("key").sortWithinPartitions("key", "ts", "event_id")
     return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=QuotaProcessor(window_ms * 1000, limit, not events.isStreaming),
-        outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+        statefulProcessor=QuotaProcessor(window_ms * 1000, limit, clock),
+        outputStructType=OUTPUT, outputMode="Append", timeMode="None" if clock is not None else "EventTime")
 
 
 def use_state_store(spark) -> None:

@@ -96,7 +96,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert any(not v for v in batch.values())
     closed = {(r.key, r.ts, r.n_in_window) for r in anchored_quota(df, 60_000, 2).filter("kind = 'closed'").collect()}
     assert {(r.key, r.ts, r.n_in_window) for r in got if r.kind == "closed"} == closed and closed
-    assert "quiet" not in {key for key, _, _ in closed}
+    # The silent key's window is over too: a timer reports it, and it has no state left.
+    end = start + dt.timedelta(seconds=60)
+    assert ("quiet", end, 1) in closed
+    last = start + dt.timedelta(seconds=7 * 59)
+    assert all(t < last for _, t, _ in closed)
+    state = spark.read.format("statestore").option("stateVarName", "slot").load(str(tmp_path / "cp"))
+    held = {r["key"]["key"] for r in state.collect()}
+    assert "quiet" not in held and held <= {"k0", "k1", "k2"}
 
 
 def test_no_event_is_lost_in_any_order_of_arrival(spark, tmp_path):
