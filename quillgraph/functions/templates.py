@@ -66,6 +66,5 @@ def _plain_templates(texts: pd.Series) -> pd.Series:
 
 
 def with_plain_templates(text: Column) -> Column:
-    """plain_templates, for texts that hold a substitution; the others do not leave the JVM."""
-    holds = F.contains(text, F.lit("${"))
-    return F.when(holds, _plain_templates(F.when(holds, text))).otherwise(text)
+    """plain_templates of a column."""
+    return _plain_templates(text)

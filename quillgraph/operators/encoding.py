@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from quillgraph.functions.rows import settle
 from quillgraph.functions.text import word_tokens
 from quillgraph.functions.vocabulary import (
-    PAD_ID, SEQUENCE_LENGTH, SOURCE_PATTERN, TOKEN_ID, UNKNOWN_ID, VOCABULARY, encoding_table,
+    PAD_ID, SEQUENCE_LENGTH, SILENT, SOURCE_PATTERN, TOKEN_ID, UNKNOWN_ID, VOCABULARY, encoding_table,
 )
 
 
@@ -57,15 +57,22 @@ def encode_tokens(texts: DataFrame, text: str, vocabulary: DataFrame, out: str =
 def is_balanced(text: Column) -> Column:
     """Equal numbers of opening and closing brackets of each kind: the parse check of the encoder."""
     def same(a: str, b: str) -> Column:
-        return F.regexp_count(text, F.lit(a)) == F.regexp_count(text, F.lit(b))
+        return F.length(F.replace(text, F.lit(a), F.lit(""))) == F.length(F.replace(text, F.lit(b), F.lit("")))
 
-    return same(r"\(", r"\)") & same(r"\[", r"\]") & same(r"\{", r"\}")
+    return same("(", ")") & same("[", "]") & same("{", "}")
 
 
-def source_ids(text: Column) -> Column:
-    """Main id and optional sub-token id per source token, in order, from the whole text."""
+def source_tokens(text: Column, length: int = SEQUENCE_LENGTH) -> Column:
+    """The first source tokens that stand for an id. Each of them gives at least one, so `length` of them fill a sequence."""
+    tokens = F.regexp_extract_all(text, F.lit(SOURCE_PATTERN), F.lit(0))
+    speaks = lambda t: ~t.isin(*SILENT) & ~F.startswith(t, F.lit("//")) & ~F.startswith(t, F.lit("/*"))
+    return F.slice(F.filter(tokens, speaks), 1, length)
+
+
+def source_ids(tokens: Column) -> Column:
+    """Main id and optional sub-token id per source token, in order."""
     table = F.create_map(*[
-        part for token, ids in encoding_table().items()
+        part for token, ids in encoding_table().items() if ids
         for part in (F.lit(token), F.array(*[F.lit(i) for i in ids]).cast("array<int>"))
     ])
     one = lambda node: F.array(F.lit(TOKEN_ID[node]))
@@ -74,8 +81,7 @@ def source_ids(text: Column) -> Column:
         first = F.substring(token, 1, 1)
         return F.coalesce(
             F.try_element_at(table, token),
-            F.when(F.startswith(token, F.lit("//")) | F.startswith(token, F.lit("/*")), F.array().cast("array<int>"))
-            .when(first.isin('"', "'"), one("Literal"))
+            F.when(first.isin('"', "'"), one("Literal"))
             .when(first == "`", one("TemplateLiteral"))
             .when(F.startswith(token, F.lit("Math.")), one("MemberExpression"))
             .when(token.rlike("^[0-9]"), one("Literal"))
@@ -83,15 +89,17 @@ def source_ids(text: Column) -> Column:
             .otherwise(F.array(F.lit(UNKNOWN_ID))),
         )
 
-    tokens = F.regexp_extract_all(text, F.lit(SOURCE_PATTERN), F.lit(0))
     return F.flatten(F.transform(tokens, ids_of))
 
 
 def encode_source(texts: DataFrame, text: str, out: str = "ids") -> DataFrame:
     """Padded sequence with interleaved sub-tokens; a text that does not balance is all padding."""
     empty = F.array().cast("array<int>")
-    ids = F.when(is_balanced(F.col(text)), source_ids(F.col(text))).otherwise(empty)
-    return texts.withColumn("_ids", ids).withColumn(out, pad_sequence(F.col("_ids"))).drop("_ids")
+    balanced = F.when(is_balanced(F.col(text)), source_tokens(F.col(text)))
+    # Settled, so that the scan of the text and the look-ups behind it run once.
+    rows = settle(texts.withColumn("_tokens", balanced), "_tokens")
+    rows = settle(rows.withColumn("_ids", F.coalesce(source_ids(F.col("_tokens")), empty)), "_ids")
+    return rows.withColumn(out, pad_sequence(F.col("_ids"))).drop("_ids", "_tokens")
 
 
 def token_vectors(embeddings: DataFrame, token_id: Column, vector: str, dim: int) -> DataFrame:

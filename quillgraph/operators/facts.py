@@ -21,9 +21,10 @@ from quillgraph.functions.text import contains_any
 from quillgraph.functions.vocabulary import SOURCE_PATTERN
 from quillgraph.session import cut_lineage
 
-# A slash opens a regular expression where a value may start; there, brackets and quotes are its own.
+# A slash opens a regular expression where a value may start; there, brackets and quotes are its own. The slash comes first, so
+# that what stands before it is looked at for slashes only.
 REGEX_PATTERN = (
-    r"(?<=(?:=>|[=(,:\[!&|?{;+*%~^]|\breturn|\btypeof|\bcase)\s{0,8})/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*")
+    r"/(?<=(?:=>|[=(,:\[!&|?{;+*%~^]|\breturn|\btypeof|\bcase)\s{0,8}/)(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*")
 TOKEN_PATTERN = r"[ \t\r\f\x0B]*(?:\n|" + REGEX_PATTERN + "|" + SOURCE_PATTERN + ")"
 IDENTIFIER = r"^[A-Za-z_$][A-Za-z0-9_$]*$|^Math\."
 OPENING, CLOSING = ("{", "(", "["), ("}", ")", "]")
@@ -101,7 +102,11 @@ def code_tokens(files: DataFrame, text: str = "text") -> DataFrame:
 
     Counting them needs no window: unused columns fall away.
     """
-    raw = files.select("file", F.posexplode(F.regexp_extract_all(with_plain_templates(F.col(text)), F.lit(TOKEN_PATTERN), F.lit(0))).alias("pos", "_raw"))
+    # Texts with substitutions go through the rewriting; the others are scanned as they are.
+    holds = F.coalesce(F.contains(F.col(text), F.lit("${")), F.lit(False))
+    plain = files.filter(~holds).select("file", F.col(text).alias("_text")).unionByName(
+        files.filter(holds).select("file", with_plain_templates(F.col(text)).alias("_text")))
+    raw = plain.select("file", F.posexplode(F.regexp_extract_all("_text", F.lit(TOKEN_PATTERN), F.lit(0))).alias("pos", "_raw"))
     by_pos = W.partitionBy("file").orderBy("pos")
     upto, before = by_pos.rowsBetween(W.unboundedPreceding, 0), by_pos.rowsBetween(W.unboundedPreceding, -1)
     newlines = F.length("_raw") - F.length(F.replace("_raw", F.lit("\n"), F.lit("")))
@@ -271,10 +276,10 @@ def functions(toks: DataFrame, heads: DataFrame | None = None) -> DataFrame:
 
 
 def _statement_ends(toks: DataFrame) -> DataFrame:
-    """Tokens with ``stop_idx``: where the statement around a token, at its level, ends.
+    """Control words (file, idx) with ``stop_idx``: where the statement they start ends.
 
     Marks are semicolons and new statements of the level, closing braces one level further in, and what closes the level itself;
-    one in front of an else is none. The next mark is found by a window over the level, so no token looks at its file.
+    one in front of an else is none. The next mark is found by a window over the level, so no word looks at its file.
     """
     closes_block = F.col("tok") == "}"
     goes_on = F.coalesce(F.col("n1") == "else", F.lit(False))
@@ -282,7 +287,8 @@ def _statement_ends(toks: DataFrame) -> DataFrame:
     place = ["file", "_at_level", "idx"]
     # A closing brace counts for its own level and for the one around it.
     inner = toks.filter(closes_block & ~goes_on).select("file", (F.col("level") - 1).alias("_at_level"), "idx", F.col("idx").alias("_mark"), F.lit(None).cast("int").alias("_word"))
-    own = toks.select("file", F.col("level").alias("_at_level"), "idx", F.when(mark, F.col("idx") - flag(F.col("new_statement"))).alias("_mark"), F.col("idx").alias("_word"))
+    # Only marks and the words that ask take part.
+    own = toks.filter(mark | F.col("tok").isin("if", "for", "while")).select("file", F.col("level").alias("_at_level"), "idx", F.when(mark, F.col("idx") - flag(F.col("new_statement"))).alias("_mark"), F.col("idx").alias("_word"))
     later = W.partitionBy("file", "_at_level").orderBy("idx").rowsBetween(1, W.unboundedFollowing)
     found = own.unionByName(inner).select(*place, "_word", F.first("_mark", ignorenulls=True).over(later).alias("stop_idx"))
     return found.filter("_word IS NOT NULL").select("file", "idx", "stop_idx")
@@ -305,10 +311,12 @@ def _nesting(toks: DataFrame, heads: DataFrame) -> DataFrame:
     control = toks.filter(F.col("tok").isin("if", "for", "while") & F.col("n1").isin("(", "await") & is_word_in_place(F.col("p1"))).select(
         "file", "idx", "tok", "p1", "p2", (F.col("idx") + F.when(F.col("n1") == "(", 1).otherwise(2)).alias("_opened"))
     closed = toks.filter("tok = ')'").select("file", F.col("open_idx").alias("_opened"), F.col("n1").alias("_body"))
-    stops = cut_lineage(control.join(closed, ["file", "_opened"]).join(_statement_ends(toks), ["file", "idx"]).filter("stop_idx IS NOT NULL"))
-    bare = stops.filter(F.coalesce(F.col("_body"), F.lit(";")) != "{").select("file", F.col("idx").alias("from_idx"), F.col("stop_idx").alias("to_idx"))
-    chained = stops.filter("tok = 'if' AND p1 = 'else' AND p2 = '}'").select("file", (F.col("idx") - 1).alias("from_idx"), F.col("stop_idx").alias("to_idx"))
-    spans = in_blocks.unionByName(bare).unionByName(chained)
+    stops = control.join(closed, ["file", "_opened"]).join(_statement_ends(toks), ["file", "idx"]).filter("stop_idx IS NOT NULL")
+    bare = F.coalesce(F.col("_body"), F.lit(";")) != "{"
+    chained = F.coalesce((F.col("tok") == "if") & (F.col("p1") == "else") & (F.col("p2") == "}"), F.lit(False))
+    open_from = lambda applies, at: F.when(applies, F.struct(at.alias("from_idx"), F.col("stop_idx").alias("to_idx")))
+    spans = in_blocks.unionByName(stops.select("file", F.inline(F.array_compact(F.array(
+        open_from(bare, F.col("idx")), open_from(chained, F.col("idx") - 1))))))
     steps = spans.select("file", F.inline(F.array(
         F.struct(F.col("from_idx").alias("idx"), F.lit(1).alias("_step")), F.struct(F.col("to_idx").alias("idx"), F.lit(-1).alias("_step")))))
     steps = steps.groupBy("file", "idx").agg(F.sum("_step").cast("int").alias("_step"))
