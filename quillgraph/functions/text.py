@@ -18,11 +18,6 @@ def hashed_choice(key: Column, name: str, size: int) -> Column:
     return portable_hash(key, name) % F.lit(size)
 
 
-def hashed_unit(*parts: Column | str) -> Column:
-    """Uniform in [0, 1) from the portable hash."""
-    return portable_hash(*parts) / F.lit(4294967296.0)
-
-
 def replace_first(text: Column, pattern: str, replacement: str) -> Column:
     """Replace the first match only. Groups of ``pattern`` count from $2 on."""
     return F.regexp_replace(text, f"(?s)^(.*?){pattern}", f"$1{replacement}")
@@ -32,11 +27,6 @@ def replace_first_literal(text: Column, old: str, new: str) -> Column:
     return replace_first(text, re.escape(old), new.replace("\\", "\\\\").replace("$", "\\$"))
 
 
-def replace_word(text: Column, old: Column, new: Column) -> Column:
-    """Replace a whole word everywhere; the word may differ per row."""
-    return F.regexp_replace(text, F.concat(F.lit("\\b"), old, F.lit("\\b")), new)
-
-
 def contains_any(text: Column, needles: list[str] | tuple[str, ...]) -> Column:
     result = F.lit(False)
     for needle in needles:

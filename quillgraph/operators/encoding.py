@@ -13,12 +13,6 @@ from quillgraph.functions.vocabulary import (
 )
 
 
-def fixed_vocabulary(anchor: DataFrame) -> DataFrame:
-    """The built-in vocabulary (token, id) as a dimension."""
-    tokens = F.array(*[F.lit(t) for t in VOCABULARY])
-    return anchor.sparkSession.range(1).select(F.posexplode(tokens).alias("id", "token")).select("token", "id")
-
-
 def token_counts(texts: DataFrame, text: str) -> DataFrame:
     """Counted inside each task before the shuffle, so a frequent token is one row per task."""
     return texts.select(F.explode(word_tokens(F.col(text))).alias("token")).groupBy("token").agg(

@@ -48,7 +48,7 @@ def function_features(functions: DataFrame) -> DataFrame:
 
 
 def role_rules() -> dict[str, Column]:
-    """One boolean per role over the function row."""
+    """One boolean per role over the function row. The conditions and their limits."""
     tx = lambda t: F.array_contains("transforms", t)
     fx = lambda e: F.array_contains("effects", e)
     no_effects = F.size("effects") == 0

@@ -15,7 +15,7 @@ from quillgraph.operators import roles as R
 from quillgraph.session import cut_lineage
 
 # Lengths of the report lists and of the repository lists.
-N_RELATIONS, N_REPORT_CHAINS, N_FLOWS = 20, 5, 8
+N_RELATIONS, N_REPORT_CHAINS = 20, 5
 TOP_ROLES, TOP_PATTERNS, TOP_EFFECTS, TOP_STYLES, TOP_WEAKNESSES = 8, 6, 5, 4, 5
 
 

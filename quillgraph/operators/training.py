@@ -12,7 +12,6 @@ from quillgraph.functions.vectors import log_sum_exp
 
 # Share of training rows, evaluation rhythm and patience in evaluations.
 TRAIN_SHARE = 0.9
-EVALUATE_EVERY = 10
 PATIENCE = 80
 WARMUP_SHARE = 0.3
 UNITS = 1_000_000_000
