@@ -1,46 +1,45 @@
-"""Near duplicates by SimHash fingerprints and block pigeonholes.
+"""Near duplicates by SimHash fingerprints and a vantage-point tree.
 
 A fingerprint has a 1 where more than half of the shingle hashes have one. Two fingerprints are linked at
-RADIUS or fewer differing bits. Links are found by block pigeonholes on the distinct fingerprints, not by a vantage-point tree:
+`radius` or fewer differing bits. Links are found exactly, on the distinct fingerprints:
 
-* The 64 bits are cut into BLOCKS. RADIUS differing bits touch at most RADIUS blocks, so two linked fingerprints
-  agree on some BLOCKS - RADIUS of them. For each such choice of blocks, the Hamming distance on those blocks is a
-  metric in which the two are 0 apart, and by the triangle inequality they lie equally far from any vantage point.
-  The distances to VANTAGE_POINTS fixed points serve as a hash of the blocks and are the shard key: a fingerprint is in one shard per choice, and no
-  link crosses all shards.
-* Within a shard the whole-fingerprint distance counts. Members are ordered by distance to the shard's own vantage
-  point, and a search around a member only looks at members whose distance differs by at most RADIUS.
+* A tree of vantage points (`vantage_tree`) is built on a sample of about SAMPLE_PRINTS fingerprints, never more than
+  twice as many, so that shards hold about SHARD members. The sample decides where borders run, not what is found.
+* Every fingerprint goes to its own shard and to each shard whose border it is near; the triangle bounds prune
+  all other branches. Two linked fingerprints therefore meet in some shard.
+* Each task goes on with the tree inside its shard, with the shard's own members as vantage points, down to leaves
+  that are compared directly. Fingerprints that no vantage point tells apart are grouped by a breadth-first search.
 
-A shard yields one pair (member, smallest member of its group) instead of all links, and the pairs of all shards are
+A shard yields at most one pair per member and leaf instead of all links, and the pairs of all shards are
 joined into components. Copies have one fingerprint, so a group of them is one row here, whatever its size.
 
 Defined results: null and empty texts, and texts without words, have fingerprint 0 and link to each other. Texts with
 fewer words than a shingle give one shingle. A component is named by its smallest doc_id; a null doc_id counts as
 larger than any other, and a component of null ids alone has a null name. Rows that repeat an id are each reported. An
-empty table gives an empty result. Texts of any length are hashed in slices.
+empty table gives an empty result. Texts of any length are hashed in slices. Extra columns are carried in a struct.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import carried, documents, texts_of, written
+from quillgraph.llm.bitmaps import ROW_BITS, pages_of, with_membership
+from quillgraph.llm.common import carried, documents, hashed_sample, texts_of, written
 from quillgraph.llm.components import component_labels
+from quillgraph.llm.vantage_tree import Tree, build_tree, routed, shard_pairs
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-BLOCKS = RADIUS + 2
-VANTAGE_POINTS = 8
+SAMPLE_PRINTS = 1 << 16
+SHARD = 1 << 15
 SLICE = 1 << 15  # shingles whose bits are counted at a time
-FRONTIER = 128
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -82,133 +81,92 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGL
     return rows.mapInArrow(hashed, f"row {rows.schema['row'].dataType.simpleString()}, fp long")
 
 
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+def tree_of(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Tree:
+    """The tree that cuts the distinct fingerprints (fp) into shards. Only the bounded sample reaches the driver."""
+    total = prints.count()
+    few = hashed_sample(prints, "fp", SAMPLE_PRINTS) if total > shard else prints.limit(0)
+    sample = np.array([row.fp for row in few.collect()], np.int64).view(np.uint64)
+    return build_tree(np.sort(sample), total, shard, radius)
 
 
-def block_masks(blocks: int = BLOCKS, agree: int = BLOCKS - RADIUS) -> list[int]:
-    """Masks of every choice of blocks on which linked fingerprints may agree."""
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    each = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    return [sum(choice) for choice in combinations(each, agree)]
-
+def shards(prints: DataFrame, tree: Tree, radius: int = RADIUS) -> DataFrame:
+    """Rows (shard, fp): every fingerprint once for each shard that may hold a link of it."""
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column("fp").to_numpy()
+            row, shard = routed(tree, fps.view(np.uint64), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(fps[row])], ["shard", "fp"])
 
-def vantage_points(n: int = VANTAGE_POINTS) -> list[int]:
-    """Fixed points, spread by hashing their numbers."""
-    return [xxhash.xxh64_intdigest(f"vantage {i}".encode(), SEED) for i in range(n)]
+    return prints.select("fp").mapInArrow(sent, "shard int, fp long")
 
 
-def _shard_key(fp: Column, choice: int, mask: int) -> Column:
-    """The choice of blocks and the distances to all vantage points on these blocks, five bits each."""
-    key = F.lit(choice).cast("long")
-    for point in vantage_points():
-        distance = F.bit_count(fp.bitwiseXOR(F.lit(_signed(point))).bitwiseAND(F.lit(_signed(mask))))
-        key = F.shiftleft(key, 5).bitwiseOR(distance.cast("long"))
-    return key
+def linked_fingerprints(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints that connect every two within `radius` bits, directly or through others."""
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Shards arrive in order; the parts of one wait until the next begins.
+        parts: list[np.ndarray] = []
+        last = None
 
+        def pairs() -> pa.RecordBatch:
+            found = shard_pairs(np.concatenate(parts), radius).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-def shards(fingerprints: DataFrame) -> DataFrame:
-    """Rows (shard, fp): every distinct fingerprint once for each choice of blocks."""
-    keys = F.array(*[_shard_key(F.col("fp"), i, mask) for i, mask in enumerate(block_masks())])
-    return fingerprints.select("fp", F.explode(keys).alias("shard"))
+        for batch in batches:
+            key, fps = batch.column("shard").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for at, end in zip(edges, edges[1:]):
+                if at == end:
+                    continue
+                if parts and key[at] != last:
+                    yield pairs()
+                    parts.clear()
+                last = key[at]
+                parts.append(fps[at:end].copy())
+        if parts:
+            yield pairs()
+
+    n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    spread = shards(prints, tree_of(prints, radius, shard), radius)
+    return spread.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(linked, "a long, b long")
+
+
+def near_duplicate_components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row per fingerprint of rows (id, fp): fp, component_id, n_rows of the component and first_fp, which its smallest id has."""
+    prints = written(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("n")))
+    labels = component_labels(written(linked_fingerprints(prints.select("fp"), radius)))
+    named = written(prints.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", F.coalesce("label", "fp").alias("label")))
+    firsts = written(named.groupBy("label").agg(
+        F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")).alias("first"), F.sum("n").alias("n_rows")))
+    return written(named.select("fp", "label").join(firsts, "label").select(
+        "fp", F.col("first.first_id").alias("component_id"), "n_rows", F.col("first.fp").alias("first_fp")))
+
+
+def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row per input row: id, fp and component_id."""
+    rows = written(with_fingerprints(docs, text, shingle, (doc_id,)).select(F.col(f"row.{doc_id}").alias("id"), "fp"))
+    return rows.join(near_duplicate_components(rows, radius), "fp").select("id", "fp", "component_id")
 
 
-def groups_in_shard(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each member, the smallest member it reaches by steps of at most `radius` bits.
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The input rows without near copies: of each component one row with its smallest doc_id stays, columns as they were.
 
-    A breadth-first search that takes every member once as origin; links are tested, never listed.
+    Texts of rows that are alone in their component stay where they are, but for the few that share a bit of the bitmap.
     """
-    root = fps.copy()
-    spread = np.bitwise_count(fps ^ fps[0]).astype(np.int16)  # distance to the shard's vantage point
-    order = np.argsort(spread, kind="stable")
-    left, depth = fps[order], spread[order]
-    place = order
-    while len(left):
-        group, origin, origin_depth = [place[:1]], left[:1], depth[:1]
-        left, depth, place = left[1:], depth[1:], place[1:]
-        while len(origin) and len(left):
-            now, now_depth = origin[:FRONTIER], origin_depth[:FRONTIER]
-            origin, origin_depth = origin[FRONTIER:], origin_depth[FRONTIER:]
-            low, high = np.searchsorted(depth, [now_depth.min() - radius, now_depth.max() + radius + 1])
-            near = (np.bitwise_count(now[:, None] ^ left[None, low:high]) <= radius).any(axis=0)
-            if near.any():
-                hit = np.zeros(len(left), bool)
-                hit[low:high] = near
-                group.append(place[hit])
-                origin, origin_depth = np.concatenate([origin, left[hit]]), np.concatenate([origin_depth, depth[hit]])
-                left, depth, place = left[~hit], depth[~hit], place[~hit]
-        members = np.concatenate(group)
-        root[members] = fps[members].min()
-    return root
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (member, root) of shards that arrive in order; the last shard of a batch waits for the next batch."""
-    rest_key, rest_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-    def pairs(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        edges = np.flatnonzero(np.diff(key)) + 1
-        starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
-        out = [np.empty((0, 2), np.int64)]
-        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-            fps = fp[a:b]
-            if b - a == 2:
-                found = np.array([[fps[1], fps[0]]]) if int(fps[0] ^ fps[1]).bit_count() <= RADIUS else None
-            else:
-                root = groups_in_shard(fps)
-                found = np.stack([fps, root], axis=1)[fps != root]
-            if found is not None and len(found):
-                out.append(found.view(np.int64))
-        both = np.concatenate(out)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    for batch in batches:
-        key = np.concatenate([rest_key, batch.column("shard").to_numpy()])
-        fp = np.concatenate([rest_fp, batch.column("fp").to_numpy().view(np.uint64)])
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        rest_key, rest_fp = key[cut:], fp[cut:]
-        if cut:
-            yield pairs(key[:cut], fp[:cut])
-    if len(rest_key):
-        yield pairs(rest_key, rest_fp)
-
-
-def linked_fingerprints(fingerprints: DataFrame) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints that connect every two within RADIUS bits, directly or through others."""
-    spread = shards(fingerprints)
-    n = max(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return (spread.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(_linked, "a long, b long"))
-
-
-def near_duplicate_components(rows: DataFrame) -> DataFrame:
-    """Rows (fp, component_id) for the fingerprints of rows (id, fp): the smallest id that each reaches."""
-    ids = written(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
-    labels = component_labels(written(linked_fingerprints(ids.select("fp"))))
-    named = written(ids.join(labels, F.col("fp") == F.col("node"), "left")
-                    .select("fp", "first_id", F.coalesce("label", "fp").alias("label")))
-    firsts = written(named.groupBy("label").agg(F.min("first_id").alias("component_id")))
-    return written(named.join(firsts, "label").select("fp", "component_id"))
-
-
-def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: id, fp and component_id."""
-    rows = written(with_fingerprints(docs, text, carry=(doc_id,)).select(F.col(f"row.{doc_id}").alias("id"), "fp"))
-    return rows.join(near_duplicate_components(rows), "fp").select("id", "fp", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input rows without near copies: of each component one row with its smallest doc_id stays, columns as they were."""
-    rows = written(with_fingerprints(docs, text))
-    ids = written(rows.select(F.col(f"row.{doc_id}").alias("id"), "fp"))
-    fps = near_duplicate_components(ids)
-    # One fingerprint of the component's smallest id speaks for the component.
-    claims = (ids.join(fps, "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
-              .groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp"))).alias("component"))
-              .agg(F.min(F.struct("fp", "id")).alias("first")).select("first.fp", "first.id"))
+    rows = written(with_fingerprints(docs, text, shingle))
+    ids = rows.select(F.col(f"row.{doc_id}").alias("id"), "fp")
+    found = near_duplicate_components(ids, radius)
+    pages = pages_of(found.filter("n_rows > 1").select("fp"), F.xxhash64("fp"), ROW_BITS)
+
+    def flagged(df: DataFrame) -> DataFrame:
+        return with_membership(df, pages, F.xxhash64("fp"), ROW_BITS, "_moves")
+
     claim = F.concat_ws(":", F.col("fp").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("null")))
-    claims = written(claims.select(claim.alias("claim")))
-    return (rows.withColumn("id", F.col(f"row.{doc_id}")).withColumn("claim", claim)
-            .join(claims, "claim", "left_semi").dropDuplicates(["claim"]).select("row.*"))
+    claims = written(flagged(found.filter("fp = first_fp").withColumnRenamed("component_id", "id"))
+                     .filter("_moves").select(claim.alias("claim")))
+    rows = flagged(rows)
+    moved = rows.filter("_moves").withColumn("id", F.col(f"row.{doc_id}")).withColumn("claim", claim)
+    return (rows.filter("not _moves").select("row.*")
+            .unionByName(moved.join(claims, "claim", "left_semi").dropDuplicates(["claim"]).select("row.*")))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

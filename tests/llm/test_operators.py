@@ -20,7 +20,7 @@ from quillgraph.llm.pii import KINDS, find_spans, fit_model, redact
 from quillgraph.llm.ppm import ORDER, score_documents
 from quillgraph.llm.quality_rules import judge, keep_good, quality_measures
 from quillgraph.llm.sentence_pieces import PieceEncoder, default_model, encode_pieces
-from quillgraph.llm.simhash import drop_near_duplicates, fingerprint, groups_in_shard, near_duplicate_classes
+from quillgraph.llm.simhash import drop_near_duplicates, fingerprint, near_duplicate_classes
 from quillgraph.llm.substring_dedup import remove_repeats
 from quillgraph.llm.token_files import END_ID, encode_frames, pack, read_token_files, unpack
 
@@ -115,23 +115,6 @@ def test_near_duplicates(docs, empty):
     assert near_duplicate_classes(empty).count() == 0 and drop_near_duplicates(empty).count() == 0
 
 
-def test_groups_of_close_fingerprints():
-    dice = np.random.default_rng(3)
-    centres = dice.integers(0, 1 << 63, 40, dtype=np.uint64)
-    flips = np.uint64(1) << dice.integers(0, 64, (40, 60, 2), dtype=np.uint64)
-    points = np.unique(np.bitwise_xor.reduce(flips, axis=2) ^ centres[:, None])
-    root = groups_in_shard(points)
-    for i, a in enumerate(points.tolist()):
-        reach = {a}
-        todo = [a]
-        while todo:
-            x = todo.pop()
-            near = [p for p in points[np.bitwise_count(points ^ np.uint64(x)) <= 3].tolist() if p not in reach]
-            reach.update(near)
-            todo += near
-        assert root[i] == min(reach)
-
-
 def plain_judgement(text):
     text = text or ""
     words = text.encode().split()
