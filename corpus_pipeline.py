@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quillgraph.llm.common import documents, written
 from quillgraph.llm.exact_dedup import drop_exact_duplicates
 from quillgraph.llm.mixing import mix
-from quillgraph.llm.near_copies import drop_near_copies
 from quillgraph.llm.quality_rules import keep_good
 from quillgraph.llm.sentence_pieces import encode_pieces
+from quillgraph.llm.simhash import drop_near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """No document whose 5-word shingles have a Jaccard similarity of 0.8 or more with those of one that stays."""
-    return drop_near_copies(docs)
+    """Of documents whose fingerprints of 3-word shingles link at 3 or fewer bits, directly or through others, the one with the smallest id."""
+    return drop_near_duplicates(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
