@@ -4,24 +4,27 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import zstandard
 
 import corpus_pipeline
 from quillgraph.llm.mixing import _rows, _times_taken, mixing_plan
 from quillgraph.llm.quality_rules import judge
 from quillgraph.llm.sentence_pieces import _sha
-from tests.llm.test_near_copies import shingles
+from quillgraph.llm.simhash import fingerprint
 from tests.llm.test_operators import one_spaced
+from tests.llm.test_simhash_tree import all_links, classes
 
 
-def leaders(rows):
-    """Row by row in order of id: those whose word shingles no row that stays shares by four fifths or more."""
-    stay = []
-    for row in sorted(rows):
-        mine = shingles(row[1])
-        if not any(5 * len(mine & other) >= 4 * len(mine | other) for _, other in stay):
-            stay.append((row, mine))
-    return [row for row, _ in stay]
+def one_of_each_group(rows):
+    """Row by row in order of id: those whose fingerprint reaches no earlier one by steps of three bits."""
+    rows = sorted(rows)
+    points = np.unique(np.array([fingerprint(text) for _, text, _ in rows], np.uint64))
+    group = classes(points, all_links(points))
+    stay = {}
+    for row in rows:
+        stay.setdefault(group[fingerprint(row[1])], row)
+    return list(stay.values())
 
 
 def test_rows(spark, tmp_path):
@@ -33,7 +36,7 @@ def test_rows(spark, tmp_path):
     first = {}
     for r in sorted(docs):
         first.setdefault(one_spaced(r[1]), r)
-    docs = leaders(first.values())
+    docs = one_of_each_group(first.values())
     rows = _rows(spark.createDataFrame(docs, "doc_id long, text string, source string"), "doc_id", "source", "text")
     times = {r.doc_id: r.times for r in _times_taken(rows, mixing_plan(rows)).select("r.doc_id", "times").collect()}
     want = sorted((r[0], _sha(r[1])) for r in docs for _ in range(times[r[0]]))
