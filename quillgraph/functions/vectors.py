@@ -22,10 +22,5 @@ def squared_distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
-def log_sum_exp(logits: Column) -> Column:
-    peak = F.array_max(logits)
-    return peak + F.ln(total(F.transform(logits, lambda x: F.exp(x - peak))))
-
-
 def shannon_entropy(probs: Column, floor: float = 1e-12) -> Column:
     return total(F.transform(probs, lambda p: F.when(p > floor, -p * F.ln(p)).otherwise(0.0)))

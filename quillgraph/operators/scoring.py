@@ -1,7 +1,8 @@
 """Class scores, probabilities, ranking and the out-of-distribution flag.
 
-A row carries its whole class distribution as arrays, so scoring, softmax, top-k and entropy are
-one narrow stage behind the scan. The class model is a single row whose size is checked.
+Classes are cut into blocks of a fixed size, so a model of any number of classes is scored one way. An item visits
+every block once; a visit leaves a state of fixed size (maximum, sum of exponentials, their weighted sum, best classes),
+and states of one item merge in any order. With one block the model is a small table and the visits are narrow.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ MAX_TOP_K = 10
 DEFAULT_TOP_K = 3
 OOD_LIMIT = 0.55
 PROBABILITY_FLOOR = 1e-12
-# A class model with more values than this does not travel with every task.
-MAX_MODEL_VALUES = 4_000_000
+CLASSES_PER_BLOCK = 1024
+SALTS = 16
 
 
 def class_centroids(items: DataFrame, vector: str, label: str, dim: int) -> DataFrame:
@@ -30,19 +31,6 @@ def class_centroids(items: DataFrame, vector: str, label: str, dim: int) -> Data
     return grouped.select("class_id", F.array(*[f"d{i}" for i in range(dim)]).alias("center"))
 
 
-def class_model(centroids: DataFrame) -> Column:
-    """All class vectors as one value for ``linear_scores``; refuses to grow past its bound."""
-    one_row = centroids.agg(
-        F.array_sort(F.collect_list(F.struct("class_id", "center"))).alias("classes"),
-        F.sum(F.size("center")).alias("n_values"),
-    ).select(
-        F.when(F.col("n_values") <= MAX_MODEL_VALUES, F.col("classes")).otherwise(
-            F.raise_error(F.lit("class model too large for one value: use score_against_blocks"))
-        )
-    )
-    return one_row.scalar()
-
-
 def _scorer(kind: str, scale: float):
     def score(v: Column, center: Column) -> Column:
         if kind == "dot":
@@ -58,43 +46,85 @@ def _scorer(kind: str, scale: float):
     return score
 
 
-def linear_scores(items: DataFrame, model: Column, vector: str, kind: str = "scaled_dot", scale: float = 20.0,
-                  bias: Column | None = None) -> DataFrame:
-    """Adds ``classes`` (ids in ascending order) and ``logits`` aligned with it."""
+def class_blocks(centroids: DataFrame, per_block: int = CLASSES_PER_BLOCK) -> tuple[DataFrame, Column]:
+    """Rows (_block, _salt, _model) of about `per_block` classes each, and their number as a scalar.
+
+    Rows of ``centroids`` are (class_id, center) and may have a ``bias``. Each block is there once per salt, so that
+    many tasks read it where it does not travel to all of them.
+    """
+    n_blocks = centroids.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(per_block)).cast("int")).alias("n")).scalar()
+    bias = F.col("bias").cast("double") if "bias" in centroids.columns else F.lit(0.0)
+    member = F.struct("class_id", "center", bias.alias("bias"))
+    blocks = (centroids.withColumn("_n", n_blocks).withColumn("_block", F.pmod(F.hash("class_id"), F.col("_n")))
+              .groupBy("_block").agg(F.collect_list(member).alias("_model"))
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    return blocks, n_blocks
+
+
+def block_logits(items: DataFrame, centroids: DataFrame, key: str, vector: str, kind: str = "scaled_dot", scale: float = 20.0,
+                 per_block: int = CLASSES_PER_BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (key, carried columns, scores): an item's scores in one block as structs (class_id, logit)."""
     score = _scorer(kind, scale)
-    with_model = items.withColumn("_v", F.col(vector).cast("array<double>")).withColumn("_model", model)
-    logits = F.transform("_model", lambda c: score(F.col("_v"), c["center"]))
-    if bias is not None:
-        logits = F.zip_with(logits, bias, lambda x, b: x + b)
-    scored = with_model.withColumn("classes", F.col("_model.class_id")).withColumn("logits", logits)
-    return settle(scored.drop("_v", "_model"), "classes", "logits")
+    blocks, n_blocks = class_blocks(centroids, per_block)
+    visits = (items.select(key, *carry, F.col(vector).cast("array<double>").alias("_v"))
+              .withColumn("_n", n_blocks).withColumn("_salt", F.pmod(F.hash(key), F.lit(SALTS)))
+              .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))))
+    scores = F.transform("_model", lambda c: F.struct(
+        c["class_id"].alias("class_id"), (score(F.col("_v"), c["center"]) + c["bias"]).alias("logit")))
+    return settle(visits.join(blocks, ["_block", "_salt"]).select(key, *carry, scores.alias("scores")), "scores")
 
 
-def score_against_blocks(items: DataFrame, centroids: DataFrame, key: str, vector: str, n_blocks: int,
-                         kind: str = "scaled_dot", scale: float = 20.0) -> DataFrame:
-    """Long scores (key, class_id, logit) for class sets too large for ``class_model``.
+def linear_scores(items: DataFrame, centroids: DataFrame, key: str, vector: str, kind: str = "scaled_dot", scale: float = 20.0,
+                  per_block: int = CLASSES_PER_BLOCK) -> DataFrame:
+    """Long scores (key, class_id, logit)."""
+    return block_logits(items, centroids, key, vector, kind, scale, per_block).select(key, F.inline("scores"))
 
-    Classes are hashed into blocks; each item visits every block once through an equi-join on the
-    block number, salted so that a block is read by many tasks.
+
+def score_states(items: DataFrame, centroids: DataFrame, key: str, vector: str, kind: str = "scaled_dot", scale: float = 20.0,
+                 label: str | None = None, per_block: int = CLASSES_PER_BLOCK) -> DataFrame:
+    """One row per item: key, label, n_classes, peak, mass, spread, ranking (best MAX_TOP_K) and the label's logit as target.
+
+    With d = logit - peak, mass is the sum of exp(d) and spread that of d * exp(d); both move to a larger peak by a factor.
+    ``key`` names an item once. An item without classes to visit has no row.
     """
-    score = _scorer(kind, scale)
-    salts = 16
-    classes = (
-        centroids.withColumn("_block", F.pmod(F.hash("class_id"), F.lit(n_blocks)))
-        .groupBy("_block")
-        .agg(F.collect_list(F.struct("class_id", "center")).alias("_model"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    visits = (
-        items.select(F.col(key), F.col(vector).cast("array<double>").alias("_v"))
-        .withColumn("_salt", F.pmod(F.hash(key), F.lit(salts)))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    )
-    return visits.join(classes, ["_block", "_salt"]).select(
-        key,
-        F.inline(F.transform("_model", lambda c: F.struct(
-            c["class_id"].alias("class_id"), score(F.col("_v"), c["center"]).alias("logit")))),
-    )
+    rows = block_logits(items, centroids, key, vector, kind, scale, per_block, (label,) if label else ())
+    logits = F.col("scores.logit")
+    peak = F.array_max(logits)
+    rows = settle(rows.withColumn("_d", F.transform(logits, lambda x: x - peak)), "_d")
+    best = F.slice(F.array_sort(F.transform("scores", lambda s: F.struct((-s["logit"]).alias("neg"), s["class_id"].alias("class_id")))), 1, MAX_TOP_K)
+    hit = F.array_max(F.transform(F.filter("scores", lambda s: s["class_id"] == F.col(label)), lambda s: s["logit"])) if label else F.lit(None).cast("double")
+    states = settle(rows.select(
+        key, *([label] if label else []), F.size("scores").alias("n"), peak.alias("peak"),
+        total(F.transform("_d", F.exp)).alias("mass"), total(F.transform("_d", lambda d: F.exp(d) * d)).alias("spread"),
+        best.alias("best"), hit.alias("target")), "peak", "mass", "spread", "best", "target")
+    return merge_states(states, key, label)
+
+
+def merge_states(states: DataFrame, key: str, label: str | None = None) -> DataFrame:
+    """States of an item's blocks as one; an item has as many as there are blocks, each of fixed size."""
+    merged = states.groupBy(key).agg(
+        *([F.first(label).alias(label)] if label else []),
+        F.sum("n").alias("n_classes"), F.max("peak").alias("peak"), F.max("target").alias("target"),
+        F.collect_list(F.struct("peak", "mass", "spread")).alias("_parts"), F.flatten(F.collect_list("best")).alias("_best"))
+    shift = lambda part: part["peak"] - F.col("peak")
+    mass = total(F.transform("_parts", lambda b: F.exp(shift(b)) * b["mass"]))
+    spread = total(F.transform("_parts", lambda b: F.exp(shift(b)) * (b["spread"] + shift(b) * b["mass"])))
+    merged = settle(merged.withColumn("mass", mass).withColumn("spread", spread).drop("_parts"), "mass", "spread")
+    ranking = F.transform(F.slice(F.array_sort("_best"), 1, MAX_TOP_K), lambda b: F.struct(
+        (-F.exp(-b["neg"] - F.col("peak")) / F.col("mass")).alias("neg"), b["class_id"].alias("class_id")))
+    return settle(merged.withColumn("ranking", ranking).drop("_best"), "ranking")
+
+
+def probabilities(scores: DataFrame, states: DataFrame, key: str) -> DataFrame:
+    """Long scores with ``prob``, from the merged state of each item."""
+    return scores.join(states.select(key, "peak", "mass"), key).withColumn(
+        "prob", F.exp(F.col("logit") - F.col("peak")) / F.col("mass")).drop("peak", "mass")
+
+
+def state_entropy(states: DataFrame, limit: float = OOD_LIMIT) -> DataFrame:
+    """As ``entropy_ood``, from states: ln(mass) - spread / mass. Probabilities below the floor add less than 3e-11 each."""
+    h = F.ln("mass") - F.col("spread") / F.col("mass")
+    return _with_entropy(states, h, F.col("n_classes"), limit)
 
 
 def softmax(scored: DataFrame) -> DataFrame:
@@ -132,12 +162,10 @@ def top_1(ranked_rows: DataFrame) -> DataFrame:
     return ranked_rows.withColumn("class_id", best["class_id"]).withColumn("confidence", percent(-best["neg"]))
 
 
-def entropy_ood(scored: DataFrame, limit: float = OOD_LIMIT) -> DataFrame:
-    """Adds entropy, its share of the maximum, and the flag taken from the unrounded share."""
-    h = shannon_entropy(F.col("probs"), PROBABILITY_FLOOR)
+def _with_entropy(rows: DataFrame, h: Column, n_classes: Column, limit: float) -> DataFrame:
     return (
-        scored.withColumn("_h", h)
-        .withColumn("_share", F.col("_h") / F.ln(F.size("classes").cast("double")))
+        rows.withColumn("_h", h)
+        .withColumn("_share", F.col("_h") / F.ln(n_classes.cast("double")))
         .withColumn("entropy", F.round("_h", 4))
         .withColumn("normalized_entropy", F.round("_share", 4))
         .withColumn("is_ood", F.col("_share") > limit)
@@ -145,6 +173,11 @@ def entropy_ood(scored: DataFrame, limit: float = OOD_LIMIT) -> DataFrame:
     )
 
 
+def entropy_ood(scored: DataFrame, limit: float = OOD_LIMIT) -> DataFrame:
+    """Adds entropy, its share of the maximum, and the flag taken from the unrounded share."""
+    return _with_entropy(scored, shannon_entropy(F.col("probs"), PROBABILITY_FLOOR), F.size("classes"), limit)
+
+
 def confidence_band(confidence: Column, bounds: tuple[float, ...] = (70, 40, 20)) -> Column:
     """Band 1 is the highest; below the last bound is the last band."""
     band = F.lit(len(bounds) + 1)

@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 
 from quillgraph.functions.numbers import flag
 from quillgraph.functions.text import portable_hash
-from quillgraph.functions.vectors import log_sum_exp
 
 # Share of training rows, evaluation rhythm and patience in evaluations.
 TRAIN_SHARE = 0.9
@@ -52,10 +51,9 @@ def label_index(label: Column, catalogue: list[str]) -> Column:
     return (F.array_position(index, label) - 1).cast("long")
 
 
-def cross_entropy(scored: DataFrame, label: str) -> DataFrame:
-    """Mean of -log softmax(logits)[label] over rows with ``classes`` and ``logits``."""
-    logit = F.get(F.col("logits"), (F.array_position(F.col("classes"), F.col(label)) - 1).cast("int"))
-    return scored.select((log_sum_exp(F.col("logits")) - logit).alias("_l")).agg(
+def cross_entropy(states: DataFrame) -> DataFrame:
+    """Mean of -log softmax(logits)[label] over rows with the ``peak``, ``mass`` and ``target`` of ``score_states``."""
+    return states.select((F.col("peak") + F.ln("mass") - F.col("target")).alias("_l")).agg(
         F.round(F.avg("_l"), 6).alias("cross_entropy"), F.count(F.lit(1)).alias("n"))
 
 

@@ -10,18 +10,22 @@ from quillgraph.operators import ensemble as M
 from quillgraph.operators import scoring as P
 from quillgraph.operators import training as T
 from quillgraph.plans.registry import query
-from quillgraph.session import table
+from quillgraph.session import cut_lineage, table
 from quillgraph.sources.catalogue import with_catalogue
 
 DIM = 64
 
 
-def scored_vectors(spark: SparkSession, sf: str, kind: str = "scaled_dot", scale: float = 20.0) -> DataFrame:
-    """Embeddings with logits, probabilities, ranking, entropy; one narrow stage over the scan."""
-    items = table(spark, sf, "embeddings")
-    model = P.class_model(P.class_centroids(items, "embedding", "label", DIM))
-    scored = P.linear_scores(items.select("vec_id", "label", "embedding"), model, "embedding", kind, scale)
-    return P.entropy_ood(P.ranked(P.softmax(scored.drop("embedding"))))
+def class_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The class model as a written table: it is fitted once, and the planner knows its size."""
+    return cut_lineage(P.class_centroids(table(spark, sf, "embeddings"), "embedding", "label", DIM))
+
+
+def scored_vectors(spark: SparkSession, sf: str, kind: str = "scaled_dot", scale: float = 20.0, centers: DataFrame | None = None) -> DataFrame:
+    """Embeddings with ranking, entropy and what else the merged states of their class blocks give."""
+    centers = class_vectors(spark, sf) if centers is None else centers
+    items = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    return P.state_entropy(P.score_states(items, centers, "vec_id", "embedding", kind, scale, "label"))
 
 
 def class_catalogue(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,23 +71,28 @@ V4 = "WITH " + vectors_sql()
 
 @query("p1_linear_scores", V4 + " SELECT vec_id, class_id, round(logit, 6) AS logit FROM l")
 def p1(spark, sf):
-    rows = scored_vectors(spark, sf).select(
-        "vec_id", F.explode(F.arrays_zip("classes", "logits")).alias("s"))
-    return rows.select("vec_id", F.col("s.classes").alias("class_id"), F.round("s.logits", 6).alias("logit"))
+    rows = P.linear_scores(table(spark, sf, "embeddings"), class_vectors(spark, sf), "vec_id", "embedding")
+    return rows.withColumn("logit", F.round("logit", 6))
 
 
 @query("p1_linear_scores_blocks", V4 + " SELECT vec_id, class_id, round(logit, 6) AS logit FROM l")
 def p1_blocks(spark, sf):
-    items = table(spark, sf, "embeddings")
-    centers = P.class_centroids(items, "embedding", "label", DIM)
-    out = P.score_against_blocks(items, centers, "vec_id", "embedding", n_blocks=4)
-    return out.select("vec_id", "class_id", F.round("logit", 6).alias("logit"))
+    rows = P.linear_scores(table(spark, sf, "embeddings"), class_vectors(spark, sf), "vec_id", "embedding", per_block=4)
+    return rows.withColumn("logit", F.round("logit", 6))
 
 
 @query("p2_softmax", V4 + " SELECT vec_id, class_id, round(prob, 6) AS prob FROM p")
 def p2(spark, sf):
-    rows = scored_vectors(spark, sf).select("vec_id", F.explode(F.arrays_zip("classes", "probs")).alias("s"))
-    return rows.select("vec_id", F.col("s.classes").alias("class_id"), F.round("s.probs", 6).alias("prob"))
+    items, centers = table(spark, sf, "embeddings"), class_vectors(spark, sf)
+    states = P.score_states(items, centers, "vec_id", "embedding")
+    rows = P.probabilities(P.linear_scores(items, centers, "vec_id", "embedding"), states, "vec_id")
+    return rows.select("vec_id", "class_id", F.round("prob", 6).alias("prob"))
+
+
+@query("p5_states_of_small_blocks", V4 + ENT_SQL + " SELECT vec_id, class_id, confidence, entropy, normalized_entropy, is_ood FROM t")
+def p5_blocks(spark, sf):
+    states = P.score_states(table(spark, sf, "embeddings"), class_vectors(spark, sf), "vec_id", "embedding", per_block=3)
+    return P.top_1(P.state_entropy(states)).select("vec_id", "class_id", "confidence", "entropy", "normalized_entropy", "is_ood")
 
 
 @query("p3_top_k", V4 + CAT_SQL + """
@@ -154,7 +163,7 @@ def p9(spark, sf):
 z AS (SELECT vec_id, max(logit) AS peak, ln(sum(e)) AS lse, max(CASE WHEN class_id = label THEN logit END) AS y FROM m GROUP BY 1)
 SELECT round(avg(peak + lse - y), 6) AS cross_entropy, count(*) AS n FROM z""")
 def t4(spark, sf):
-    return T.cross_entropy(scored_vectors(spark, sf), "label")
+    return T.cross_entropy(scored_vectors(spark, sf))
 
 
 @query("t5_accuracy", V4 + """
@@ -223,8 +232,9 @@ ENGINES = (("dot", 60.0), ("cosine", 12.0), ("neg_l2", 8.0))
 def engine_predictions(spark, sf):
     """Three scorers as engines; the second one gives up on items it finds out of distribution."""
     results = []
+    centers = class_vectors(spark, sf)
     for order, (kind, scale) in enumerate(ENGINES):
-        scored = scored_vectors(spark, sf, kind, scale)
+        scored = scored_vectors(spark, sf, kind, scale, centers)
         top = scored.select(
             F.col("vec_id").alias("item"), "is_ood",
             F.posexplode(F.slice("ranking", 1, 5)).alias("_pos", "_best"),

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,17 +26,42 @@ def test_softmax_rank_entropy(spark):
     assert len(top) == P.MAX_TOP_K and [r.rank for r in top] == list(range(1, 11))
 
 
-def test_model_bound(spark):
+def plain_state(vector, centers):
+    scores = {c: sum(a * b for a, b in zip(vector, center)) + bias for c, center, bias in centers}
+    peak = max(scores.values())
+    mass = sum(math.exp(x - peak) for x in scores.values())
+    probs = {c: math.exp(x - peak) / mass for c, x in scores.items()}
+    return scores, probs, -sum(p * math.log(p) for p in probs.values() if p > 1e-12)
+
+
+@pytest.mark.parametrize("per_block", [1, 7, 50, 1000])
+def test_blocks_of_any_size_give_one_state(spark, per_block):
+    dice = random.Random(5)
+    vectors = [(i, dice.randrange(50), [dice.gauss(0, 3) for _ in range(4)]) for i in range(30)]
+    classes = [(c, [dice.gauss(0, 3) for _ in range(4)], dice.gauss(0, 1)) for c in range(50)]
+    items = spark.createDataFrame(vectors, "id int, label int, v array<double>").repartition(3)
+    centers = spark.createDataFrame(classes, "class_id int, center array<double>, bias double")
+    rows = P.top_1(P.state_entropy(P.score_states(items, centers, "id", "v", "dot", 1.0, "label", per_block))).collect()
+    assert len(rows) == 30
+    for r in rows:
+        scores, probs, h = plain_state(vectors[r.id][2], classes)
+        order = sorted(probs, key=lambda c: (-scores[c], c))[:P.MAX_TOP_K]
+        assert r.n_classes == 50 and [b.class_id for b in r.ranking] == order and r.class_id == order[0]
+        assert all(abs(-b.neg - probs[b.class_id]) < 1e-12 for b in r.ranking)
+        assert abs(r.entropy - h) < 6e-5 and abs(r.target - scores[r.label]) < 1e-9
+    long = P.linear_scores(items, centers, "id", "v", "dot", 1.0, per_block)
+    probs = P.probabilities(long, P.score_states(items, centers, "id", "v", "dot", 1.0, per_block=per_block), "id").collect()
+    assert len(probs) == 30 * 50
+    assert all(abs(r.prob - plain_state(vectors[r.id][2], classes)[1][r.class_id]) < 1e-12 for r in probs[:200])
+
+
+def test_states_without_items_or_label(spark):
     centers = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "class_id int, center array<double>")
-    items = spark.createDataFrame([(1, [1.0, 0.0])], "id int, v array<double>")
-    small = P.linear_scores(items, P.class_model(centers), "v", "dot", 1.0).first()
-    assert small.logits == [1.0, 0.0]
-    old, P.MAX_MODEL_VALUES = P.MAX_MODEL_VALUES, 1
-    try:
-        with pytest.raises(Exception, match="score_against_blocks"):
-            P.linear_scores(items, P.class_model(centers), "v").collect()
-    finally:
-        P.MAX_MODEL_VALUES = old
+    items = spark.createDataFrame([(1, [1000.0, -1000.0], None)], "id int, v array<double>, label int")
+    row = P.state_entropy(P.score_states(items, centers, "id", "v", "dot", 1.0, "label", 1)).first()
+    assert row.target is None and row.entropy == 0.0 and not row.is_ood and [b.neg for b in row.ranking] == [-1.0, 0.0]
+    assert P.score_states(items.filter("false"), centers, "id", "v").count() == 0
+    assert P.score_states(items, centers.filter("false"), "id", "v").count() == 0
 
 
 def test_duplicates(spark):
