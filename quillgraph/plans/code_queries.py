@@ -11,7 +11,7 @@ from quillgraph.operators import roles as R
 from quillgraph.operators import rollup as A
 from quillgraph.plans.corpus_queries import sql_text
 from quillgraph.plans.registry import query
-from quillgraph.session import table
+from quillgraph.session import cut_lineage, table
 
 # A module per part, as alternating text and column pieces. {w1} and {w2} are the words of the
 # part's name, {id} its key, {size} its size, {k} repeats a line up to three times.
@@ -170,8 +170,7 @@ def x9_pages(spark, sf):
     scripts = F.regexp_extract_all("html", F.lit("<script>(.*?)</script>"), F.lit(1))
     rows = table(spark, sf, "pages").select("page_id", F.posexplode(scripts).alias("n", "text")).withColumn(
         "file", F.concat_ws("/", F.col("page_id").cast("string"), F.col("n").cast("string")))
-    toks = X.tokens(rows)
-    sites = X.calls(toks, X.function_headers(toks))
+    sites = X.calls(X.tokens(rows))
     return sites.groupBy(F.split_part("file", F.lit("/"), F.lit(1)).cast("long").alias("page_id"), "callee").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -257,7 +256,8 @@ def x13_functions(spark, sf):
 @query("source_quality")
 def source_quality(spark, sf):
     """From module texts to one scored line per file: facts, roles, links, scores."""
-    facts = X.function_facts(modules(spark, sf))
+    # Links, roles and counts read the facts several times; the texts are scanned once.
+    facts = cut_lineage(X.function_facts(modules(spark, sf)))
     run = A.analyse(R.function_features(facts), X.edges_of(facts))
     return Q.with_scores(run.facts).select("file", "n_nodes", "avg_complexity", "max_call_depth", "score")
 
@@ -308,7 +308,7 @@ def _by_shape(rows) -> str:
 
 def parsed_facts(spark, sf):
     files = shaped_modules(spark, sf)
-    return X.function_facts(files.join(X.parse_errors(X.tokens(files)), "file", "left_anti"))
+    return cut_lineage(X.function_facts(files.join(X.parse_errors(X.tokens(files)), "file", "left_anti")))
 
 
 @query("x9_facts_by_shape", _by_shape(lambda shape: [
