@@ -6,9 +6,9 @@ at such a residue in both, and it is enough to hash anchors at 4 of 13 positions
 
 1. Anchors are counted by hash. Those seen twice set bits in a bitmap that is sized by their number up to FILTER_BITS;
    a bit that others share lets through more windows for the exact step and loses none.
-2. Around anchors whose bit is set, the windows that hold the anchor are hashed whole. Within an Arrow batch only the
-   first window of each kind goes on; the others are repeats already, so a passage that fills a table reaches the
-   exchange once per batch. The first of all windows of a kind stays, every later one is a repeat.
+2. Around anchors whose bit is set, the windows that hold the anchor are hashed whole. A task sorts some MOST_WINDOWS of
+   them at a time; of these only the first of each kind goes on; the others are repeats already, so a passage that fills
+   a table reaches the exchange once per so many windows. The first of all windows of a kind stays, every later one is a repeat.
 3. Words under repeats leave. Only documents with a repeat are moved to meet their repeats.
 
 Windows are judged on the input. They are compared by 64-bit hashes of 64-bit word hashes.
@@ -41,6 +41,7 @@ ANCHOR = WINDOW - PERIOD + 1
 FILTER_BITS = 1 << 31  # 256 MiB at most on each worker
 LEAST_BITS = 1 << 20
 NO_ID = (1 << 63) - 1
+MOST_WINDOWS = 1 << 18  # what a task holds and sorts at a time, unless one text has more
 _ODD = np.uint64(0x9FB21C651E98DF25)
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
@@ -86,11 +87,24 @@ def covered(n_words: int, starts: np.ndarray, runs: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _some(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """Arrays of successive texts in lists of about MOST_WINDOWS entries."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= MOST_WINDOWS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, times) for each batch; times 2 stands for any larger number."""
-    for batch in batches:
-        found = [anchors_of(word_hashes(words_of(text)))[1] for part in row_batches([batch], ("text",)) for (text,) in part]
-        anchors, times = np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_counts=True)
+    """(anchor, times) for some texts each; times 2 stands for any larger number."""
+    for found in _some(anchors_of(word_hashes(words_of(text)))[1:] for part in row_batches(batches, ("text",), 200) for (text,) in part):
+        anchors, times = np.unique(np.concatenate([x for (x,) in found]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int8))], ["anchor", "times"])
 
 
@@ -120,18 +134,17 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
         bits *= 2
     bitmap = spark.sparkContext.broadcast(as_array(pages_of(anchors, F.col("anchor"), bits), bits))
 
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for key, check, text in (row for part in row_batches(batches, ("id", "check", "text"), 200) for row in part):
+            hashes = word_hashes(words_of(text))
+            starts, anchor = anchors_of(hashes)
+            starts = starts[in_array(bitmap.value, anchor, bits)]
+            if len(starts):
+                at = windows_around(starts, len(hashes))
+                yield run_hashes(hashes, WINDOW)[at].view(np.int64), np.full(len(at), key), np.full(len(at), check), at
+
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts: list[tuple[np.ndarray, ...]] = []
-            for key, check, text in (row for part in row_batches([batch], ("id", "check", "text")) for row in part):
-                hashes = word_hashes(words_of(text))
-                starts, anchor = anchors_of(hashes)
-                starts = starts[in_array(bitmap.value, anchor, bits)]
-                if len(starts):
-                    at = windows_around(starts, len(hashes))
-                    parts.append((run_hashes(hashes, WINDOW)[at].view(np.int64), np.full(len(at), key), np.full(len(at), check), at))
-            if not parts:
-                continue
+        for parts in _some(around(batches)):
             kind, ids, checks, at = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((at, ids, kind))
             kind, ids, checks, at = kind[order], ids[order], checks[order], at[order]

@@ -333,3 +333,13 @@ def test_spans(spark, docs, empty):
     assert not by_id[8].added
     assert by_id[len(SPANS) + 16].clean == "mail [email] or [card]"
     assert find_spans(empty, model=model).count() == 0
+
+
+def test_windows_are_sorted_some_at_a_time(monkeypatch):
+    """What a task of op3 holds does not grow with an Arrow batch."""
+    from quillgraph.llm import substring_dedup as S
+
+    monkeypatch.setattr(S, "MOST_WINDOWS", 1000)
+    held = list(S._some((np.zeros(300),) for _ in range(50)))
+    assert sum(len(part) for parts in held for (part,) in parts) == 15000
+    assert max(sum(len(part) for (part,) in parts) for parts in held) <= 1200
