@@ -91,7 +91,7 @@ def w3(spark, sf):
     facts = lambda batch: batch.select("doc_id", F.col("source").alias("repo"), "n_chars", F.size(F.split("text", "\n")).alias("n_lines"))
     arrivals = (docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).withColumn("text", F.lit("outdated")).withColumn("n_chars", F.lit(-1).cast("long")), docs)
     for rows in arrivals:
-        rows.repartition(4, "doc_id").write.mode("append").parquet(f"{scratch}/in")
+        rows.repartition("doc_id").write.mode("append").parquet(f"{scratch}/in")
         process_arrivals(spark, f"{scratch}/in", docs.schema, facts, f"{scratch}/facts", f"{scratch}/state", glob="*.parquet")
     return current_facts(spark, f"{scratch}/facts", "doc_id").groupBy("repo").agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("n_chars").alias("n_chars"), F.sum("n_lines").cast("long").alias("n_lines"))

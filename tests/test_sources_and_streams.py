@@ -135,3 +135,18 @@ def test_incremental_corpus(spark, tmp_path):
     process_arrivals(spark, str(tmp_path / "in"), docs.schema, facts, str(tmp_path / "facts"), str(tmp_path / "cp"), bytes_per_step="3k")
     again = {r.id: r.n for r in current_facts(spark, str(tmp_path / "facts"), "id").collect()}
     assert again == {**now, 5: len("longer text now")}
+
+
+def test_arrivals_are_written_by_as_many_tasks_as_the_session_has(spark, tmp_path, monkeypatch):
+    """No task of w3_incremental_corpus takes a fixed quarter of the corpus."""
+    from quillgraph.plans import streaming_queries as S
+
+    docs = [(i, "en", f"s{i % 2}", f"line {i}\nend", 10) for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(S, "_scratch", lambda session: f"{tmp_path}/scratch")
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", "9")
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = S.w3(own, str(tmp_path)).orderBy("repo").collect()
+    assert [tuple(r) for r in rows] == [("s0", 100, 1000, 200), ("s1", 100, 1000, 200)]
+    assert len(list((tmp_path / "scratch" / "in").glob("*.parquet"))) == 18
