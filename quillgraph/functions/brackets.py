@@ -1,11 +1,12 @@
-"""Places of the tokens of one text: lines, brackets, and where a statement ends. One pass forward and one back."""
+"""Places of the tokens of texts: lines, brackets, and where a statement ends, for all texts of a batch at once."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import zip_longest
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLANK = " \t\r\f\x0b"
 OPENING, CLOSING = ("{", "(", "["), ("}", ")", "]")
@@ -20,8 +21,6 @@ _LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345
 _VALUE_END, _VALUE_START = _LETTERS | set("\"'`)]}"), _LETTERS | set("\"'{")
 _NO_VALUE = frozenset(RESERVED) - {"this", "super", "true", "false", "null", "undefined"}
 _GOES_ON = frozenset(("in", "instanceof", "of", "extends", "from", "as"))
-# 1 opens, 2 closes, 3 begins or ends a statement.
-_KIND = dict.fromkeys(OPENING, 1) | dict.fromkeys(CLOSING, 2) | dict.fromkeys((";", *STATEMENT_WORDS), 3)
 BLOCK_ENDS = (";", "{", "}")
 LOOPS = ("if", "for", "while")
 ROWS = 200
@@ -30,112 +29,191 @@ ROWS = 200
 FIELDS = {
     "tok": "string", "line": "int", "at": "int", "level": "int", "encl": "int", "arg_no": "bigint", "pair": "int", "class_idx": "int",
     "word": "string", "declares": "boolean", "new_statement": "boolean", "term_idx": "int", "stop_idx": "int",
+    "n_words": "int", "n_sites": "int", "n_marked": "int",
 }
+#: Positions that may hold a fact: words, tokens before a parenthesis, tokens that may carry a mark, may start a function, may nest.
+#: n_words, n_sites and n_marked tell how many there are up to a token.
+PLACES = dict.fromkeys(("words", "sites", "marked", "starts", "blocks"), "int")
+MARKED = (
+    "if", "for", "while", "case", "default", "?", "catch", "&&", "||", "??", "do", "try", "switch", "=>", "function", "throw", "await", "yield", "...")
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
 
 
-def placed(raws: list[str]) -> tuple[list, ...]:
-    """The FIELDS of the tokens of a text, without comments and line ends. raws are its tokens with the blanks before them.
+def _set(words: pa.Array, members) -> np.ndarray:
+    return pc.is_in(words, value_set=pa.array(list(members), pa.string())).to_numpy(zero_copy_only=False)
+
+
+def _in_text_order(raws: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """Tokens of all rows and the row of each. Texts of one row are read token by token in turn."""
+    texts = raws.flatten()
+    n_texts = pc.list_value_length(raws).fill_null(0).to_numpy(zero_copy_only=False)
+    n_tokens = pc.list_value_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.repeat(np.arange(len(raws)), n_texts), n_tokens)
+    values = texts.flatten()
+    if (n_texts > 1).any():
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(n_tokens) - n_tokens, n_tokens)
+        order = np.lexsort((np.repeat(np.arange(len(texts)), n_tokens), place, rows))
+        values, rows = values.take(pa.array(order)), rows[order]
+    return values, rows
+
+
+def _running(steps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums up to each place, from the first place of its run on."""
+    sums = np.concatenate(([0], np.cumsum(steps)))
+    return sums[1:] - sums[first]
+
+
+def _last(marked: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Last marked place of the run up to each place, -1 where there is none."""
+    seen = np.maximum.accumulate(np.where(marked, np.arange(len(marked)), -1))
+    return np.where(seen >= first, seen, -1)
 
-    A level is a depth; brackets of one level alternate, so the next one there closes an opening one (pair). encl is the bracket
-    last opened at the level, arg_no the commas behind it. term_idx is the next token that ends an expression of the level,
-    stop_idx where the statement of an if or a loop ends. class_idx tells the block of a class by its word.
+
+def _first_of_runs(keys: np.ndarray) -> np.ndarray:
+    change = np.concatenate(([True], keys[1:] != keys[:-1]))
+    return np.maximum.accumulate(np.where(change, np.arange(len(keys)), 0))
+
+
+def placed_rows(raws: pa.ListArray) -> dict[str, pa.Array]:
+    """The FIELDS and PLACES of rows of texts, each the tokens of the text with the blanks before them, as lists.
+
+    Comments and line ends are left out. A level is a depth; brackets of one level alternate, so the next one there closes an opening
+    one (pair). encl is the bracket last opened at the level, arg_no the commas behind it. term_idx is the next token that ends an
+    expression of the level, stop_idx where the statement of an if or a loop ends. class_idx tells the block of a class by its word.
+    Nothing is done token by token: what a token is is looked up once for each distinct one, what stands before it at its level is
+    the last mark in an order by level.
     """
-    tok, lines, ats, levels, encls, args, pairs, classes, words, declares, fresh = columns = [[] for _ in range(11)]
-    add_tok, add_line, add_at, add_level, add_encl, add_arg, add_pair, add_class, add_word, add_declares, add_fresh = (c.append for c in columns)
-    opened, bracket, commas, word_of, declaring = {}, {}, {None: 0}, {}, {}
-    total, line, depth, level, mark, before, before2, last_line, i = 0, 1, 0, 0, 0, None, None, 0, 0
-    encl, word, declared = None, None, False
-    for raw in raws:
-        t = raw.lstrip(BLANK)
-        total += len(raw)
-        here = line
-        if "\n" in raw:
-            line += raw.count("\n")
-            if t == "\n":
-                continue
-        if t[0] == "/" and t.startswith(("//", "/*")):
-            continue
-        i += 1
-        if before == "class" and before2 not in (".", "?.") and t != ":":
-            mark = i - 1
-        elif before in BLOCK_ENDS:
-            mark = 0
-        kind = _KIND.get(t)
-        pair = None
-        if kind == 1 or kind == 2:
-            depth += kind == 1
-            level = depth
-            other = bracket.get(level)
-            if kind == 2:
-                pair = other
-            if other is not None and tok[other - 1] in OPENING:
-                pairs[other - 1] = i
-            bracket[level] = i
-            if kind == 1:
-                opened[level] = i
-                commas[i] = 0
-                declaring[level] = False
-            encl, word, declared = opened.get(level), word_of.get(level), declaring.get(level, False)
-        elif kind == 3:
-            word = word_of[level] = t
-            declared = declaring[level] = t in ("let", "const", "var")
-        elif t == ",":
-            commas[encl] += 1
-        new = False
-        if here > last_line and before is not None and before[0] in _VALUE_END and before not in _NO_VALUE and t[0] in _VALUE_START and t not in _GOES_ON:
-            # A line end between a value and something that starts one ends a statement, but not behind the head of an if or a loop.
-            head = pairs[-1] if before == ")" else None
-            new = head is None or head < 2 or tok[head - 2] not in HEAD_WORDS
-        add_tok(t)
-        add_line(here)
-        add_at(total - len(t) + 1)
-        add_level(level)
-        add_encl(encl)
-        add_arg(commas[encl])
-        add_pair(pair)
-        add_class(mark)
-        add_word(word)
-        add_declares(declared)
-        add_fresh(new)
-        before2, before, last_line = before, t, here
-        if kind == 2:
-            # Behind a closing bracket the text goes on one level further out.
-            depth -= 1
-            level = depth
-            encl, word, declared = opened.get(level), word_of.get(level), declaring.get(level, False)
-    n = len(tok)
-    terms, stops, end_of, mark_of = [None] * n, [None] * n, {}, {}
-    after = None
-    for k in range(n - 1, -1, -1):
-        t, level, new = tok[k], levels[k], fresh[k]
-        terms[k] = end_of.get(level)
-        kind = _KIND.get(t)
-        if kind == 3 and t in LOOPS:
-            stops[k] = mark_of.get(level)
-        if new or kind == 2 or kind == 3 or t == ",":
-            end_of[level] = k + 1
-        if new:
-            mark_of[level] = k
-        elif (kind == 2 or t == ";") and after != "else":
-            mark_of[level] = k + 1
-        # A closing brace counts for its own level and for the one around it.
-        if t == "}" and after != "else":
-            mark_of[level - 1] = k + 1
-        after = t
-    return tok, lines, ats, levels, encls, args, pairs, classes, words, declares, fresh, terms, stops
+    values, rows = _in_text_order(raws)
+    n_rows = len(raws)
+    known = values.dictionary_encode()
+    code = known.indices.to_numpy(zero_copy_only=False)
+    whole = known.dictionary
+    text = pc.utf8_ltrim(whole, characters=BLANK)
+    number = lambda a: a.to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths, blank = number(pc.utf8_length(whole)), number(pc.utf8_length(text))
+    newlines = number(pc.count_substring(whole, "\n"))
+    silent = _set(text, "\n") | pc.starts_with(text, "//").to_numpy(zero_copy_only=False) | pc.starts_with(text, "/*").to_numpy(zero_copy_only=False)
+    # Lines and places in the text count what is left out.
+    lead = _first_of_runs(rows) if len(rows) else np.zeros(0, np.int64)
+    line_ends = newlines[code]
+    line = 1 + _running(line_ends, lead) - line_ends
+    at = _running(lengths[code], lead) - blank[code] + 1
+    keep = ~silent[code]
+    rows, code, line, at = rows[keep], code[keep], line[keep], at[keep]
+    n = len(code)
+    if n == 0:
+        empty = pa.array(np.zeros(n_rows + 1, np.int32))
+        return {f: pa.ListArray.from_arrays(empty, pa.array([], _ARROW[kind])) for f, kind in {**FIELDS, **PLACES}.items()}
+
+    here = np.arange(n)
+    lead = _first_of_runs(rows)
+    idx = here - lead + 1
+    starts = idx == 1
+    ends = np.concatenate((starts[1:], [True]))
+    is_in = lambda members: _set(text, members)[code]
+    previous = lambda marked: np.concatenate(([False], marked[:-1])) & ~starts
+    following = lambda marked: np.concatenate((marked[1:], [False])) & ~ends
+    opens, closes, statement, comma = is_in(OPENING), is_in(CLOSING), is_in((";", *STATEMENT_WORDS)), is_in((",",))
+
+    # A closing bracket is on the level of the one it closes; behind it the text goes on one level further out.
+    level = _running(opens.astype(np.int64) - closes, lead) + closes
+    low = level.min() - 1
+    span = level.max() - low + 1
+    key = rows * span + (level - low)
+    order = np.argsort(key, kind="stable")
+    group = _first_of_runs(key[order])
+
+    def unsorted(found: np.ndarray) -> np.ndarray:
+        out = np.empty(n, found.dtype)
+        out[order] = found
+        return out
+
+    def last_at_level(marked: np.ndarray) -> np.ndarray:
+        """Last marked token at the level up to each token, -1 where there is none."""
+        found = _last(marked[order], group)
+        return unsorted(np.where(found >= 0, order[found], -1))
+
+    bracket = order[(opens | closes)[order]]
+    same = np.concatenate((key[bracket[1:]] == key[bracket[:-1]], [False])) if len(bracket) else np.zeros(0, bool)
+    pair = np.full(n, -1)
+    left, right = bracket[:-1][same[:-1]], bracket[1:][same[:-1]]
+    pair[right[closes[right]]] = left[closes[right]]
+    pair[left[opens[left]]] = right[opens[left]]
+
+    encl = last_at_level(opens)
+    # Commas with the same bracket; those outside of any count together.
+    commas = _running(comma[order].astype(np.int64), group)
+    by_level = unsorted(commas)
+    outside = _running((comma & (encl < 0)).astype(np.int64), lead)
+    arg_no = np.where(encl < 0, outside, by_level - by_level[encl])
+
+    named = previous(is_in(("class",))) & ~previous(previous(is_in((".", "?.")))) & ~is_in((":",))
+    class_mark = _last(named | previous(is_in(BLOCK_ENDS)), lead)
+    class_idx = np.where((class_mark >= 0) & named[class_mark], idx[class_mark] - 1, 0)
+
+    word = last_at_level(statement)
+    declaring = last_at_level(statement | opens)
+    declares = (declaring >= 0) & is_in(("let", "const", "var"))[declaring]
+
+    # A line end between a value and something that starts one ends a statement, but not behind the head of an if or a loop.
+    first_char = pc.utf8_slice_codeunits(text, 0, 1)
+    value_end = (_set(first_char, _VALUE_END) & ~_set(text, _NO_VALUE))[code]
+    value_start = (_set(first_char, _VALUE_START) & ~_set(text, _GOES_ON))[code]
+    new_line = np.concatenate(([False], line[1:] > line[:-1]))
+    before_closed = np.concatenate(([-1], np.where(is_in((")",)), pair, -1)[:-1]))
+    head_word = (before_closed >= 0) & (idx[before_closed] >= 2) & is_in(HEAD_WORDS)[np.maximum(before_closed - 1, 0)]
+    fresh = previous(value_end) & value_start & new_line & ~(previous(is_in((")",))) & head_word)
+
+    stops_term = (fresh | closes | statement | comma)[order]
+    reach = np.concatenate((np.minimum.accumulate(np.where(stops_term, here, n)[::-1])[::-1][1:], [n]))
+    reach_in = (reach < n) & (group[np.minimum(reach, n - 1)] == group)
+    term = unsorted(np.where(reach_in, order[np.minimum(reach, n - 1)], -1))
+
+    no_else = ~following(is_in(("else",)))
+    semicolon, brace = is_in((";",)), is_in(("}",)) & no_else
+    own = (closes | semicolon) & no_else & ~fresh
+    # A closing brace counts for its own level and for the one around it.
+    event = np.concatenate((key[fresh] * n + here[fresh], key[own] * n + here[own], (key[brace] - 1) * n + here[brace]))
+    stop_at = np.concatenate((idx[fresh] - 1, idx[own], idx[brace]))
+    sort = np.argsort(event, kind="stable")
+    event, stop_at = event[sort], stop_at[sort]
+    loop = np.flatnonzero(is_in(LOOPS))
+    found = np.searchsorted(event, key[loop] * n + loop, side="right")
+    inside = (found < len(event)) & (event[np.minimum(found, len(event) - 1)] // n == key[loop]) if len(event) else np.zeros(len(loop), bool)
+    stop = np.zeros(n, np.int64)
+    stop[loop[inside]] = stop_at[found[inside]]
+
+    is_word = (_set(first_char, _LETTERS) & ~_set(first_char, "0123456789"))[code]
+    site = following(is_in(("(",)))
+    mark = is_in(MARKED) | _set(first_char, "`")[code] | following(is_in(("=",)))
+    chosen = {"words": is_word, "sites": site, "marked": mark, "starts": is_in(("function", "=>")) | (site & is_word), "blocks": is_in(("{", *LOOPS))}
+
+    counts = np.bincount(rows, minlength=n_rows)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+    place = lambda found: pa.array(np.where(found >= 0, idx[found], 0), pa.int32(), mask=found < 0)
+    ints = lambda a: pa.array(a, pa.int32())
+    of_token = {
+        "tok": text.take(pa.array(code)), "line": ints(line), "at": ints(at), "level": ints(level), "encl": place(encl), "arg_no": pa.array(arg_no, pa.int64()),
+        "pair": place(pair), "class_idx": ints(class_idx), "word": text.take(pa.array(code[word], mask=word < 0)), "declares": pa.array(declares),
+        "new_statement": pa.array(fresh), "term_idx": place(term), "stop_idx": pa.array(stop, pa.int32(), mask=stop == 0),
+        **{f"n_{c}": ints(_running(chosen[c].astype(np.int64), lead)) for c in ("words", "sites", "marked")}}
+    out = {f: pa.ListArray.from_arrays(offsets, of_token[f]) for f in FIELDS}
+    for f in PLACES:
+        picked = np.bincount(rows[chosen[f]], minlength=n_rows)
+        out[f] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(picked))).astype(np.int32)), ints(idx[chosen[f]]))
+    return out
+
+
+def placed(raws: list[str]) -> tuple[list, ...]:
+    """The FIELDS of one text."""
+    columns = placed_rows(pa.array([[raws]], pa.list_(pa.list_(pa.string()))))
+    return tuple(columns[f][0].as_py() for f in FIELDS)
 
 
 def placed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file, texts, FIELDS as arrays) for rows (file, texts, raws). Texts of one file name are read token by token in turn."""
+    """(file, texts, FIELDS and PLACES as arrays) for rows (file, texts, raws)."""
     for batch in batches:
         for start in range(0, batch.num_rows, ROWS):
             part = batch.slice(start, ROWS)
-            columns: list[list] = [[] for _ in FIELDS]
-            for raws in part.column("raws").to_pylist():
-                known = [r for r in raws if r is not None]
-                tokens = known[0] if len(known) == 1 else [t for row in zip_longest(*known) for t in row if t is not None]
-                for column, values in zip(columns, placed(tokens)):
-                    column.append(values)
-            arrays = [pa.array(c, pa.list_(_ARROW[kind])) for c, kind in zip(columns, FIELDS.values())]
-            yield pa.RecordBatch.from_arrays([part.column("file"), part.column("texts"), *arrays], ["file", "texts", *(f"_{f}" for f in FIELDS)])
+            columns = placed_rows(part.column("raws"))
+            yield pa.RecordBatch.from_arrays([part.column("file"), part.column("texts"), *columns.values()], ["file", "texts", *(f"_{f}" for f in columns)])

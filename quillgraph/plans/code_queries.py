@@ -94,7 +94,7 @@ UNION ALL SELECT file, '<anonymous>', 'expression', {LINE.format("'(function ()'
 UNION ALL SELECT file, 'constructor', 'constructor', {LINE.format("'constructor'")}, {LINE.format("'constructor'")}, false FROM code WHERE p_size <= 25
 UNION ALL SELECT file, 'make', 'method', {LINE.format("'static make'")}, {LINE.format("'static make'")}, false FROM code WHERE p_size <= 25""")
 def x1(spark, sf):
-    fns = X.functions(X.tokens(modules(spark, sf)))
+    fns = X.functions(X.tokens(modules(spark, sf)), ("fn", "kind", "start_line", "end_line", "is_async"))
     return fns.select("file", "fn", "kind", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "is_async")
 
 
@@ -114,7 +114,7 @@ SELECT file, w2 || id AS fn, w1 || 'Val|scale|...rest' AS params FROM code UNION
 UNION ALL SELECT file, w1 || 'Of.cb2', '' FROM code UNION ALL SELECT file, '<anonymous>', '' FROM code UNION ALL SELECT file, 'constructor', 'n' FROM code WHERE p_size <= 25
 UNION ALL SELECT file, 'make', '' FROM code WHERE p_size <= 25""")
 def x2(spark, sf):
-    return X.functions(X.tokens(modules(spark, sf))).select("file", "fn", F.array_join("params", "|").alias("params"))
+    return X.functions(X.tokens(modules(spark, sf)), ("fn", "params")).select("file", "fn", F.array_join("params", "|").alias("params"))
 
 
 @query("x3_classes", V9 + """
@@ -153,13 +153,13 @@ def x7(spark, sf):
 @query("x8_infer_names", V9 + """
 SELECT file, unnest([w1 || 'Of', 'map.cb', w1 || 'Of.cb2', '<anonymous>']) AS fn FROM code""")
 def x8(spark, sf):
-    return X.functions(X.tokens(modules(spark, sf))).filter("kind IN ('arrow', 'expression')").select("file", "fn")
+    return X.functions(X.tokens(modules(spark, sf)), ("fn", "kind")).filter("kind IN ('arrow', 'expression')").select("file", "fn")
 
 
 @query("x9_calls", V9 + """
 SELECT file, unnest([w2 || id || ' > console.log', w2 || id || ' > Math.pow', w1 || 'Of > load', '<anonymous> > ' || w2 || id]) AS call FROM code""")
 def x9(spark, sf):
-    edges = X.edges_of(X.function_facts(modules(spark, sf)))
+    edges = X.edges_of(X.function_facts(modules(spark, sf), only=("fn", "calls")))
     return edges.select("file", F.concat_ws(" > ", "from_fn", "to_fn").alias("call"))
 
 
@@ -177,7 +177,7 @@ def x9_pages(spark, sf):
 @query("x11_decision_points", V9 + """
 SELECT file, w2 || id AS fn, 4 + p_size % 4 AS complexity FROM code""")
 def x11(spark, sf):
-    return X.function_facts(modules(spark, sf)).filter("kind = 'declaration'").select("file", "fn", F.col("complexity").cast("int").alias("complexity"))
+    return X.function_facts(modules(spark, sf), only=("fn", "kind", "complexity")).filter("kind = 'declaration'").select("file", "fn", F.col("complexity").cast("int").alias("complexity"))
 
 
 DECISIONS = ", ".join(sql_text(d) for d in X.DECISIONS)
@@ -195,7 +195,7 @@ SELECT file, w2 || id AS fn, 2 AS nesting FROM code UNION ALL SELECT file, w1 ||
 UNION ALL SELECT file, w1 || 'Of.cb2', 0 FROM code UNION ALL SELECT file, '<anonymous>', 0 FROM code
 UNION ALL SELECT file, unnest(['constructor', 'make']), 0 FROM code WHERE p_size <= 25""")
 def x12(spark, sf):
-    return X.function_facts(modules(spark, sf)).select("file", "fn", F.col("nesting").cast("int").alias("nesting"))
+    return X.function_facts(modules(spark, sf), only=("fn", "nesting")).select("file", "fn", F.col("nesting").cast("int").alias("nesting"))
 
 
 def _balance_sql(id_col: str, source: str, marks: str, opens: str, closes: str) -> str:
@@ -249,7 +249,7 @@ UNION ALL SELECT file, w1 || 'Of', 'async', 'arithmetic' FROM code UNION ALL SEL
 UNION ALL SELECT file, w1 || 'Of.cb2', '', '' FROM code UNION ALL SELECT file, '<anonymous>', '', '' FROM code
 UNION ALL SELECT file, 'constructor', 'mutation', '' FROM code WHERE p_size <= 25 UNION ALL SELECT file, 'make', '', '' FROM code WHERE p_size <= 25""")
 def x13_functions(spark, sf):
-    facts = X.function_facts(modules(spark, sf))
+    facts = X.function_facts(modules(spark, sf), only=("fn", "effects", "transforms"))
     return facts.select("file", "fn", F.array_join("effects", ",").alias("effects"), F.array_join("transforms", ",").alias("transforms"))
 
 
@@ -306,16 +306,16 @@ def _by_shape(rows) -> str:
         for k, shape in enumerate(SHAPES) for select in rows(shape))
 
 
-def parsed_facts(spark, sf):
+def parsed_facts(spark, sf, *only):
     files = shaped_modules(spark, sf)
-    return cut_lineage(X.function_facts(files.join(X.parse_errors(X.tokens(files)), "file", "left_anti")))
+    return cut_lineage(X.function_facts(files.join(X.parse_errors(X.tokens(files)), "file", "left_anti"), only=only))
 
 
 @query("x9_facts_by_shape", _by_shape(lambda shape: [
     f"{_fill_sql(fn)} AS fn, {_listed_sql(calls)} AS calls, {nesting}::BIGINT AS nesting, {complexity}::BIGINT AS complexity"
     for fn, calls, nesting, complexity in shape[1]]))
 def facts_by_shape(spark, sf):
-    return parsed_facts(spark, sf).select("file", "fn", F.array_join("calls", ",").alias("calls"), "nesting", "complexity")
+    return parsed_facts(spark, sf, "fn", "complexity", "nesting", "calls").select("file", "fn", F.array_join("calls", ",").alias("calls"), "nesting", "complexity")
 
 
 @query("s7_parse_errors_by_shape", _by_shape(lambda shape: [] if shape[1] else ["'parse_failed' AS error"]))
@@ -326,11 +326,11 @@ def errors_by_shape(spark, sf):
 @query("c12_flow_lists_source", _by_shape(lambda shape: [
     f"{_fill_sql(fn)} AS from_fn, {_fill_sql(variable)} AS variable, {len(to)}::BIGINT AS n_to, {_listed_sql(to)} AS \"to\"" for fn, variable, to in shape[2]]))
 def flows_by_shape(spark, sf):
-    return C.flow_lists(X.accesses_of(parsed_facts(spark, sf))).select("file", "from_fn", "variable", "n_to", F.array_join("to", ",").alias("to"))
+    return C.flow_lists(X.accesses_of(parsed_facts(spark, sf, "fn", "reads", "writes"))).select("file", "from_fn", "variable", "n_to", F.array_join("to", ",").alias("to"))
 
 
 @query("q8_flow_isolated_source", _by_shape(lambda shape: [
     f"{_fill_sql(fn)} AS fn" for fn, calls, _, _ in shape[1] if not calls and not any(fn in to for _, _, to in shape[2])]))
 def isolated_by_shape(spark, sf):
-    facts = parsed_facts(spark, sf)
+    facts = parsed_facts(spark, sf, "fn", "calls", "reads", "writes")
     return C.flow_isolated(facts.select("file", "fn", F.size("calls").alias("n_calls")), X.accesses_of(facts))

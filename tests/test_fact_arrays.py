@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillgraph.functions.brackets import FIELDS, placed
+from quillgraph.functions.brackets import FIELDS, placed, placed_rows
 from quillgraph.operators import facts as X
 
 
@@ -46,3 +47,28 @@ def test_rows_of_one_file_name_are_read_in_turn(spark):
     row = X.tokens(files).filter("file = 'a'").select(F.col("_tok")).first()
     assert row[0] == ["let", "let", "x", "x", "=", "=", "1", "1", ";", ";"]
     assert {r.file for r in X.tokens(files).collect()} == {"a", None}
+
+
+def test_rows_of_a_batch_do_not_touch():
+    random.seed(4)
+    words = ["{", "}", "(", ")", ",", " x", ";", "\n", " if", "else", "class", "// z", "let", "`t`", "=", "function"]
+    rows = [[random.choice(words) for _ in range(random.choice([0, 1, 40]))] for _ in range(60)]
+    got = placed_rows(pa.array([[r] for r in rows], pa.list_(pa.list_(pa.string()))))
+    for k, raws in enumerate(rows):
+        known = {f: got[f][k].as_py() for f in got}
+        assert tuple(known[f] for f in FIELDS) == placed(raws)
+        after = [*known["tok"][1:], None]
+        assert known["sites"] == [i + 1 for i, t in enumerate(after) if t == "("]
+        assert known["words"] == [i + 1 for i, t in enumerate(known["tok"]) if t[0].isalpha()]
+        assert known["n_words"] == [sum(w <= i + 1 for w in known["words"]) for i in range(len(known["tok"]))]
+
+
+def test_named_facts_alone_are_worked_out(spark):
+    files = spark.createDataFrame([("a", "function f(x) { if (x) { let y = g(x); } }\nconst h = async (z) => { await f(z); };")], "file string, text string")
+    every = {r.fn: r for r in X.function_facts(files).collect()}
+    for only in (("fn", "calls"), ("fn", "params", "nesting", "writes", "effects")):
+        few = X.function_facts(files, only=only)
+        assert few.columns == ["file", "seq", *[c for c in X.FACTS if c in only]]
+        assert {r.fn: r.asDict() for r in few.collect()} == {fn: {c: r[c] for c in few.columns} for fn, r in every.items()}
+    plan = plan_of(X.function_facts(files, only=("fn", "calls")).select("file", "calls"))
+    assert "_open_before" not in plan and "console." not in plan and "Window" not in plan
