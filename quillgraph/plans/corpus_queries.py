@@ -52,7 +52,9 @@ def s1_files(spark, sf):
     """The documents as source files in the shared folder, read back as a corpus; a file holds the texts of a run of 200 ids."""
     folder = f"{shared_dir(spark)}/quillgraph/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     rows = table(spark, sf, "documents").select(F.col("source").alias("repo"), F.expr("doc_id div 200").alias("span"), "doc_id", "text")
-    rows.repartition("repo", "span").sortWithinPartitions("repo", "span", "doc_id").select("repo", "span", "text").write.partitionBy("repo", "span").text(folder)
+    rows.repartition("repo", "span").sortWithinPartitions("repo", "span", "doc_id").select("repo", "span", "text").write.partitionBy("repo", "span").option(
+        # Tasks put their files in place; with version 1 the driver renames every one of them in turn.
+        "mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
     part = lambda pattern: F.regexp_extract("path", pattern, 1)
     return S.read_corpus(spark, folder, "*.txt").select(
         part("repo=([^/]*)/").alias("repo"), part("span=([0-9]+)/").cast("long").alias("span"), F.col("size").cast("long").alias("size"), F.md5("text").alias("digest"))

@@ -59,44 +59,52 @@ class QuotaProcessor(StatefulProcessor):
         self.slot = handle.getValueState("slot", "count int, reset_at long, last_ts long, last_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.slot.exists()
-        # A key without a slot is new or its window is over; what is older than the clock then has no window to count in.
+        """One frame for each frame of rows: a frame costs far more than what a key usually holds."""
+        # A static table hands a key over once. A key without a slot is new or its window is over; what is older than the clock then
+        # has no window to count in.
+        slot = self.slot.get() if self.clock is None else None
         clock_us = -(1 << 62) if self.clock is not None else timerValues.getCurrentWatermarkInMs() * 1000
-        count, reset_at, last_ts, last_id = self.slot.get() if known else (0, -1, clock_us, -1)
+        count, reset_at, last_ts, last_id = slot or (0, -1, clock_us, -1)
+        known_end, moved = int(reset_at), False
         if self.clock is None:
             # Order within a micro-batch; the source's trigger options bound it.
-            rows = iter([pd.concat(list(rows))])
+            parts = list(rows)
+            rows = iter(parts if len(parts) == 1 else [pd.concat(parts)])
         for part in rows:
-            part = part.sort_values(["ts", "event_id"], kind="stable")
             times, ids = part["ts"].to_numpy(dtype="datetime64[us]").astype("int64"), part["event_id"].to_numpy()
+            order = np.lexsort((ids, times))
+            times, ids = times[order], ids[order]
             late = (times < last_ts) | ((times == last_ts) & (ids < last_id))
-            yield self._rows(key, part[late], None, None, "late")
-            part, times = part[~late], times[~late]
-            if not len(part):
-                continue
-            before = reset_at
-            allowed, counts, end_count, reset_at = admit_sorted(times, int(count), int(reset_at), self.window_us, self.limit)
-            yield self._rows(key, part, allowed, counts, "verdict")
-            yield from self._closed(key, times, counts, int(count), int(before))
-            count, last_ts, last_id = end_count, int(times[-1]), int(part["event_id"].iloc[-1])
+            late_rows, (times, ids) = (times[late], ids[late]), (times[~late], ids[~late])
+            allowed, counts, ends, held = np.zeros(0, bool), np.zeros(0, np.int32), [], []
+            if len(times):
+                before, moved = (int(count), int(reset_at)), True
+                allowed, counts, count, reset_at = admit_sorted(times, *before, self.window_us, self.limit)
+                ends, held = self._closed(times, counts, *before)
+                last_ts, last_id = int(times[-1]), int(ids[-1])
+            if len(part):
+                yield self._frame(key, late_rows, (times, ids), allowed, counts, ends, held)
         if reset_at < 0:
             return
-        if self.clock is None:
+        if self.clock is not None:
+            if expiry_ms(int(reset_at)) <= self.clock // 1000:
+                yield self._ended(key, [int(reset_at)], [int(count)])
+        elif moved:
             self.slot.update((int(count), int(reset_at), int(last_ts), int(last_id)))
-            self.handle.registerTimer(expiry_ms(int(reset_at)))
-        elif expiry_ms(int(reset_at)) <= self.clock // 1000:
-            yield self._ended(key, [int(reset_at)], [int(count)])
+            if reset_at != known_end:
+                self.handle.registerTimer(expiry_ms(int(reset_at)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Reports and forgets a key whose window is over. A timer of an earlier window finds a later end and does nothing."""
-        if self.slot.exists():
-            count, reset_at, _, _ = self.slot.get()
+        slot = self.slot.get()
+        if slot:
+            count, reset_at, _, _ = slot
             if expiry_ms(int(reset_at)) <= expiredTimerInfo.getExpiryTimeInMs():
                 self.slot.clear()
                 yield self._ended(key, [int(reset_at)], [int(count)])
 
-    def _closed(self, key, times: np.ndarray, counts: np.ndarray, count: int, reset_at: int) -> Iterator[pd.DataFrame]:
-        """Windows that an event of these rows came after: their end and how many they held."""
+    def _closed(self, times: np.ndarray, counts: np.ndarray, count: int, reset_at: int) -> tuple[list[int], list[int]]:
+        """Windows that an event of these rows came after: their ends and how many they held."""
         ends, held, at = [], [], 0
         while at < len(times):
             if reset_at < 0 or times[at] > reset_at:
@@ -105,20 +113,26 @@ class QuotaProcessor(StatefulProcessor):
                     held.append(count if at == 0 else int(counts[at - 1]))
                 reset_at = int(times[at]) + self.window_us
             at = max(int(np.searchsorted(times, reset_at, side="right")), at + 1)
-        if ends:
-            yield self._ended(key, ends, held)
+        return ends, held
 
     def _ended(self, key, ends: list[int], held: list[int]) -> pd.DataFrame:
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return self._frame(key, none, none, np.zeros(0, bool), np.zeros(0, np.int32), ends, held)
+
+    def _frame(self, key, late, decided, allowed: np.ndarray, counts: np.ndarray, ends: list[int], held: list[int]) -> pd.DataFrame:
+        """Rows of OUTPUT: late ones and decided ones (times, ids), and the ends of windows with what they held."""
+        n_late, n_decided, n_ended = len(late[0]), len(decided[0]), len(ends)
+        kinds = np.repeat(np.array(["late", "verdict", "closed"], dtype=object), (n_late, n_decided, n_ended))
+        joined = lambda a, b, c, kind: np.concatenate((a, b, c)).astype(kind)
+        ids = np.concatenate((late[1], decided[1], np.zeros(n_ended, np.int64)))
+        no_id = pd.isna(ids) | (kinds == "closed")
+        times = joined(late[0], decided[0], np.array(ends, np.int64), np.int64)
         return pd.DataFrame({
-            "key": str(key[0]), "event_id": pd.array([None] * len(ends), dtype="Int64"), "ts": pd.to_datetime(ends, unit="us"),
-            "allowed": pd.array([None] * len(ends), dtype="boolean"), "n_in_window": np.array(held, dtype=np.int32), "kind": "closed"})
-
-    def _rows(self, key, part: pd.DataFrame, allowed, counts, kind: str) -> pd.DataFrame:
-        none = [None] * len(part)
-        return pd.DataFrame({
-            "key": str(key[0]), "event_id": part["event_id"].to_numpy(), "ts": part["ts"].to_numpy(),
-            "allowed": pd.array(none if allowed is None else allowed, dtype="boolean"),
-            "n_in_window": pd.array(none if counts is None else counts, dtype="Int32"), "kind": kind})
+            "key": str(key[0]), "event_id": pd.arrays.IntegerArray(np.where(no_id, 0, ids).astype(np.int64), no_id),
+            "ts": times.view("datetime64[us]").astype("datetime64[ns]"),
+            "allowed": pd.arrays.BooleanArray(joined(np.zeros(n_late, bool), allowed, np.zeros(n_ended, bool), bool), kinds != "verdict"),
+            "n_in_window": pd.arrays.IntegerArray(joined(np.zeros(n_late), counts, np.array(held, np.int32), np.int32), kinds == "late"),
+            "kind": kinds})
 
     def close(self) -> None:
         pass

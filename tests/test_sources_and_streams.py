@@ -150,3 +150,52 @@ def test_arrivals_are_written_by_as_many_tasks_as_the_session_has(spark, tmp_pat
     rows = S.w3(own, str(tmp_path)).orderBy("repo").collect()
     assert [tuple(r) for r in rows] == [("s0", 100, 1000, 200), ("s1", 100, 1000, 200)]
     assert len(list((tmp_path / "scratch" / "in").glob("*.parquet"))) == 18
+
+
+def test_a_key_costs_one_frame_and_no_needless_state():
+    """Late and decided rows and ended windows of a frame come as one; a timer is set when the end of the window moves only."""
+    import pandas as pd
+
+    from quillgraph.streaming.quota import QuotaProcessor
+
+    asked = []
+
+    class Slot:
+        held = None
+        get = lambda self: asked.append("get") or self.held
+
+        def update(self, value):
+            asked.append("update")
+            self.held = value
+
+    class Handle:
+        getValueState = lambda self, *_: Slot()
+        registerTimer = lambda self, ms: asked.append(ms)
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    def rows(*events):
+        return iter([pd.DataFrame({"key": "k", "event_id": [e for e, _ in events], "ts": pd.to_datetime([t for _, t in events], unit="s")})])
+
+    run = QuotaProcessor(60_000_000, 2, None)
+    run.init(Handle())
+    first = list(run.handleInputRows(("k",), rows((1, 10), (2, 20), (3, 100)), Times()))
+    assert len(first) == 1 and [*first[0].kind] == ["verdict"] * 3 + ["closed"] and [*first[0].n_in_window] == [1, 2, 1, 2]
+    assert asked == ["get", "update", 160_001]
+    asked.clear()
+    second = list(run.handleInputRows(("k",), rows((4, 110), (5, 50)), Times()))
+    assert len(second) == 1 and [*second[0].kind] == ["late", "verdict"] and [*second[0].event_id] == [5, 4]
+    assert asked == ["get", "update"]
+
+
+def test_listing_is_bounded_and_the_setting_stays(spark, tmp_path):
+    from quillgraph.sources import corpus as S
+
+    for k in range(40):
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}" / "a.txt").write_text(str(k))
+    spark.conf.set(S.LISTING_TASKS, "5000")
+    assert S.read_corpus(spark, str(tmp_path), "*.txt").count() == 40
+    assert spark.conf.get(S.LISTING_TASKS) == "5000"
+    spark.conf.unset(S.LISTING_TASKS)
