@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,8 +75,8 @@ def _first_of_runs(keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(change, np.arange(len(keys)), 0))
 
 
-def placed_rows(raws: pa.ListArray) -> dict[str, pa.Array]:
-    """The FIELDS and PLACES of rows of texts, each the tokens of the text with the blanks before them, as lists.
+def placed_rows(raws: pa.ListArray, only: Collection[str] = (*FIELDS, *PLACES)) -> dict[str, pa.Array]:
+    """The FIELDS and PLACES of rows of texts, each the tokens of the text with the blanks before them, as lists; those named in only.
 
     Comments and line ends are left out. A level is a depth; brackets of one level alternate, so the next one there closes an opening
     one (pair). encl is the bracket last opened at the level, arg_no the commas behind it. term_idx is the next token that ends an
@@ -103,7 +104,7 @@ def placed_rows(raws: pa.ListArray) -> dict[str, pa.Array]:
     n = len(code)
     if n == 0:
         empty = pa.array(np.zeros(n_rows + 1, np.int32))
-        return {f: pa.ListArray.from_arrays(empty, pa.array([], _ARROW[kind])) for f, kind in {**FIELDS, **PLACES}.items()}
+        return {f: pa.ListArray.from_arrays(empty, pa.array([], _ARROW[kind])) for f, kind in {**FIELDS, **PLACES}.items() if f in only}
 
     here = np.arange(n)
     lead = _first_of_runs(rows)
@@ -141,66 +142,84 @@ def placed_rows(raws: pa.ListArray) -> dict[str, pa.Array]:
     pair[left[opens[left]]] = right[opens[left]]
 
     encl = last_at_level(opens)
-    # Commas with the same bracket; those outside of any count together.
-    commas = _running(comma[order].astype(np.int64), group)
-    by_level = unsorted(commas)
-    outside = _running((comma & (encl < 0)).astype(np.int64), lead)
-    arg_no = np.where(encl < 0, outside, by_level - by_level[encl])
-
-    named = previous(is_in(("class",))) & ~previous(previous(is_in((".", "?.")))) & ~is_in((":",))
-    class_mark = _last(named | previous(is_in(BLOCK_ENDS)), lead)
-    class_idx = np.where((class_mark >= 0) & named[class_mark], idx[class_mark] - 1, 0)
-
-    word = last_at_level(statement)
-    declaring = last_at_level(statement | opens)
-    declares = (declaring >= 0) & is_in(("let", "const", "var"))[declaring]
-
-    # A line end between a value and something that starts one ends a statement, but not behind the head of an if or a loop.
     first_char = pc.utf8_slice_codeunits(text, 0, 1)
-    value_end = (_set(first_char, _VALUE_END) & ~_set(text, _NO_VALUE))[code]
-    value_start = (_set(first_char, _VALUE_START) & ~_set(text, _GOES_ON))[code]
-    new_line = np.concatenate(([False], line[1:] > line[:-1]))
-    before_closed = np.concatenate(([-1], np.where(is_in((")",)), pair, -1)[:-1]))
-    head_word = (before_closed >= 0) & (idx[before_closed] >= 2) & is_in(HEAD_WORDS)[np.maximum(before_closed - 1, 0)]
-    fresh = previous(value_end) & value_start & new_line & ~(previous(is_in((")",))) & head_word)
-
-    stops_term = (fresh | closes | statement | comma)[order]
-    reach = np.concatenate((np.minimum.accumulate(np.where(stops_term, here, n)[::-1])[::-1][1:], [n]))
-    reach_in = (reach < n) & (group[np.minimum(reach, n - 1)] == group)
-    term = unsorted(np.where(reach_in, order[np.minimum(reach, n - 1)], -1))
-
-    no_else = ~following(is_in(("else",)))
-    semicolon, brace = is_in((";",)), is_in(("}",)) & no_else
-    own = (closes | semicolon) & no_else & ~fresh
-    # A closing brace counts for its own level and for the one around it.
-    event = np.concatenate((key[fresh] * n + here[fresh], key[own] * n + here[own], (key[brace] - 1) * n + here[brace]))
-    stop_at = np.concatenate((idx[fresh] - 1, idx[own], idx[brace]))
-    sort = np.argsort(event, kind="stable")
-    event, stop_at = event[sort], stop_at[sort]
-    loop = np.flatnonzero(is_in(LOOPS))
-    found = np.searchsorted(event, key[loop] * n + loop, side="right")
-    inside = (found < len(event)) & (event[np.minimum(found, len(event) - 1)] // n == key[loop]) if len(event) else np.zeros(len(loop), bool)
-    stop = np.zeros(n, np.int64)
-    stop[loop[inside]] = stop_at[found[inside]]
-
-    is_word = (_set(first_char, _LETTERS) & ~_set(first_char, "0123456789"))[code]
-    site = following(is_in(("(",)))
-    mark = is_in(MARKED) | _set(first_char, "`")[code] | following(is_in(("=",)))
-    chosen = {"words": is_word, "sites": site, "marked": mark, "starts": is_in(("function", "=>")) | (site & is_word), "blocks": is_in(("{", *LOOPS))}
+
+    def arg_no() -> np.ndarray:
+        """Commas with the same bracket; those outside of any count together."""
+        by_level = unsorted(_running(comma[order].astype(np.int64), group))
+        outside = _running((comma & (encl < 0)).astype(np.int64), lead)
+        return np.where(encl < 0, outside, by_level - by_level[encl])
+
+    def class_idx() -> np.ndarray:
+        named = previous(is_in(("class",))) & ~previous(previous(is_in((".", "?.")))) & ~is_in((":",))
+        class_mark = _last(named | previous(is_in(BLOCK_ENDS)), lead)
+        return np.where((class_mark >= 0) & named[class_mark], idx[class_mark] - 1, 0)
+
+    def word() -> pa.Array:
+        found = last_at_level(statement)
+        return text.take(pa.array(code[found], mask=found < 0))
+
+    def declares() -> np.ndarray:
+        declaring = last_at_level(statement | opens)
+        return (declaring >= 0) & is_in(("let", "const", "var"))[declaring]
+
+    @cache
+    def fresh() -> np.ndarray:
+        """A line end between a value and something that starts one ends a statement, but not behind the head of an if or a loop."""
+        value_end = (_set(first_char, _VALUE_END) & ~_set(text, _NO_VALUE))[code]
+        value_start = (_set(first_char, _VALUE_START) & ~_set(text, _GOES_ON))[code]
+        new_line = np.concatenate(([False], line[1:] > line[:-1]))
+        before_closed = np.concatenate(([-1], np.where(is_in((")",)), pair, -1)[:-1]))
+        head_word = (before_closed >= 0) & (idx[before_closed] >= 2) & is_in(HEAD_WORDS)[np.maximum(before_closed - 1, 0)]
+        return previous(value_end) & value_start & new_line & ~(previous(is_in((")",))) & head_word)
+
+    def term() -> np.ndarray:
+        stops_term = (fresh() | closes | statement | comma)[order]
+        reach = np.concatenate((np.minimum.accumulate(np.where(stops_term, here, n)[::-1])[::-1][1:], [n]))
+        reach_in = (reach < n) & (group[np.minimum(reach, n - 1)] == group)
+        return unsorted(np.where(reach_in, order[np.minimum(reach, n - 1)], -1))
+
+    def stop() -> np.ndarray:
+        no_else = ~following(is_in(("else",)))
+        semicolon, brace = is_in((";",)), is_in(("}",)) & no_else
+        own = (closes | semicolon) & no_else & ~fresh()
+        # A closing brace counts for its own level and for the one around it.
+        event = np.concatenate((key[fresh()] * n + here[fresh()], key[own] * n + here[own], (key[brace] - 1) * n + here[brace]))
+        stop_at = np.concatenate((idx[fresh()] - 1, idx[own], idx[brace]))
+        sort = np.argsort(event, kind="stable")
+        event, stop_at = event[sort], stop_at[sort]
+        loop = np.flatnonzero(is_in(LOOPS))
+        found = np.searchsorted(event, key[loop] * n + loop, side="right")
+        inside = (found < len(event)) & (event[np.minimum(found, len(event) - 1)] // n == key[loop]) if len(event) else np.zeros(len(loop), bool)
+        stops = np.zeros(n, np.int64)
+        stops[loop[inside]] = stop_at[found[inside]]
+        return stops
+
+    @cache
+    def chosen(place: str) -> np.ndarray:
+        if place == "words":
+            return (_set(first_char, _LETTERS) & ~_set(first_char, "0123456789"))[code]
+        if place == "sites":
+            return following(is_in(("(",)))
+        if place == "marked":
+            return is_in(MARKED) | _set(first_char, "`")[code] | following(is_in(("=",)))
+        return is_in(("function", "=>")) | (chosen("sites") & chosen("words")) if place == "starts" else is_in(("{", *LOOPS))
 
     counts = np.bincount(rows, minlength=n_rows)
     offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
     place = lambda found: pa.array(np.where(found >= 0, idx[found], 0), pa.int32(), mask=found < 0)
     ints = lambda a: pa.array(a, pa.int32())
+    nulled = lambda found: pa.array(found, pa.int32(), mask=found == 0)
     of_token = {
-        "tok": text.take(pa.array(code)), "line": ints(line), "at": ints(at), "level": ints(level), "encl": place(encl), "arg_no": pa.array(arg_no, pa.int64()),
-        "pair": place(pair), "class_idx": ints(class_idx), "word": text.take(pa.array(code[word], mask=word < 0)), "declares": pa.array(declares),
-        "new_statement": pa.array(fresh), "term_idx": place(term), "stop_idx": pa.array(stop, pa.int32(), mask=stop == 0),
-        **{f"n_{c}": ints(_running(chosen[c].astype(np.int64), lead)) for c in ("words", "sites", "marked")}}
-    out = {f: pa.ListArray.from_arrays(offsets, of_token[f]) for f in FIELDS}
-    for f in PLACES:
-        picked = np.bincount(rows[chosen[f]], minlength=n_rows)
-        out[f] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(picked))).astype(np.int32)), ints(idx[chosen[f]]))
+        "tok": lambda: text.take(pa.array(code)), "line": lambda: ints(line), "at": lambda: ints(at), "level": lambda: ints(level),
+        "encl": lambda: place(encl), "arg_no": lambda: pa.array(arg_no(), pa.int64()), "pair": lambda: place(pair),
+        "class_idx": lambda: ints(class_idx()), "word": word, "declares": lambda: pa.array(declares()),
+        "new_statement": lambda: pa.array(fresh()), "term_idx": lambda: place(term()), "stop_idx": lambda: nulled(stop()),
+        **{f"n_{c}": lambda c=c: ints(_running(chosen(c).astype(np.int64), lead)) for c in ("words", "sites", "marked")}}
+    out = {f: pa.ListArray.from_arrays(offsets, of_token[f]()) for f in FIELDS if f in only}
+    for f in (p for p in PLACES if p in only):
+        picked = np.bincount(rows[chosen(f)], minlength=n_rows)
+        out[f] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(picked))).astype(np.int32)), ints(idx[chosen(f)]))
     return out
 
 
@@ -210,10 +229,44 @@ def placed(raws: list[str]) -> tuple[list, ...]:
     return tuple(columns[f][0].as_py() for f in FIELDS)
 
 
-def placed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file, texts, FIELDS and PLACES as arrays) for rows (file, texts, raws)."""
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ROWS rows that hold all rows of their files. Rows come in the order of their files."""
+    held: list[pa.RecordBatch] = []  # rows of the last file
     for batch in batches:
         for start in range(0, batch.num_rows, ROWS):
             part = batch.slice(start, ROWS)
-            columns = placed_rows(part.column("raws"))
-            yield pa.RecordBatch.from_arrays([part.column("file"), part.column("texts"), *columns.values()], ["file", "texts", *(f"_{f}" for f in columns)])
+            ends = _file_ends(part)
+            goes_on = bool(held) and held[-1].column("file")[-1].as_py() == part.column("file")[0].as_py()
+            if len(ends) > 1:
+                yield _joined([*held, part.slice(0, ends[-2])])
+                held = [part.slice(ends[-2])]
+            elif goes_on or not held:
+                held.append(part)
+            else:
+                yield _joined(held)
+                held = [part]
+    if held:
+        yield _joined(held)
+
+
+def _file_ends(rows: pa.RecordBatch) -> np.ndarray:
+    """Behind the last row of each file."""
+    code = rows.column("file").dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return np.append(np.flatnonzero(code[1:] != code[:-1]) + 1, len(code))
+
+
+def placed_batches(batches: Iterator[pa.RecordBatch], only: Collection[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, n_texts, FIELDS and PLACES in only as arrays) for rows (file, raws) in the order of their files; texts as arrays if there are."""
+    for rows in _files(batches):
+        ends = _file_ends(rows)
+        offsets = pa.array(np.concatenate(([0], ends)), pa.int32())
+        of_file = lambda name: pa.ListArray.from_arrays(offsets, rows.column(name))
+        columns = {"file": rows.column("file").take(pa.array(ends - 1)), "n_texts": pa.array(np.diff(ends, prepend=0), pa.int32())}
+        if "text" in rows.schema.names:
+            columns["texts"] = of_file("text")
+        columns |= {f"_{f}": values for f, values in placed_rows(of_file("raws"), only).items()}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))

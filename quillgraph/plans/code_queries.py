@@ -11,7 +11,7 @@ from quillgraph.operators import roles as R
 from quillgraph.operators import rollup as A
 from quillgraph.plans.corpus_queries import sql_text
 from quillgraph.plans.registry import query
-from quillgraph.session import cut_lineage, table
+from quillgraph.session import cut_lineage, dealt, table
 
 # A module per part, as alternating text and column pieces. {w1} and {w2} are the words of the
 # part's name, {id} its key, {size} its size, {k} repeats a line up to three times.
@@ -58,8 +58,13 @@ def _pieces(template: str) -> list[tuple[bool, str]]:
     return out + [(False, rest)]
 
 
+def parts(spark, sf, *columns):
+    """Parts to be rendered; the texts weigh far more than the rows they are made from."""
+    return dealt(table(spark, sf, "part").select("p_partkey", *columns), "p_partkey")
+
+
 def modules(spark, sf):
-    part = table(spark, sf, "part")
+    part = parts(spark, sf, "p_brand", "p_type", "p_size", "p_name")
     cols = {
         "brand": F.replace("p_brand", F.lit("#"), F.lit("_")), "type": F.col("p_type"), "size": F.col("p_size").cast("string"), "name": F.col("p_name"),
         "w1": F.split_part("p_name", F.lit(" "), F.lit(1)), "w2": F.split_part("p_name", F.lit(" "), F.lit(2)), "id": F.col("p_partkey").cast("string"),
@@ -69,6 +74,11 @@ def modules(spark, sf):
     return part.select(F.col("p_partkey").cast("string").alias("file"), fill(MODULE).alias("text"))
 
 
+def scan(spark, sf, *operators):
+    """Tokens of the modules with what the operators read of them."""
+    return X.tokens(modules(spark, sf), only=[field for operator in operators for field in X.READS[operator]])
+
+
 def _fill_sql(template: str) -> str:
     cols = {
         "brand": "replace(p_brand, '#', '_')", "type": "p_type", "size": "p_size", "name": "p_name", "w1": "split_part(p_name, ' ', 1)",
@@ -94,7 +104,7 @@ UNION ALL SELECT file, '<anonymous>', 'expression', {LINE.format("'(function ()'
 UNION ALL SELECT file, 'constructor', 'constructor', {LINE.format("'constructor'")}, {LINE.format("'constructor'")}, false FROM code WHERE p_size <= 25
 UNION ALL SELECT file, 'make', 'method', {LINE.format("'static make'")}, {LINE.format("'static make'")}, false FROM code WHERE p_size <= 25""")
 def x1(spark, sf):
-    fns = X.functions(X.tokens(modules(spark, sf)), ("fn", "kind", "start_line", "end_line", "is_async"))
+    fns = X.functions(scan(spark, sf, "function_headers"), ("fn", "kind", "start_line", "end_line", "is_async"))
     return fns.select("file", "fn", "kind", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "is_async")
 
 
@@ -114,13 +124,13 @@ SELECT file, w2 || id AS fn, w1 || 'Val|scale|...rest' AS params FROM code UNION
 UNION ALL SELECT file, w1 || 'Of.cb2', '' FROM code UNION ALL SELECT file, '<anonymous>', '' FROM code UNION ALL SELECT file, 'constructor', 'n' FROM code WHERE p_size <= 25
 UNION ALL SELECT file, 'make', '' FROM code WHERE p_size <= 25""")
 def x2(spark, sf):
-    return X.functions(X.tokens(modules(spark, sf)), ("fn", "params")).select("file", "fn", F.array_join("params", "|").alias("params"))
+    return X.functions(scan(spark, sf, "function_headers"), ("fn", "params")).select("file", "fn", F.array_join("params", "|").alias("params"))
 
 
 @query("x3_classes", V9 + """
 SELECT file, w2 || 'Box' AS name, 'Base' AS parent, 'constructor:constructor:false|make:method:true' AS methods FROM code WHERE contains(text, 'class ')""")
 def x3(spark, sf):
-    toks = X.tokens(modules(spark, sf))
+    toks = scan(spark, sf, "function_headers", "classes")
     listed = X.class_methods(toks).groupBy("file", F.col("class_name").alias("name")).agg(F.array_join(F.array_sort(F.collect_list(
         F.concat_ws(":", "name", "kind", F.col("is_static").cast("string")))), "|").alias("methods"))
     return X.classes(toks).select("file", "name", "parent").join(listed, ["file", "name"], "left")
@@ -130,30 +140,30 @@ def x3(spark, sf):
 SELECT file, regexp_extract(text, 'from ''([^'']*)''', 1) AS source, 'esm' AS kind FROM code
 UNION ALL SELECT file, regexp_extract(text, '= require\(''([^'']*)''', 1), 'cjs' FROM code""")
 def x4(spark, sf):
-    return X.imports(X.tokens(modules(spark, sf))).select("file", "source", "kind")
+    return X.imports(scan(spark, sf, "imports")).select("file", "source", "kind")
 
 
 @query("x5_exports", V9 + " SELECT file, 'module.exports' AS name, 'cjs' AS kind FROM code UNION ALL SELECT file, 'default', 'default' FROM code")
 def x5(spark, sf):
-    return X.exports(X.tokens(modules(spark, sf))).select("file", "name", "kind")
+    return X.exports(scan(spark, sf, "exports")).select("file", "name", "kind")
 
 
 @query("x6_globals", V9 + r"""
 SELECT file, d[1] AS kind, d[2] AS name FROM (SELECT file, string_split(unnest(regexp_extract_all(text, '(?m)^(?:let|const) \w+')), ' ') AS d FROM code)""")
 def x6(spark, sf):
-    return X.globals_of(X.tokens(modules(spark, sf))).select("file", "kind", "name")
+    return X.globals_of(scan(spark, sf, "globals_of")).select("file", "kind", "name")
 
 
 @query("x7_entry_points", V9 + f"""
 SELECT file, 'IIFE' AS type, {LINE.format("'(function ()'")} AS line FROM code UNION ALL SELECT file, 'default-export', {LINE.format("'export default'")} FROM code""")
 def x7(spark, sf):
-    return X.entry_points(X.tokens(modules(spark, sf))).select("file", "type", F.col("line").cast("long").alias("line"))
+    return X.entry_points(scan(spark, sf, "entry_points")).select("file", "type", F.col("line").cast("long").alias("line"))
 
 
 @query("x8_infer_names", V9 + """
 SELECT file, unnest([w1 || 'Of', 'map.cb', w1 || 'Of.cb2', '<anonymous>']) AS fn FROM code""")
 def x8(spark, sf):
-    return X.functions(X.tokens(modules(spark, sf)), ("fn", "kind")).filter("kind IN ('arrow', 'expression')").select("file", "fn")
+    return X.functions(scan(spark, sf, "function_headers"), ("fn", "kind")).filter("kind IN ('arrow', 'expression')").select("file", "fn")
 
 
 @query("x9_calls", V9 + """
@@ -170,7 +180,7 @@ def x9_pages(spark, sf):
     scripts = F.regexp_extract_all("html", F.lit("<script>(.*?)</script>"), F.lit(1))
     rows = table(spark, sf, "pages").select("page_id", F.posexplode(scripts).alias("n", "text")).withColumn(
         "file", F.concat_ws("/", F.col("page_id").cast("string"), F.col("n").cast("string")))
-    sites = X.calls(X.tokens(rows))
+    sites = X.calls(X.tokens(rows, only=X.READS["calls"]))
     return sites.groupBy(F.split_part("file", F.lit("/"), F.lit(1)).cast("long").alias("page_id"), "callee").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -287,7 +297,7 @@ SHAPES = (
 
 
 def shaped_modules(spark, sf):
-    part = table(spark, sf, "part")
+    part = parts(spark, sf, "p_size", "p_name")
     cols = {"size": F.col("p_size").cast("string"), "id": F.col("p_partkey").cast("string"),
             "w1": F.split_part("p_name", F.lit(" "), F.lit(1)), "w2": F.split_part("p_name", F.lit(" "), F.lit(2))}
     fill = lambda template: F.concat(*[cols[t] if named else F.lit(t) for named, t in _pieces(template)])
@@ -307,8 +317,7 @@ def _by_shape(rows) -> str:
 
 
 def parsed_facts(spark, sf, *only):
-    files = shaped_modules(spark, sf)
-    return cut_lineage(X.function_facts(files.join(X.parse_errors(X.tokens(files)), "file", "left_anti"), only=only))
+    return cut_lineage(X.function_facts(shaped_modules(spark, sf), only=only, parsed=True))
 
 
 @query("x9_facts_by_shape", _by_shape(lambda shape: [
@@ -320,7 +329,7 @@ def facts_by_shape(spark, sf):
 
 @query("s7_parse_errors_by_shape", _by_shape(lambda shape: [] if shape[1] else ["'parse_failed' AS error"]))
 def errors_by_shape(spark, sf):
-    return X.parse_errors(X.tokens(shaped_modules(spark, sf)))
+    return X.parse_errors(X.tokens(shaped_modules(spark, sf), only=X.READS["parse_errors"]))
 
 
 @query("c12_flow_lists_source", _by_shape(lambda shape: [

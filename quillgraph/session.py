@@ -50,6 +50,16 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt out by keys to a fixed number of tasks, for work that costs far more than its rows weigh.
+
+    A small file is one task of a scan, and exchanges are merged by their compressed size, neither of which tells what its rows cost.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows as a table written in the shared folder.
 

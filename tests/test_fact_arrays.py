@@ -5,8 +5,9 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillgraph.functions.brackets import FIELDS, placed, placed_rows
+from quillgraph.functions.brackets import FIELDS, PLACES, placed, placed_batches, placed_rows
 from quillgraph.operators import facts as X
+from quillgraph.plans import code_queries as Q
 
 
 def plan_of(df) -> str:
@@ -72,3 +73,40 @@ def test_named_facts_alone_are_worked_out(spark):
         assert {r.fn: r.asDict() for r in few.collect()} == {fn: {c: r[c] for c in few.columns} for fn, r in every.items()}
     plan = plan_of(X.function_facts(files, only=("fn", "calls")).select("file", "calls"))
     assert "_open_before" not in plan and "console." not in plan and "Window" not in plan
+
+
+def test_rows_of_a_file_meet_across_batches():
+    rows = [("a", ["x"])] * 3 + [("b", [" y"])] * 450 + [("c", None), (None, ["z"]), (None, ["w"])]
+    kind = pa.schema([("file", pa.string()), ("raws", pa.list_(pa.string()))])
+    batch = pa.RecordBatch.from_pylist([{"file": f, "raws": r} for f, r in rows], kind)
+    for cut in (1, 3, 250, 453, 455):
+        got = [r for b in placed_batches(iter([batch.slice(0, cut), batch.slice(cut)]), ("tok",)) for r in b.to_pylist()]
+        assert [(r["file"], r["n_texts"], r["_tok"]) for r in got] == [
+            ("a", 3, ["x"] * 3), ("b", 450, ["y"] * 450), ("c", 1, []), (None, 2, ["z", "w"])]
+
+
+def test_named_fields_are_those_of_all():
+    raws = pa.array([[["function", " f", "(", "x", ")", "{", "if", "(", "x", ")", "\n", "y", "=", "`t`", ";", "}"]], []], pa.list_(pa.list_(pa.string())))
+    every = placed_rows(raws)
+    assert list(every) == [*FIELDS, *PLACES]
+    for f in every:
+        assert placed_rows(raws, (f,)) == {f: every[f]}
+
+
+def test_texts_are_scanned_once_by_many_tasks(spark):
+    shaped = Q.shaped_modules(spark, "/root/testdata/sf0.001")
+    plan = plan_of(X.function_facts(shaped, only=("fn", "reads"), parsed=True))
+    assert plan.count("Scan parquet") == 1 and "Join" not in plan and "Aggregate" not in plan and "Union" not in plan
+    assert X.tokens(shaped, only=()).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_what_an_operator_reads_is_enough(spark):
+    files = spark.createDataFrame([
+        ("a", "import b from 'c'; export default function f(x, y) { if (x) { let q = g(`v ${x}`); a.b = [1].map(k => k); } throw y; }"),
+        ("b", "class P extends Q { static m() { return new R(); } }\nlet u = 1, v = 2;\n(function () { f(); })(); export { u, v };"),
+        ("b", "let w = 3;"), ("c", "f("), ("d", None)], "file string, text string")
+    for name, read in X.READS.items():
+        # A field that is not there fails when the plan is made.
+        assert "file" in getattr(X, name)(X.tokens(files, only=read)).columns
+    fns = sorted((r.file, r.fn) for r in X.function_facts(files, only=("fn",), parsed=True).collect())
+    assert [f for f in fns if f[0] == "b"] == [("b", "<anonymous>")] * 2 + [("b", "m")] * 2 and {f[0] for f in fns} == {"a", "b"}
