@@ -52,6 +52,23 @@ def _digests(terms: list[bytes], mask: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(t) & mask for t in terms), np.uint64, len(terms)).view(np.int64)
 
 
+class _Digests(dict):
+    """Digests by term. Sources of a language share most terms, so a task remembers them, HELD_TERMS at most between two calls of `of`."""
+
+    def __init__(self, mask: int) -> None:
+        super().__init__()
+        self.mask = mask
+
+    def __missing__(self, term: bytes) -> int:
+        digest = self[term] = xxhash.xxh64_intdigest(term) & self.mask
+        return digest
+
+    def of(self, terms: list[bytes]) -> np.ndarray:
+        if len(self) > HELD_TERMS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, terms), np.uint64, len(terms)).view(np.int64)
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str, str, str | None]]:
     for at in range(0, batch.num_rows, SLICE_ROWS):
         part = batch.slice(at, SLICE_ROWS)
@@ -90,33 +107,37 @@ def _occurrences(rows: DataFrame, wanted: DataFrame, mask: int, by_string: bool)
     bitmap = rows.sparkSession.sparkContext.broadcast(as_array(pages_of(wanted, F.col("digest"), bits), bits))
     names = ["lang", "source", "digest", "n", "docs", "term"]
 
-    def sift(held: Held, kept: Held) -> int:
+    def sift(held: Held, kept: Held, digests: _Digests) -> int:
         """Moves the counts of wanted terms and forgets the others; how many terms are kept now."""
         for group, (n, docs) in held.items():
-            terms = list(n)
-            for i in np.flatnonzero(in_array(bitmap.value, _digests(terms, mask), bits)).tolist():
-                kept[group][0][terms[i]] += n[terms[i]]
-                kept[group][1][terms[i]] += docs[terms[i]] if by_string else 0
+            terms, times = list(n), list(n.values())
+            kept_n, kept_docs = kept[group]
+            for i in np.flatnonzero(in_array(bitmap.value, digests.of(terms), bits)).tolist():
+                term = terms[i]
+                kept_n[term] = kept_n.get(term, 0) + times[i]
+                if by_string:
+                    kept_docs[term] += docs[term]
         held.clear()
         return sum(len(n) for n, _ in kept.values())
 
-    def sent(kept: Held, spoken: dict[str, set[bytes]]) -> Iterator[pa.RecordBatch]:
+    def sent(kept: Held, spoken: dict[str, set[bytes]], digests: _Digests) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, docs) in kept.items():
             terms = list(n)
             new = [] if by_string else [t for t in terms if t not in spoken[lang]]
             spoken[lang].update(new)
-            digest, none = _digests(terms, mask), [None] * len(new)
+            digest, none = digests.of(terms), [None] * len(new)
             strings = [t.decode("utf-8", "surrogatepass") for t in (terms if by_string else new)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([lang] * (len(terms) + len(new)), pa.string()), pa.array([source] * len(terms) + none, pa.string()),
-                pa.array(np.append(digest, _digests(new, mask))), pa.array(list(n.values()) + none, pa.int64()),
-                pa.array(list(docs.values()) + none, pa.int64()), pa.array(strings if by_string else [None] * len(terms) + strings, pa.string())], names)
+                pa.array(np.append(digest, digests.of(new))), pa.array(list(n.values()) + none, pa.int64()),
+                pa.array((list(docs.values()) if by_string else [None] * len(terms)) + none, pa.int64()), pa.array(strings if by_string else [None] * len(terms) + strings, pa.string())], names)
         kept.clear()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Held = defaultdict(lambda: (Counter(), Counter()))
         kept: Held = defaultdict(lambda: (Counter(), Counter()))
         spoken: dict[str, set[bytes]] = defaultdict(set)
+        digests = _Digests(mask)
         size = 0
         for batch in batches:
             for lang, source, text in _texts(batch):
@@ -129,12 +150,12 @@ def _occurrences(rows: DataFrame, wanted: DataFrame, mask: int, by_string: bool)
                 size += len(n) - before
                 if size > HELD_TERMS:
                     size = 0
-                    if sift(held, kept) > HELD_TERMS:
-                        yield from sent(kept, spoken)
+                    if sift(held, kept, digests) > HELD_TERMS:
+                        yield from sent(kept, spoken, digests)
                     if sum(map(len, spoken.values())) > HELD_TERMS:
                         spoken.clear()
-        sift(held, kept)
-        yield from sent(kept, spoken)
+        sift(held, kept, digests)
+        yield from sent(kept, spoken, digests)
 
     return rows.mapInArrow(counted, "lang string, source string, digest long, n long, docs long, term string")
 
@@ -149,8 +170,9 @@ def kept_terms(rows: DataFrame, least_docs: int = LEAST_DOCS, mask: int = (1 <<
     names = written(found.filter("term IS NOT NULL").join(wanted, ["lang", "digest"], "left_semi")
                     .groupBy("lang", "digest").agg(F.min("term").alias("term"), F.max("term").alias("high")))
     zero = F.lit(0).alias("variant")
-    counts = (found.filter("term IS NULL").join(wanted, ["lang", "digest"], "left_semi")
-              .groupBy("lang", "source", "digest").agg(F.sum("n").alias("n")))
+    # Summed first: the rows of all tasks are added up unsorted, and only what is left of them meets the wanted digests.
+    counts = (found.filter("term IS NULL").groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"))
+              .join(wanted, ["lang", "digest"], "left_semi"))
     collided = names.filter("term <> high").select("lang", "digest")
     if collided.isEmpty():
         return written(counts.select("lang", "source", "digest", zero, "n")), names.select("lang", "digest", zero, "term")

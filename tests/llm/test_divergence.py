@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import quillgraph.llm.divergence as divergence
-from quillgraph.llm.divergence import SMOOTHING, UNIT, op13_divergence, share, source_divergence
+from quillgraph.llm.divergence import SMOOTHING, UNIT, _digests, _Digests, kept_terms, op13_divergence, share, source_divergence
 
 SCHEMA = "doc_id long, text string, lang string, source string, digest long, part string, p long, item string"
 
@@ -88,3 +88,19 @@ def test_query_columns(spark):
     out = op13_divergence(spark, "/root/testdata/sf0.001")
     assert out.dtypes == [("lang", "string"), ("source", "string"), ("part", "string"), ("item", "string"), ("value", "bigint"), ("rank", "int")]
     assert out.filter(F.col("part") == "pair").count() > 0
+
+
+def test_a_term_is_digested_once_in_a_while(monkeypatch):
+    monkeypatch.setattr(divergence, "HELD_TERMS", 3)
+    digests = _Digests(0xFF)
+    for terms in ([b"a", b"b", b"a"], [b"b", b"c", b"d"], [b"e", b"a"], []):
+        assert digests.of(terms).tolist() == _digests(terms, 0xFF).tolist()
+        assert len(digests) <= 3 + len(terms)
+
+
+def test_counts_are_summed_before_they_are_joined(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(divergence, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    kept_terms(frame(spark, some_rows()).select("lang", "source", "text").na.fill(""), 4)
+    counts = next(p for p in plans if "sum(n" in p and "source" in p)
+    assert counts.index("LeftSemi") < counts.index("Aggregate [lang")
