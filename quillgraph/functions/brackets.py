@@ -29,12 +29,15 @@ ROWS = 200
 #: What is known of each token; positions count from 1, and no position is null.
 FIELDS = {
     "tok": "string", "line": "int", "at": "int", "level": "int", "encl": "int", "arg_no": "bigint", "pair": "int", "class_idx": "int",
-    "word": "string", "declares": "boolean", "new_statement": "boolean", "term_idx": "int", "stop_idx": "int",
-    "n_words": "int", "n_sites": "int", "n_marked": "int",
+    "word": "string", "word_idx": "int", "declares": "boolean", "new_statement": "boolean", "term_idx": "int", "stop_idx": "int",
+    "n_words": "int", "n_sites": "int", "n_marked": "int", "n_names": "int", "n_targets": "int",
 }
-#: Positions that may hold a fact: words, tokens before a parenthesis, tokens that may carry a mark, may start a function, may nest.
-#: n_words, n_sites and n_marked tell how many there are up to a token.
-PLACES = dict.fromkeys(("words", "sites", "marked", "starts", "blocks"), "int")
+#: Positions that may hold a fact: words, tokens before a parenthesis, tokens that may carry a mark, may start a function, may nest,
+#: words that may be read, may be written, may be declared outside of any bracket. What Spark looks at token by token are these.
+#: n_words and its like tell how many there are up to a token.
+PLACES = dict.fromkeys(("words", "sites", "marked", "starts", "blocks", "names", "targets", "declared"), "int")
+DECLARING = ("let", "const", "var")
+ASSIGNING = ("=", "+=", "-=", "*=", "/=", "%=", "**=")
 MARKED = (
     "if", "for", "while", "case", "default", "?", "catch", "&&", "||", "??", "do", "try", "switch", "=>", "function", "throw", "await", "yield", "...")
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
@@ -111,7 +114,7 @@ def placed_rows(raws: pa.ListArray, only: Collection[str] = (*FIELDS, *PLACES))
     idx = here - lead + 1
     starts = idx == 1
     ends = np.concatenate((starts[1:], [True]))
-    is_in = lambda members: _set(text, members)[code]
+    is_in = cache(lambda members: _set(text, members)[code])
     previous = lambda marked: np.concatenate(([False], marked[:-1])) & ~starts
     following = lambda marked: np.concatenate((marked[1:], [False])) & ~ends
     opens, closes, statement, comma = is_in(OPENING), is_in(CLOSING), is_in((";", *STATEMENT_WORDS)), is_in((",",))
@@ -155,13 +158,16 @@ def placed_rows(raws: pa.ListArray, only: Collection[str] = (*FIELDS, *PLACES))
         class_mark = _last(named | previous(is_in(BLOCK_ENDS)), lead)
         return np.where((class_mark >= 0) & named[class_mark], idx[class_mark] - 1, 0)
 
+    @cache
+    def word_at() -> np.ndarray:
+        return last_at_level(statement)
+
     def word() -> pa.Array:
-        found = last_at_level(statement)
-        return text.take(pa.array(code[found], mask=found < 0))
+        return text.take(pa.array(code[word_at()], mask=word_at() < 0))
 
     def declares() -> np.ndarray:
         declaring = last_at_level(statement | opens)
-        return (declaring >= 0) & is_in(("let", "const", "var"))[declaring]
+        return (declaring >= 0) & is_in(DECLARING)[declaring]
 
     @cache
     def fresh() -> np.ndarray:
@@ -203,7 +209,19 @@ def placed_rows(raws: pa.ListArray, only: Collection[str] = (*FIELDS, *PLACES))
             return following(is_in(("(",)))
         if place == "marked":
             return is_in(MARKED) | _set(first_char, "`")[code] | following(is_in(("=",)))
-        return is_in(("function", "=>")) | (chosen("sites") & chosen("words")) if place == "starts" else is_in(("{", *LOOPS))
+        if place == "starts":
+            # A call looks like a method up to its closing parenthesis; only a method goes on with a block.
+            closed = np.concatenate((pair[1:], [-1]))
+            method = chosen("sites") & (closed >= 0) & (is_in((")",)) & following(is_in(("{",))))[closed]
+            return is_in(("function", "=>")) | (method & chosen("words"))
+        if place == "blocks":
+            return (is_in(("{",)) & previous(is_in((")", "else", "try", "do", "finally", "=>")))) | (is_in(LOOPS) & following(is_in(("(", "await"))))
+        if place == "names":
+            return chosen("words") & ~previous(is_in((".",))) & (~is_in(RESERVED) | chosen("sites"))
+        if place == "targets":
+            declared = previous(is_in(DECLARING)) | (previous(comma) & declares())
+            return chosen("names") & (declared | following(is_in(ASSIGNING)))
+        return chosen("words") & (level == 0) & previous(is_in((*DECLARING, ",")))
 
     counts = np.bincount(rows, minlength=n_rows)
     offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
@@ -213,9 +231,9 @@ def placed_rows(raws: pa.ListArray, only: Collection[str] = (*FIELDS, *PLACES))
     of_token = {
         "tok": lambda: text.take(pa.array(code)), "line": lambda: ints(line), "at": lambda: ints(at), "level": lambda: ints(level),
         "encl": lambda: place(encl), "arg_no": lambda: pa.array(arg_no(), pa.int64()), "pair": lambda: place(pair),
-        "class_idx": lambda: ints(class_idx()), "word": word, "declares": lambda: pa.array(declares()),
+        "class_idx": lambda: ints(class_idx()), "word": word, "word_idx": lambda: place(word_at()), "declares": lambda: pa.array(declares()),
         "new_statement": lambda: pa.array(fresh()), "term_idx": lambda: place(term()), "stop_idx": lambda: nulled(stop()),
-        **{f"n_{c}": lambda c=c: ints(_running(chosen(c).astype(np.int64), lead)) for c in ("words", "sites", "marked")}}
+        **{f"n_{c}": lambda c=c: ints(_running(chosen(c).astype(np.int64), lead)) for c in ("words", "sites", "marked", "names", "targets")}}
     out = {f: pa.ListArray.from_arrays(offsets, of_token[f]()) for f in FIELDS if f in only}
     for f in (p for p in PLACES if p in only):
         picked = np.bincount(rows[chosen(f)], minlength=n_rows)

@@ -110,3 +110,31 @@ def test_what_an_operator_reads_is_enough(spark):
         assert "file" in getattr(X, name)(X.tokens(files, only=read)).columns
     fns = sorted((r.file, r.fn) for r in X.function_facts(files, only=("fn",), parsed=True).collect())
     assert [f for f in fns if f[0] == "b"] == [("b", "<anonymous>")] * 2 + [("b", "m")] * 2 and {f[0] for f in fns} == {"a", "b"}
+
+
+def test_places_are_narrow_and_lose_nothing():
+    random.seed(5)
+    words = ["{", "}", "(", ")", ",", " x", ";", "if", "for", "else", "let", "=", "+=", "function", "=>", ".", "of", "async"]
+    rows = [[random.choice(words) for _ in range(random.choice([0, 1, 60]))] for _ in range(80)]
+    got = placed_rows(pa.array([[r] for r in rows], pa.list_(pa.list_(pa.string()))))
+    for k, raws in enumerate(rows):
+        known = {f: got[f][k].as_py() for f in got}
+        tok, pair = ["", *known["tok"], ""], [None, *known["pair"], None]
+        each = range(1, len(tok) - 1)
+        goes_on = lambda i: pair[i + 1] is not None and tok[pair[i + 1]] == ")" and tok[pair[i + 1] + 1] == "{"
+        assert known["starts"] == [i for i in each if tok[i] in ("function", "=>") or (tok[i][0].isalpha() and tok[i + 1] == "(" and goes_on(i))]
+        assert known["blocks"] == [i for i in each if (tok[i] == "{" and tok[i - 1] in (")", "else", "=>")) or (tok[i] in ("if", "for") and tok[i + 1] == "(")]
+        names = [i for i in each if tok[i][0].isalpha() and tok[i - 1] != "." and (tok[i] == "x" or tok[i + 1] == "(")]
+        assert known["names"] == names and known["n_names"] == [sum(n <= i for n in names) for i in each]
+        assert known["targets"] == [i for i in names if tok[i + 1] in ("=", "+=") or tok[i - 1] == "let" or (tok[i - 1] == "," and known["declares"][i - 1])]
+        assert known["declared"] == [i for i in each if tok[i][0].isalpha() and known["level"][i - 1] == 0 and tok[i - 1] in ("let", ",")]
+        assert [w and tok[w] for w in known["word_idx"]] == known["word"]
+
+
+def test_functions_are_rows_before_they_are_measured(spark):
+    files = spark.createDataFrame([("a", "class C { m() { return [1].map(x => f(x)); } }\nconst o = { g() { if (o) { h(); } }, k: function () {} };")], "file string, text string")
+    assert "explode(_starts" in plan_of(X.function_facts(files, only=("fn", "nesting"))) and "explode(_declared" in plan_of(X.globals_of(X.tokens(files)))
+    got = {r.fn: (r.nesting, r.calls, r.reads) for r in X.function_facts(files).collect()}
+    assert got == {
+        "m": (1, ["ArrayExpression.map", "f"], ["f", "x"]), "map.cb": (0, ["f"], ["f", "x"]), "g": (1, ["h"], ["h", "o"]), "k": (0, [], [])}
+    assert [tuple(r) for r in X.globals_of(X.tokens(files)).collect()] == [("a", "o", "const")]
