@@ -105,6 +105,12 @@ def _arcs(classified: DataFrame) -> DataFrame:
     return classified.filter("kind = 'internal' AND from_fn <> to_fn").select("file", "from_fn", "to_fn").distinct()
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """The side of a join that rounds repeat. Tables are broadcast by their compressed size and each round would send them through the
+    driver again, as often as the graph is deep; a merge join leaves them with the executors."""
+    return rows.hint("merge")
+
+
 def cycle_core(arcs: DataFrame) -> DataFrame:
     """Arcs left after peeling, round by round, those that start at a source or end in a sink.
 
@@ -115,7 +121,7 @@ def cycle_core(arcs: DataFrame) -> DataFrame:
     while size:
         entered = core.select("file", F.col("to_fn").alias("from_fn")).distinct()
         left = core.select("file", F.col("from_fn").alias("to_fn")).distinct()
-        core = cut_lineage(core.join(entered, ["file", "from_fn"], "left_semi").join(left, ["file", "to_fn"], "left_semi"))
+        core = cut_lineage(core.join(_merged(entered), ["file", "from_fn"], "left_semi").join(_merged(left), ["file", "to_fn"], "left_semi"))
         shrunk = core.count()
         if shrunk == size:
             break
@@ -131,14 +137,14 @@ def max_call_depth(linked: DataFrame, classified: DataFrame) -> DataFrame:
     """
     arcs = _arcs(classified)
     on_cycle = cycle_core(arcs).select("file", F.col("from_fn").alias("to_fn")).distinct().withColumn("_c", F.lit(True))
-    steps = cut_lineage(arcs.join(on_cycle, ["file", "to_fn"], "left").select(
+    steps = cut_lineage(arcs.join(_merged(on_cycle), ["file", "to_fn"], "left").select(
         "file", "from_fn", "to_fn", F.coalesce("_c", F.lit(False)).alias("on_cycle")))
     fn_type = classified.schema["to_fn"].dataType
     state = roots(linked).select("file", F.col("fn").alias("at"), F.array().cast(f"array<{fn_type.simpleString()}>").alias("seen"))
     reached, depth = [], 0
     while True:
         depth += 1
-        onward = state.join(steps, (steps.file == state.file) & (steps.from_fn == state.at)).select(
+        onward = state.join(_merged(steps), (steps.file == state.file) & (steps.from_fn == state.at)).select(
             state.file, "to_fn", "on_cycle", "seen").filter(~F.array_contains("seen", F.col("to_fn")))
         seen = F.when(F.col("on_cycle"), F.array_sort(F.array_append("seen", F.col("to_fn")))).otherwise(F.col("seen"))
         state = cut_lineage(onward.select("file", F.col("to_fn").alias("at"), seen.alias("seen")).distinct())
@@ -161,7 +167,7 @@ def transform_chains(classified: DataFrame, n: int | None = N_CHAINS, at_least:
         "file", "from_fn", "to_fn", F.array("from_fn", "to_fn").alias("chain"), F.col("to_fn").alias("at"))
     done = []
     while True:
-        stepped = active.join(follow, ["file", "at"], "left")
+        stepped = active.join(_merged(follow), ["file", "at"], "left")
         ended = F.col("next_fn").isNull() | F.array_contains("chain", F.col("next_fn"))
         stepped = cut_lineage(stepped.withColumn("_end", F.coalesce(ended, F.lit(True))))
         done.append(stepped.filter("_end").select("file", "from_fn", "to_fn", "chain"))
@@ -181,10 +187,10 @@ def reachable(starts: DataFrame, arcs: DataFrame) -> DataFrame:
     frontier = cut_lineage(starts.select("file", F.col("fn").alias("start_fn"), F.col("fn").alias("member")).distinct())
     found = [frontier]
     while True:
-        onward = frontier.join(arcs, (frontier.file == arcs.file) & (frontier.member == arcs.from_fn)).select(
+        onward = frontier.join(_merged(arcs), (frontier.file == arcs.file) & (frontier.member == arcs.from_fn)).select(
             frontier.file, "start_fn", F.col("to_fn").alias("member")).distinct()
         known = reduce(lambda a, b: a.unionByName(b), found)
-        frontier = cut_lineage(onward.join(known, ["file", "start_fn", "member"], "left_anti"))
+        frontier = cut_lineage(onward.join(_merged(known), ["file", "start_fn", "member"], "left_anti"))
         if frontier.isEmpty():
             return known
         found.append(frontier)
@@ -201,17 +207,17 @@ def cluster_starts(nodes: DataFrame, arcs: DataFrame, order: str = "fn") -> Data
     labels = cut_lineage(own)
     moved = labels
     while True:
-        offers = moved.join(arcs, (moved.file == arcs.file) & (moved.fn == arcs.from_fn)).select(
+        offers = moved.join(_merged(arcs), (moved.file == arcs.file) & (moved.fn == arcs.from_fn)).select(
             moved.file, F.col("to_fn").alias("fn"), "least").groupBy("file", "fn").agg(F.min("least").alias("offer"))
-        moved = cut_lineage(labels.join(offers, ["file", "fn"]).filter("offer < least").select(
+        moved = cut_lineage(labels.join(_merged(offers), ["file", "fn"]).filter("offer < least").select(
             "file", "fn", F.col("offer").alias("least")))
         if moved.isEmpty():
             break
-        labels = cut_lineage(labels.join(moved.withColumnRenamed("least", "_better"), ["file", "fn"], "left").select(
+        labels = cut_lineage(labels.join(_merged(moved.withColumnRenamed("least", "_better")), ["file", "fn"], "left").select(
             "file", "fn", F.coalesce("_better", "least").alias("least")))
     callers = arcs.select("file", F.col("from_fn").alias("fn")).distinct()
-    opening = labels.join(own.withColumnRenamed("least", "_own"), ["file", "fn"]).filter("least = _own").select("file", "fn")
-    return opening.join(callers, ["file", "fn"], "left_semi")
+    opening = labels.join(_merged(own.withColumnRenamed("least", "_own")), ["file", "fn"]).filter("least = _own").select("file", "fn")
+    return opening.join(_merged(callers), ["file", "fn"], "left_semi")
 
 
 def clusters(nodes: DataFrame, classified: DataFrame, order: str = "fn") -> DataFrame:

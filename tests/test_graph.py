@@ -95,3 +95,17 @@ def test_flows_equal_pairs(spark):
     tails = {(r.file, r.variable, r.to_fn): r.n_from for r in C.flow_consumers(df).collect()}
     assert heads == {k: len({p for p in pairs if (p[0], p[1], p[2]) == k}) for k in {(p[0], p[1], p[2]) for p in pairs}}
     assert tails == {k: len({p for p in pairs if (p[0], p[2], p[3]) == k}) for k in {(p[0], p[2], p[3]) for p in pairs}}
+
+
+def test_rounds_send_no_table_through_the_driver(spark, monkeypatch):
+    plans, cut = [], C.cut_lineage
+    monkeypatch.setattr(C, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    names = [f"f{k}" for k in range(6)]
+    nodes = spark.createDataFrame([("a", n) for n in names], "file string, fn string")
+    edges = spark.createDataFrame([("a", x, y) for x, y in zip(names, names[1:])] + [("a", "f5", "f4")], "file string, from_fn string, to_fn string")
+    classified = cut(C.call_edges(edges, nodes))
+    linked = cut(C.with_links(nodes, classified))
+    assert {(r.start_fn, r.member) for r in C.clusters(nodes, classified).collect()} == {("f0", n) for n in names}
+    assert C.max_call_depth(linked, classified).first().max_call_depth == 5
+    assert C.transform_chains(classified).count() > 0
+    assert len(plans) > 20 and not [p for p in plans if "Broadcast" in p]
