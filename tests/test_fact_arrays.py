@@ -138,3 +138,11 @@ def test_functions_are_rows_before_they_are_measured(spark):
     assert got == {
         "m": (1, ["ArrayExpression.map", "f"], ["f", "x"]), "map.cb": (0, ["f"], ["f", "x"]), "g": (1, ["h"], ["h", "o"]), "k": (0, [], [])}
     assert [tuple(r) for r in X.globals_of(X.tokens(files)).collect()] == [("a", "o", "const")]
+
+
+def test_parsed_facts_are_not_sorted_by_file(spark, monkeypatch):
+    plans, cut = [], Q.cut_lineage
+    monkeypatch.setattr(Q, "cut_lineage", lambda df: plans.append(plan_of(df)) or cut(df))
+    got = Q.parsed_facts(spark, "/root/testdata/sf0.001", "fn", "reads")
+    assert got.columns == ["file", "fn", "reads"] and got.count() > 0
+    assert plans[0].count("Exchange hashpartitioning") == 1 and "Window" not in plans[0]
