@@ -297,12 +297,13 @@ SHAPES = (
 
 
 def shaped_modules(spark, sf):
-    part = parts(spark, sf, "p_size", "p_name")
+    # Dealt out by file before they are rendered, as tokens() asks for, so the texts themselves are not sent.
+    part = dealt(table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("file"), "p_partkey", "p_size", "p_name"), "file")
     cols = {"size": F.col("p_size").cast("string"), "id": F.col("p_partkey").cast("string"),
             "w1": F.split_part("p_name", F.lit(" "), F.lit(1)), "w2": F.split_part("p_name", F.lit(" "), F.lit(2))}
     fill = lambda template: F.concat(*[cols[t] if named else F.lit(t) for named, t in _pieces(template)])
     shape = F.element_at(F.array(*[fill(text) for text, _, _ in SHAPES]), (F.col("p_partkey") % len(SHAPES) + 1).cast("int"))
-    return part.select(F.col("p_partkey").cast("string").alias("file"), shape.alias("text"))
+    return part.select("file", shape.alias("text"))
 
 
 def _listed_sql(templates: list[str]) -> str:
